@@ -134,8 +134,8 @@ def one_to_one_audit(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     tagged = a.select(*keys, F.lit(1).alias("_a"), F.lit(0).alias("_b")).unionByName(
         b.select(*keys, F.lit(0).alias("_a"), F.lit(1).alias("_b")))
     sizes = tagged.groupBy(*keys).agg(F.sum("_a").alias("a"), F.sum("_b").alias("b"))
-    return sizes.agg(F.count_if("a > 1").alias("left_duplicates"), F.count_if("b > 1").alias("right_duplicates"),
-                     F.count_if("b = 0").alias("left_only"), F.count_if("a = 0").alias("right_only"))
+    return sizes.agg(F.count_if(F.expr("a > 1")).alias("left_duplicates"), F.count_if(F.expr("b > 1")).alias("right_duplicates"),
+                     F.count_if(F.expr("b = 0")).alias("left_only"), F.count_if(F.expr("a = 0")).alias("right_only"))
 
 
 def one_to_one_merge(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:

@@ -2,5 +2,5 @@
 
 from importlib import import_module
 
-for _name in ("library", "sources", "cleaning", "marts", "joining"):
+for _name in ("library", "sources", "cleaning", "marts", "joining", "quality"):
     import_module(f"stockloom.plans.{_name}")

@@ -43,7 +43,7 @@ FROM orders JOIN places ON o_custkey = c_custkey""")
 
 cte("weather", """
 SELECT sido, CASE WHEN sido = 'ASIA' THEN NULL ELSE sigungu END AS sigungu, order_date AS date,
-  round(CAST(sum(total) AS DOUBLE) / count(*) / 1000, 4) AS temp, count(*) AS rain
+  CAST(sum(total) AS DOUBLE) / count(*) / 1000 AS temp, count(*) AS rain
 FROM ords WHERE sido <> 'EUROPE' GROUP BY 1, 2, 3""")
 
 cte("holidays", "SELECT CAST(d AS DATE) AS date, holiday FROM (VALUES " + ", ".join(
@@ -55,9 +55,9 @@ SELECT DISTINCT order_date AS date, CASE WHEN year(order_date) IN (1998, 1999) T
 
 cte("cpi", """
 SELECT CAST(year(order_date) AS INT) AS y, CAST(month(order_date) AS INT) AS m,
-  round(CAST(sum(total) AS DOUBLE) / count(*), 4) AS cpi FROM ords GROUP BY 1, 2""")
+  CAST(sum(total) AS DOUBLE) / count(*) AS cpi FROM ords GROUP BY 1, 2""")
 
 cte("retail", """
 SELECT sido, CAST(year(order_date) AS INT) AS y, CAST(month(order_date) AS INT) AS m,
-  round(CAST(sum(total) AS DOUBLE) / count(*), 4) AS retail_current, count(*) AS retail_constant
+  CAST(sum(total) AS DOUBLE) / count(*) AS retail_current, count(*) AS retail_constant
 FROM ords GROUP BY 1, 2, 3""")

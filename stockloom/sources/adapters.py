@@ -109,7 +109,7 @@ class Source:
         return (self.orders().join(self.customers().where("sido <> 'EUROPE'"), F.expr("o_custkey = c_custkey"))
                 .groupBy("sido", F.expr("case when sido = 'ASIA' then null else sigungu end as sigungu"),
                          F.col("order_date").alias("date"))
-                .agg(F.expr("round(cast(sum(total) as double) / count(*) / 1000, 4) as temp"),
+                .agg(F.expr("cast(sum(total) as double) / count(*) / 1000 as temp"),
                      F.count("*").alias("rain")))
 
     def holidays(self) -> DataFrame:
@@ -122,10 +122,10 @@ class Source:
 
     def cpi(self) -> DataFrame:
         return (self.orders().groupBy(F.expr("year(order_date) as y"), F.expr("month(order_date) as m"))
-                .agg(F.expr("round(cast(sum(total) as double) / count(*), 4) as cpi")))
+                .agg(F.expr("cast(sum(total) as double) / count(*) as cpi")))
 
     def retail(self) -> DataFrame:
         return (self.orders().join(self.customers(), F.expr("o_custkey = c_custkey"))
                 .groupBy("sido", F.expr("year(order_date) as y"), F.expr("month(order_date) as m"))
-                .agg(F.expr("round(cast(sum(total) as double) / count(*), 4) as retail_current"),
+                .agg(F.expr("cast(sum(total) as double) / count(*) as retail_current"),
                      F.count("*").alias("retail_constant")))
