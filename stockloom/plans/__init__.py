@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-for _name in ("library", "sources", "cleaning", "marts", "joining", "quality", "series", "folds", "forecasts"):
+for _name in ("library", "sources", "cleaning", "marts", "joining", "quality", "series", "folds", "forecasts", "evaluation"):
     import_module(f"stockloom.plans.{_name}")
 
 

@@ -65,16 +65,29 @@ SELECT model, 1 AS horizon, trial, wape AS pooled_wape, bias AS pooled_bias, rms
 
 
 # -- Spark side ------------------------------------------------------------
-def preds(s, start=HOLDOUT_START, horizons=HORIZONS):
-    return FC.rolling_origin(grid(s), start, horizons, P.last_week(s), CATS)
+def stored_grid(s):
+    return s.stored("weekly_grid", lambda: grid(s))
+
+
+def rolling(s, start=HOLDOUT_START, horizons=HORIZONS):
+    return FC.rolling_origin(stored_grid(s), start, horizons, P.last_week(s), CATS)
+
+
+def preds(s):
+    """Holdout predictions of every model, origin and horizon."""
+    return s.stored("predictions", lambda: rolling(s))
 
 
 def history(s):
-    return grid(s).where(F.col("week_st") < F.lit(HOLDOUT_START).cast("date"))
+    return stored_grid(s).where(F.col("week_st") < F.lit(HOLDOUT_START).cast("date"))
 
 
 def oof(s):
-    dev = preds(s, "1998-12-28", (1,)).where("center_id = 'A' and year(target_date) = 1999")
+    return s.stored("out_of_fold", lambda: build_oof(s))
+
+
+def build_oof(s):
+    dev = rolling(s, "1998-12-28", (1,)).where("center_id = 'A' and year(target_date) = 1999")
     seeds = dev.withColumn("seed", F.explode(F.array(*[F.lit(i) for i in SEEDS])))
     out = seeds.withColumns({"y_pred": F.expr("y_pred * (98 + 2 * seed) / 100.0D"), "fold": F.quarter("target_date")})
     return out.join(EV.mase_scale(history(s)), M.SKU, "left").select(
@@ -121,13 +134,13 @@ def coldstart_means(s):
 @query("J04", "rolling_origin_eval", """
 SELECT week_st, horizon, model, source, count(*) AS n, CAST(sum(y_true) AS BIGINT) AS y_true, round(sum(y_pred), 4) AS y_pred FROM preds GROUP BY 1, 2, 3, 4""")
 def rolling_origin_eval(s):
-    return preds(s).groupBy("week_st", "horizon", "model", "source").agg(
+    return rolling(s).groupBy("week_st", "horizon", "model", "source").agg(
         F.count("*").alias("n"), F.sum("y_true").alias("y_true"), F.round(F.sum("y_pred"), 4).alias("y_pred"))
 
 
 @query("J14", "oof_frame", "SELECT center_id, sku_id, week_st, horizon, target_date, model, seed, fold, y_true, round(y_pred, 6) AS y_pred, round(mase_scale, 6) AS mase_scale FROM oof")
 def oof_frame(s):
-    return oof(s).withColumns({"y_pred": r6(F.col("y_pred")), "mase_scale": r6(F.col("mase_scale"))})
+    return build_oof(s).withColumns({"y_pred": r6(F.col("y_pred")), "mase_scale": r6(F.col("mase_scale"))})
 
 
 cte("wide", """

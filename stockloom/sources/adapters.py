@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stockloom.sources.storage import new_table_path
+
 # Dates that play the role of business constants on the test data.
 REGIME_START = "1998-06-29"
 HOLDOUT_START = "2000-01-03"
@@ -18,6 +22,8 @@ HARVEST_DAYS = ("1995-09-09", "1996-09-27", "1997-09-16", "1998-10-05", "1999-09
 _REVERSED = ("(l_linenumber % 3 = 0 and l_linestatus <> 'F') or "
              "(l_linenumber % 3 <> 0 and l_returnflag = 'R')")
 
+_MARTS: dict[tuple[str, str, str], str] = {}
+
 
 class Source:
     """The tables under one folder, and the canonical frames derived from them."""
@@ -32,6 +38,19 @@ class Source:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(self.file(name))
 
+    def stored(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        """A mart written once per application to the shared folder and read back from there.
+
+        Serving and evaluation queries read marts instead of recomputing them from transactions.
+        Spark's own reader then prunes columns and pushes filters into them.
+        """
+        key = (self.spark.sparkContext.applicationId, self.path, name)
+        if key not in _MARTS:
+            path = new_table_path(self.spark, name)
+            build().write.parquet(path)
+            _MARTS[key] = path
+        return self.spark.read.parquet(_MARTS[key])
+
     def rows(self, data: list[tuple], schema: str) -> DataFrame:
         """A literal table of fixed parameters."""
         return self.spark.createDataFrame(data, schema)
