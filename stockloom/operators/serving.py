@@ -1,14 +1,221 @@
-"""Filters and rankings shared by the serving queries."""
+"""Serving queries: parameterised reads of the marts.
+
+Every function takes the marts it needs and a ``Scope``. Rankings are returned unordered and
+complete unless a limit is the feature; a limit is always a distributed top-k.
+"""
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stockloom.functions.columns import div, r6
+from stockloom.operators.joins import zero_fill_scope
+from stockloom.operators.marts import MONEY, SKU, total
+
+LEVELS = ("cat_l", "cat_m", "cat_s")
+
+
+@dataclass(frozen=True)
+class Scope:
+    """Filter set shared by the queries; None means no restriction."""
+    center: str = "ALL"
+    cat_l: str | None = None
+    cat_m: str | None = None
+    cat_s: str | None = None
+    option_code: str | None = None
+    sku_id: str | None = None
+
+    def filter(self, df: DataFrame) -> DataFrame:
+        out = df if self.center == "ALL" else df.where(F.col("center_id") == self.center)
+        for name in (*LEVELS, "option_code", "sku_id"):
+            value = getattr(self, name)
+            if value is not None and name in df.columns:
+                out = out.where(F.col(name) == value)
+        return out
+
+    def drill(self) -> str:
+        """The level below the chosen one."""
+        return "cat_s" if self.cat_m else "cat_m" if self.cat_l else "cat_l"
+
+
+def day(text: str):
+    return F.lit(text).cast("date")
+
 
 def search_products(df: DataFrame, text: str, cols: list[str]) -> DataFrame:
     """Case-insensitive substring match on any of the columns."""
     hits = [F.lower(F.col(c)).contains(text.lower()) for c in cols]
     return df.where(reduce(lambda a, b: a | b, hits))
+
+
+def scoped(facts: DataFrame, master: DataFrame, scope: Scope, cols: list[str]) -> DataFrame:
+    return scope.filter(facts).join(scope.filter(master).select(*SKU, *cols), SKU)
+
+
+def products(master: DataFrame, forecast: DataFrame, scope: Scope, text: str) -> DataFrame:
+    has = forecast.select(*SKU).distinct().withColumn("_f", F.lit(1))
+    found = search_products(scope.filter(master), text, ["product_name", "barcode"])
+    return found.join(has, SKU, "left").select(*SKU, "product_name", "barcode", "option_code", F.coalesce("_f", F.lit(0)).alias("has_forecast"))
+
+
+def last_periods(df: DataFrame, time: str, until: str, n: int, cols: list[str]) -> DataFrame:
+    return df.where(F.col(time) <= day(until)).orderBy(F.desc(time)).limit(n).select(*cols)
+
+
+def forecast_view(demand: DataFrame, wide: DataFrame, scope: Scope, basis: str, n: int) -> DataFrame:
+    """Recent history of one SKU, then its forecasts at the basis week."""
+    hist = last_periods(scope.filter(demand), "week_st", basis, n, ["week_st", F.lit("history").alias("part"), F.col("net_qty").cast("double").alias("value")])
+    steps = F.array(*[F.struct(F.col(f"h{h}_target_date").alias("week_st"), F.lit(f"h{h}").alias("part"), F.col(f"h{h}_pred").alias("value")) for h in (1, 2, 4)])
+    ahead = scope.filter(wide).where(F.col("week_st") == day(basis)).select(F.explode(steps).alias("e")).select("e.*")
+    return hist.unionByName(ahead.where("value is not null"))
+
+
+def demand_trend(demand: DataFrame, wide: DataFrame, master: DataFrame, scope: Scope, basis: str, days: int) -> DataFrame:
+    """Weekly sums over a scope and the summed forecasts at the basis week."""
+    keys = scope.filter(master).select(*SKU)
+    window = demand.where((F.col("week_st") <= day(basis)) & (F.col("week_st") > F.date_sub(day(basis), days)))
+    hist = window.join(keys, SKU, "left_semi").groupBy("week_st").agg(F.sum("sales_qty").cast("double").alias("value")).withColumn("part", F.lit("actual"))
+    at = wide.where(F.col("week_st") == day(basis)).join(keys, SKU, "left_semi")
+    steps = F.array(*[F.struct(F.date_add("week_st", 7 * h).alias("week_st"), F.lit(f"h{h}").alias("part"), F.col(f"h{h}_pred").alias("value")) for h in (1, 2, 4)])
+    ahead = at.select(F.explode(steps).alias("e")).select("e.*").groupBy("week_st", "part").agg(F.sum("value").alias("value"))
+    return hist.unionByName(ahead)
+
+
+def summary(demand: DataFrame, master: DataFrame, scope: Scope, basis: str, time: str = "week_st", step: int = 7) -> DataFrame:
+    """Totals of a period, change to the one before, quantities by unit. One row."""
+    rows = scoped(demand.where(F.col(time).isin(day(basis), F.date_sub(day(basis), step))), master, scope, ["option_code"])
+    now, before = F.col(time) == day(basis), F.col(time) < day(basis)
+    at = lambda c: F.coalesce(F.sum(F.when(now, F.col(c))).cast(MONEY), F.lit(0).cast(MONEY))
+    one = rows.agg(at("sales_amount").alias("total_sales_amount"), at("return_amount").alias("return_amount"), at("net_sales_amount").alias("net_sales_amount"),
+                   F.count_if(now & (F.col("sales_qty") > 0)).alias("active_sku_count"), F.sum(F.when(before, F.col("sales_amount"))).alias("_p"))
+    units = rows.where(now).groupBy("option_code").agg(F.sum("sales_qty").alias("q"))
+    by_unit = units.agg(F.array_join(F.sort_array(F.collect_list(F.concat("option_code", F.lit("="), F.col("q").cast("string")))), ";")).scalar()
+    return one.select(
+        "total_sales_amount", "return_amount", "net_sales_amount", "active_sku_count",
+        r6(div(F.col("return_amount"), F.col("total_sales_amount"))).alias("return_rate"),
+        r6(div(F.col("total_sales_amount") - F.col("_p"), F.col("_p")) * 100).alias("change_pct"), by_unit.alias("sales_qty_by_unit"))
+
+
+def sparkline(demand: DataFrame, scope: Scope, basis: str, n: int, time: str = "week_st", step: int = 7) -> DataFrame:
+    rows = scope.filter(demand).where((F.col(time) <= day(basis)) & (F.col(time) > F.date_sub(day(basis), n * step)))
+    return rows.groupBy(time).agg(total("sales_amount"), total("return_amount"), total("net_sales_amount"))
+
+
+def inventory_view(mart: DataFrame, stock: DataFrame, scope: Scope, basis: str, n: int, policy: str = "excluded") -> DataFrame:
+    """Recent movements of one SKU with its estimated stock; unknown where no inbound was seen."""
+    moves = last_periods(scope.filter(mart), "week_st", basis, n, [*SKU, "week_st", "inbound_qty", "outbound_qty", "sales_qty", "return_qty"])
+    level = scope.filter(stock).select(*SKU, "week_st", F.col(f"inventory_return_{policy}").alias("estimated_inventory"), "opening_inventory", "inventory_available")
+    return moves.join(level, [*SKU, "week_st"], "left")
+
+
+def forecast_products(wide: DataFrame, master: DataFrame, scope: Scope, basis: str, k: int) -> DataFrame:
+    at = wide.where(F.col("week_st") == day(basis))
+    rows = scoped(at, master, scope, ["product_name", "option_code"]).where("coalesce(h1_pred, h2_pred, h4_pred) is not null")
+    return rows.orderBy(F.desc_nulls_last("h1_pred"), *SKU).limit(k).select(*SKU, "product_name", "option_code", *[r6(F.col(f"h{h}_pred")).alias(f"h{h}_pred") for h in (1, 2, 4)])
+
+
+def with_share(df: DataFrame, value: str) -> DataFrame:
+    """Share of the total, computed beside the rows and not in one ordered group."""
+    whole = df.agg(F.sum(value).cast("double")).scalar()
+    return df.withColumn("_t", whole).withColumn("share", F.when(F.col("_t") > 0, r6(F.col(value).cast("double") / F.col("_t"))).otherwise(0.0)).drop("_t")
+
+
+def category_sales(demand: DataFrame, master: DataFrame, scope: Scope, basis: str, time: str = "week_st") -> DataFrame:
+    """Sales one level below the chosen category, with shares."""
+    level = scope.drill()
+    rows = scoped(demand.where(F.col(time) == day(basis)), master, scope, [level])
+    return with_share(rows.groupBy(F.col(level).alias("category")).agg(total("sales_amount")), "sales_amount")
+
+
+def daily_category_sales(agg: DataFrame, grid: DataFrame, scope: Scope, basis: str) -> DataFrame:
+    """As above from the sparse daily sums; categories that exist but sold nothing show zero."""
+    level = scope.drill()
+    existing = scope.filter(grid).where(F.col("grid_start") <= day(basis)).select(F.col(level).alias("category"))
+    facts = scope.filter(agg).where(F.col("tx_date") == day(basis)).withColumnRenamed(level, "category")
+    return with_share(zero_fill_scope(existing, facts, ["category"], ["sales_amount"]), "sales_amount")
+
+
+def product_ranking(facts: DataFrame, master: DataFrame, scope: Scope, basis: str, time: str) -> DataFrame:
+    rows = scoped(facts.where((F.col(time) == day(basis)) & (F.col("sales_amount") > 0)), master, scope, ["product_name", "option_code"])
+    return with_share(rows.select(*SKU, "product_name", "option_code", "sales_amount"), "sales_amount")
+
+
+def region_sales(regional: DataFrame, scope: Scope, first: str, last: str) -> DataFrame:
+    rows = scope.filter(regional).where(F.col("tx_date").between(day(first), day(last)))
+    return with_share(rows.groupBy("sido").agg(total("sales_amount")), "sales_amount")
+
+
+def region_products(regional: DataFrame, scope: Scope, sido: str, first: str, last: str, k: int) -> DataFrame:
+    rows = scope.filter(regional).where((F.col("sido") == sido) & F.col("tx_date").between(day(first), day(last)))
+    return rows.groupBy("sku_id").agg(total("sales_amount")).orderBy(F.desc("sales_amount"), "sku_id").limit(k)
+
+
+def inventory_shortage(stock: DataFrame, wide: DataFrame, master: DataFrame, scope: Scope, basis: str) -> DataFrame:
+    inv = stock.where((F.col("week_st") == day(basis)) & (F.col("inventory_available") == 1))
+    fc = wide.where((F.col("week_st") == day(basis)) & F.col("h1_pred").isNotNull()).select(*SKU, "h1_pred")
+    rows = scoped(inv, master, scope, ["product_name", "option_code"]).join(fc, SKU).where("inventory_return_excluded < h1_pred")
+    short = F.greatest(F.col("h1_pred") - F.col("inventory_return_excluded"), F.lit(0.0))
+    return rows.select(*SKU, "product_name", "option_code", "inventory_return_excluded", r6(F.col("h1_pred")).alias("h1_pred"), r6(short).alias("shortage_qty"),
+                       r6(div(F.col("inventory_return_excluded"), F.col("h1_pred"))).alias("fulfillment_rate"))
+
+
+def sales_surge(demand: DataFrame, master: DataFrame, scope: Scope, basis: str, time: str = "week_st") -> DataFrame:
+    """Increase against the same period seven days before; one conditional aggregate, no self join."""
+    rows = scope.filter(demand).where(F.col(time).isin(day(basis), F.date_sub(day(basis), 7)))
+    at = lambda rule: F.coalesce(F.sum(F.when(rule, F.col("sales_qty"))), F.lit(0).cast("bigint"))
+    both = rows.groupBy(*SKU).agg(at(F.col(time) == day(basis)).alias("current_qty"), at(F.col(time) < day(basis)).alias("prev_qty"))
+    up = both.withColumn("increase_qty", F.col("current_qty") - F.col("prev_qty")).where("increase_qty > 0")
+    return (up.withColumn("increase_pct", r6(div(F.col("increase_qty"), F.col("prev_qty")) * 100))
+            .join(scope.filter(master).select(*SKU, "product_name", "option_code"), SKU))
+
+
+def returns(demand: DataFrame, master: DataFrame, scope: Scope, basis: str, time: str = "week_st") -> DataFrame:
+    rows = demand.where((F.col(time) == day(basis)) & (F.col("return_amount") > 0))
+    return scoped(rows, master, scope, ["product_name", "option_code"]).select(*SKU, "product_name", "option_code", "return_qty", "return_amount")
+
+
+def daily_summary(agg: DataFrame, grid: DataFrame, raw: DataFrame, scope: Scope, basis: str, days: int) -> DataFrame:
+    """Zero-filled daily line of sums, record counts and selling SKUs up to the basis date."""
+    known = scope.filter(grid).agg(F.min("grid_start")).scalar()
+    first = F.greatest(F.date_sub(day(basis), days - 1), F.col("_g"))
+    one = grid.sparkSession.range(1).withColumn("_g", known)
+    dates = one.select(F.explode(F.sequence(first, day(basis), F.expr("interval 1 day"))).alias("tx_date"))
+    inside = lambda df: scope.filter(df).where(F.col("tx_date").between(F.date_sub(day(basis), days - 1), day(basis)))
+    sums = inside(agg).groupBy("tx_date").agg(total("sales_amount"), total("return_amount"), total("net_sales_amount"), F.sum("active_sku_count").alias("active_sku_count"))
+    records = inside(raw.where("qty > 0")).groupBy("tx_date").agg(F.count(F.lit(1)).alias("sales_record_count"))
+    out = dates.join(sums, "tx_date", "left").join(records, "tx_date", "left")
+    return out.na.fill(0)
+
+
+def product_activity(sparse: DataFrame, raw: DataFrame, master: DataFrame, scope: Scope, basis: str) -> DataFrame:
+    rows = scoped(sparse.where(F.col("tx_date") == day(basis)), master, scope, ["product_name"])
+    records = raw.where((F.col("tx_date") == day(basis)) & (F.col("qty") > 0)).groupBy(*SKU).agg(F.count(F.lit(1)).alias("_n"))
+    return rows.join(records, SKU, "left").select(*SKU, "product_name", "sales_qty", "return_qty", "sales_amount", "inbound_qty", F.coalesce("_n", F.lit(0).cast("bigint")).alias("record_count"))
+
+
+def daily_transactions(sparse: DataFrame, grid: DataFrame, scope: Scope, basis: str, days: int) -> DataFrame:
+    """Day by day movements of one SKU, zeros included, not before its first grid date."""
+    span = scope.filter(grid).select(*SKU, F.explode(F.sequence(
+        F.greatest(F.date_sub(day(basis), days - 1), F.col("grid_start")), day(basis), F.expr("interval 1 day"))).alias("tx_date"))
+    cols = ["inbound_qty", "outbound_qty", "sales_qty", "return_qty"]
+    return span.join(sparse.select(*SKU, "tx_date", *cols), [*SKU, "tx_date"], "left").na.fill(0, cols)
+
+
+def product_picker(master: DataFrame, wide: DataFrame, basis: str, scope: Scope, text: str, k: int) -> DataFrame:
+    """Search with unit filter, products with a forecast only, sorted by it; a missing value sorts as -1."""
+    fc = wide.where(F.col("week_st") == day(basis)).select(*SKU, "h1_pred", "h2_pred", "h4_pred")
+    rows = search_products(scope.filter(master), text, ["product_name", "barcode"]).join(fc, SKU)
+    keyed = rows.withColumn("sort_value", F.coalesce(r6(F.col("h1_pred")), F.lit(-1.0)))
+    return keyed.orderBy(F.desc("sort_value"), *SKU).limit(k).select(*SKU, "product_name", "option_code", "sort_value")
+
+
+def kpi_list(demand: DataFrame, master: DataFrame, scope: Scope, basis: str, value: str) -> DataFrame:
+    """Products behind a figure, with the bar length relative to the largest."""
+    rows = scoped(demand.where((F.col("week_st") == day(basis)) & (F.col(value) > 0)), master, scope, ["product_name"]).select(
+        *SKU, "product_name", F.col(value), "net_sales_amount")
+    top = rows.agg(F.max(value).cast("double")).scalar()
+    return rows.withColumn("bar", r6(div(F.col(value), top)))

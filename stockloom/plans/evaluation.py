@@ -201,7 +201,7 @@ def smearing(s):
 cte("sku_avg", f"SELECT center_id, sku_id, avg(qty) AS avg_qty FROM gq WHERE week_st < DATE '{HOLDOUT_START}' GROUP BY 1, 2")
 cte("edges", "SELECT center_id, list_sort(list_distinct(quantile_cont(avg_qty, [0, 0.25, 0.5, 0.75, 1]))) AS e FROM sku_avg GROUP BY 1")
 cte("quart", """
-SELECT center_id, sku_id, avg_qty, CAST(greatest(len(list_filter(e, x -> x < avg_qty)), 1) AS INT) AS quartile FROM sku_avg JOIN edges USING (center_id)""")
+SELECT center_id, sku_id, avg_qty, CAST(greatest(len([x for x in e if x < avg_qty]), 1) AS INT) AS quartile FROM sku_avg JOIN edges USING (center_id)""")
 
 
 def sku_avg(s):
