@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-for _name in ("library", "sources", "cleaning", "marts", "joining", "quality", "series", "folds", "forecasts", "evaluation", "serving", "statistics"):
+for _name in ("library", "sources", "cleaning", "marts", "joining", "quality", "series", "folds", "forecasts", "evaluation", "serving", "statistics", "models"):
     import_module(f"stockloom.plans.{_name}")
 
 

@@ -144,7 +144,7 @@ def cell_compare(s):
     f"round(count(*) FILTER (WHERE {_RIGHT} AND model = {m}) * 100.0 / count(*) FILTER (WHERE model = {m}), 6) AS model_{m}" for m in ANSWER_MODELS) + " FROM answers GROUP BY 1, 2")
 def pivot_accuracy(s):
     out = R.pivot_sum(answers(s), ["center_id", "round_no"], "model", list(ANSWER_MODELS),
-                      r6(div(F.count_if(F.expr("t1 = p1 and t2 = p2 and t3 = p3")), F.count("*")) * 100))
+                      r6(div(F.count_if(F.expr("t1 = p1 and t2 = p2 and t3 = p3")), F.count(F.lit(1))) * 100))
     return out.withColumnsRenamed({str(m): f"model_{m}" for m in ANSWER_MODELS})
 
 
