@@ -78,7 +78,7 @@ def sku_parts(col: Column) -> list[Column]:
 
 
 def week_start(col: Column) -> Column:
-    return F.date_trunc("week", col).cast("date")
+    return F.trunc(col.cast("date"), "week")
 
 
 def log1p_clip(col: Column) -> Column:

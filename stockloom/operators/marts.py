@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from stockloom.functions import columns as C
 from stockloom.operators.cleaning import sign_split
+from stockloom.sources.storage import pin
 
 SKU = ["center_id", "sku_id"]
 SALES = ["sales_qty", "return_qty", "sales_amount", "return_amount"]
@@ -59,7 +60,9 @@ def first_by(col: str, *order: str) -> Column:
 
 
 def product_master(sales: DataFrame, order: str, attributes: list[str]) -> DataFrame:
-    return sales.groupBy(*SKU).agg(*[first_by(c, order) for c in attributes])
+    """First known value of each attribute. Repeats are removed by a hash aggregate before values are ordered."""
+    seen = sales.groupBy(*SKU, *attributes).agg(F.min(order).alias(order))
+    return seen.groupBy(*SKU).agg(*[first_by(c, order) for c in attributes])
 
 
 def ambiguous_keys(sales: DataFrame, keys: list[str], cluster: str) -> DataFrame:
@@ -68,7 +71,14 @@ def ambiguous_keys(sales: DataFrame, keys: list[str], cluster: str) -> DataFrame
             .where("lo <> hi").select(*keys))
 
 
-def resolve_cluster(purchases: DataFrame, sales: DataFrame, keys: list[str], cluster: str = "cluster_no",
+def cluster_profile(sales: DataFrame, keys: list[str], cluster: str = "cluster_no", name: str = "product_name",
+                    spec: str = "spec", week: str = "week_st") -> DataFrame:
+    """Names, specs and active weeks of every cluster: all that the decision needs from the sales."""
+    return sales.groupBy(*keys, cluster, F.trim(F.col(name)).alias(name), F.trim(F.col(spec)).alias(spec)).agg(
+        F.min(week).alias("lo"), F.max(week).alias("hi"))
+
+
+def resolve_cluster(purchases: DataFrame, profile: DataFrame, keys: list[str], cluster: str = "cluster_no",
                     name: str = "product_name", spec: str = "spec", week: str = "week_st") -> DataFrame:
     """Decide the cluster of purchases whose key is ambiguous in the sales data.
 
@@ -78,11 +88,11 @@ def resolve_cluster(purchases: DataFrame, sales: DataFrame, keys: list[str], clu
     """
 
     def only_cluster(text: str, out: str) -> DataFrame:
-        known = sales.select(*keys, F.trim(F.col(text)).alias(f"_{text}"), cluster).where(F.col(f"_{text}").isNotNull())
+        known = profile.where(F.col(text).isNotNull()).select(*keys, F.col(text).alias(f"_{text}"), cluster)
         return (known.groupBy(*keys, f"_{text}").agg(F.min(cluster).alias(out), F.max(cluster).alias("_hi"))
                 .where(F.col(out) == F.col("_hi")).drop("_hi"))
 
-    periods = sales.groupBy(*keys, cluster).agg(F.min(week).alias("lo"), F.max(week).alias("hi"))
+    periods = profile.groupBy(*keys, cluster).agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
     # clusters of one product are few, so the period list of a key is short
     before = F.lag("hi").over(W.partitionBy(*keys).orderBy("lo", cluster))
     ranges = (periods.withColumn("clash", F.coalesce(before >= F.col("lo"), F.lit(False)))
@@ -102,15 +112,20 @@ def resolve_cluster(purchases: DataFrame, sales: DataFrame, keys: list[str], clu
         "_ranges", "_clash", "_k", "_by_name", "_by_spec", f"_{name}", f"_{spec}")
 
 
-def resolved_purchases(purchases: DataFrame, sales: DataFrame, master: DataFrame, time: str) -> DataFrame:
-    """Purchases of known SKUs with the decided cluster, pre-summed before the rule joins."""
+def resolved_purchases(purchases: DataFrame, sales: DataFrame, time: str) -> DataFrame:
+    """Purchases of SKUs that were ever sold, with the decided cluster.
+
+    Both sides are reduced first: purchases to their measures, sales to the (small) cluster
+    profile. The profile is pinned because four joins read it.
+    """
     keys = ["center_id", "barcode", "option_code"]
     detail = [*keys, "cluster_no", "product_name", "spec", "week_st", time, "work_type"]
     summed = purchases.groupBy(*dict.fromkeys(detail)).agg(
         F.sum("qty").alias("qty"), F.sum("amount").cast(MONEY).alias("amount"), F.sum("vat").cast(FINE_MONEY).alias("vat"))
-    found = resolve_cluster(summed, sales, keys).where("resolved_cluster is not null")
-    return (found.withColumn("sku_id", C.sku_key("barcode", "option_code", "resolved_cluster"))
-            .join(master.select(*SKU), SKU, "left_semi"))
+    profile = pin(cluster_profile(sales, keys))
+    sold = profile.select("center_id", C.sku_key("barcode", "option_code", "cluster_no").alias("sku_id")).distinct()
+    found = resolve_cluster(summed, profile, keys).where("resolved_cluster is not null")
+    return found.withColumn("sku_id", C.sku_key("barcode", "option_code", "resolved_cluster")).join(sold, SKU, "left_semi")
 
 
 def merge_facts(sales: DataFrame, purchases: DataFrame, time: str) -> DataFrame:
@@ -120,19 +135,23 @@ def merge_facts(sales: DataFrame, purchases: DataFrame, time: str) -> DataFrame:
         F.coalesce(F.sum(c).cast(_TYPES[c]), zero(c)).alias(c) for c in (*PURCHASES, *SALES)])
 
 
-def densify(df: DataFrame, keys: list[str], time: str, days: int, end: Column, fill: dict[str, Column]) -> DataFrame:
+def densify(df: DataFrame, keys: list[str], time: str, days: int, end: Column, fill: dict[str, Column],
+            begin: Column | None = None) -> DataFrame:
     """Insert the missing periods of every series up to ``end``.
 
     Each row is expanded to itself and the empty periods that follow it, so the grid needs one
-    window over the series and no join. ``fill`` gives the value of each measure in empty
-    periods; other columns are carried. ``end`` must be on the series' own period lattice.
+    window over the series and no join. ``begin`` may start a series before its first row.
+    ``fill`` gives the value of each measure in empty periods; other columns are carried.
+    ``begin`` and ``end`` must be on the series' own period lattice.
     """
-    nxt = F.coalesce(F.lead(time).over(W.partitionBy(*keys).orderBy(time)), F.date_add(end, days))
-    steps = F.sequence(F.col(time), F.date_sub(F.col("_next"), days), F.expr(f"interval {days} days"))
-    out = df.withColumn("_next", nxt).select("*", F.posexplode(steps).alias("_pos", "_time"))
-    first = F.col("_pos") == 0
-    return out.withColumns({c: F.when(first, F.col(c)).otherwise(v) for c, v in fill.items()}).withColumn(
-        time, F.col("_time")).drop("_next", "_pos", "_time")
+    w = W.partitionBy(*keys).orderBy(time)
+    nxt = F.coalesce(F.lead(time).over(w), F.date_add(end, days))
+    start = F.col(time) if begin is None else F.when(F.lag(time).over(w).isNull(), F.least(begin, F.col(time))).otherwise(F.col(time))
+    steps = F.sequence(F.col("_from"), F.date_sub(F.col("_next"), days), F.expr(f"interval {days} days"))
+    out = df.withColumns({"_next": nxt, "_from": start}).select("*", F.explode(steps).alias("_time"))
+    own = F.col("_time") == F.col(time)
+    return out.withColumns({c: F.when(own, F.col(c)).otherwise(v) for c, v in fill.items()}).withColumn(
+        time, F.col("_time")).drop("_next", "_from", "_time")
 
 
 def last_period(df: DataFrame, time: str) -> Column:

@@ -71,9 +71,9 @@ def sign_crosstab(df: DataFrame) -> DataFrame:
 
 
 def first_row(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """One row per key, the smallest in the given order, without sorting whole groups."""
+    """One row per key, the smallest in the given order, without sorting whole groups; repeats are removed first."""
     rest = [c for c in df.columns if c not in keys and c not in order]
-    picked = df.groupBy(*keys).agg(F.min(F.struct(*order, *rest)).alias("_r"))
+    picked = df.distinct().groupBy(*keys).agg(F.min(F.struct(*order, *rest)).alias("_r"))
     return picked.select(*keys, *[f"_r.{c}" for c in (*order, *rest)])
 
 

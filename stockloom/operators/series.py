@@ -11,7 +11,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from stockloom.functions import columns as C
-from stockloom.operators.marts import SKU, densify, first_by
+from stockloom.operators.marts import SKU, densify
+from stockloom.sources.storage import pin
 
 # Feature settings.
 LAGS = (1, 2, 4)
@@ -35,19 +36,24 @@ def so_far():
     return series().rowsBetween(W.unboundedPreceding, W.currentRow)
 
 
-def weekly_grid(sales: DataFrame, first_stock: DataFrame, end: Column) -> DataFrame:
+def weekly_grid(tx: DataFrame, floor: Column, end: Column) -> DataFrame:
     """Weekly rows from the earlier of first stock and first sale up to ``end``; no sale means 0.
 
-    ``sales`` has one row per SKU, week with qty and the category columns.
+    Transactions are read once: sales and first inbound dates are summed to SKU, week and category
+    in the same aggregate. Everything after it shares the (centre, SKU) partitioning.
     """
-    floor = sales.agg(F.min("week_st")).scalar()
-    meta = sales.groupBy(*SKU).agg(*[first_by(c, "week_st") for c in LEVELS], F.min("week_st").alias("_seen"))
-    begin = (meta.join(first_stock, SKU, "left")
-             .withColumn("week_st", C.week_start(F.greatest(F.least("first_stock", "_seen"), floor)))
-             .where("week_st < _seen").select(*SKU, "week_st", F.lit(0).cast("bigint").alias("qty")))
-    active = sales.select(*SKU, "week_st", "qty").unionByName(begin)
-    dense = densify(active, SKU, "week_st", 7, end, {"qty": F.lit(0).cast("bigint")})
-    return dense.join(meta.drop("_seen"), SKU).withColumns({
+    sale, inbound = F.col("kind") == "sales", F.col("work_type") == "inbound"
+    week = tx.groupBy(*SKU, "week_st", *LEVELS).agg(
+        F.sum(F.when(sale, F.greatest("qty", F.lit(0)))).alias("q"), F.min(F.when(inbound, F.col("tx_date"))).alias("_stock"))
+    whole = W.partitionBy(*SKU)
+    known = F.when(F.col("q").isNotNull(), F.col("week_st"))
+    described = week.select(
+        *SKU, "week_st", "q", F.min(known).over(whole).alias("_seen"), F.min("_stock").over(whole).alias("_first"),
+        *[F.min(F.when(F.col("q").isNotNull(), F.struct("week_st", c))).over(whole)[c].alias(c) for c in LEVELS])
+    active = (described.where("q is not null").groupBy(*SKU, *LEVELS, "_seen", "_first", "week_st").agg(F.sum("q").alias("qty")))
+    begin = C.week_start(F.greatest(F.least(F.coalesce("_first", "_seen"), F.col("_seen")), floor))
+    dense = densify(active, SKU, "week_st", 7, end, {"qty": F.lit(0).cast("bigint")}, begin=begin)
+    return dense.drop("_seen", "_first").withColumns({
         "sold": (F.col("qty") > 0).cast("int"),
         "qty_log1p": F.when(F.col("qty") > 0, F.log1p(F.col("qty").cast("double")))})
 
@@ -135,7 +141,7 @@ def category_fallback(df: DataFrame, cols: list[str], max_weeks: int = MAX_WIDEN
     both = lambda c: [F.sum(F.col(c).cast("double")).alias(f"{c}_s"), F.count(c).alias(f"{c}_n")]
     merge = lambda c: [F.sum(f"{c}_s").alias(f"{c}_s"), F.sum(f"{c}_n").alias(f"{c}_n")]
     flat = lambda make: [a for c in cols for a in make(c)]
-    base = df.groupBy("center_id", "week_st", *LEVELS).agg(*flat(both))
+    base = pin(df.groupBy("center_id", "week_st", *LEVELS).agg(*flat(both)))
     out = df
     for level in LEVELS:
         table = base.groupBy("center_id", "week_st", level).agg(*flat(merge)).select(

@@ -77,8 +77,7 @@ SELECT {_TX}, t.kind, t.amount, t.sido, t.city, temp, rain FROM tx_city t LEFT J
 
 @query("D05", "weather_nullsafe_join", f"SELECT {_TX}, city, temp, rain FROM tx_weather")
 def weather_nullsafe_join(s):
-    facts = tx_city(s)
-    return J.weather_nullsafe_join(facts, J.weather_key_resolve(facts, s.weather()), s.weather()).select(*TX, "city", "temp", "rain")
+    return J.weather_nullsafe_join(tx_city(s), J.weather_key_resolve(places(s), s.weather()), s.weather()).select(*TX, "city", "temp", "rain")
 
 
 cte("enriched", f"""
@@ -90,9 +89,14 @@ FROM tx_weather t LEFT JOIN holidays ON holidays.date = t.tx_date LEFT JOIN covi
 MEASURES = ["temp", "rain", "holiday", "covid", "cpi", "retail_current", "retail_constant"]
 
 
+def places(s):
+    """Every (province, city) spelling, taken from orders and customers without touching the transactions."""
+    named = s.orders().join(s.customers(), F.expr("o_custkey = c_custkey")).select("sido", "sigungu", "priority").distinct()
+    return named.select("sido", F.explode(F.array("sigungu", F.concat_ws(" ", "sigungu", "priority"))).alias("city"))
+
+
 def enriched(s):
-    facts = tx_city(s)
-    return J.star_enrich(facts, J.weather_key_resolve(facts, s.weather()), s.weather(), s.holidays(), s.covid(), s.cpi(), s.retail())
+    return J.star_enrich(tx_city(s), J.weather_key_resolve(places(s), s.weather()), s.weather(), s.holidays(), s.covid(), s.cpi(), s.retail())
 
 
 @query("D06", "star_enrich", "SELECT * FROM enriched")

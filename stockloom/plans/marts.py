@@ -22,7 +22,7 @@ def sales_facts(s, grain="wk"):
 
 
 def purchases(s, grain="wk"):
-    return M.resolved_purchases(s.purchases(), s.sales(), master(s), TIMES[grain][0])
+    return M.resolved_purchases(s.purchases(), s.sales(), TIMES[grain][0])
 
 
 def purchase_facts(s, grain="wk"):
@@ -134,7 +134,7 @@ FROM c JOIN o USING (center_id, sku_id) LEFT JOIN b USING (center_id, sku_id)"""
 @query("D23", "resolve_cluster", """
 SELECT rule, center_id, count(*) AS n, CAST(sum(resolved_cluster) AS BIGINT) AS cluster_sum FROM purch_resolved GROUP BY 1, 2""")
 def resolve_cluster(s):
-    found = M.resolve_cluster(s.purchases(), s.sales(), PKEY)
+    found = M.resolve_cluster(s.purchases(), M.cluster_profile(s.sales(), PKEY), PKEY)
     return found.groupBy("rule", "center_id").agg(F.count("*").alias("n"), F.sum("resolved_cluster").alias("cluster_sum"))
 
 

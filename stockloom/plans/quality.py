@@ -173,7 +173,7 @@ def center_master(s):
 SELECT CAST(date_trunc('week', date) AS DATE) AS week_st, round(avg(temp), 6) AS temp_mean, max(rain) AS rain_max,
  first(rain ORDER BY date, rain) AS rain_first FROM weather GROUP BY 1""")
 def calendar_week_agg(s):
-    weekly = s.weather().withColumn("week_st", F.date_trunc("week", "date").cast("date"))
+    weekly = s.weather().withColumn("week_st", F.trunc("date", "week"))
     return Q.calendar_week_agg(weekly, "week_st", ["temp"], ["rain"], ["rain"], "date")
 
 

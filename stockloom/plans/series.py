@@ -8,7 +8,7 @@ from stockloom.operators import cleaning
 from stockloom.operators import marts as M
 from stockloom.operators import series as S
 from stockloom.plans import marts as P
-from stockloom.plans.joining import tx_city
+from stockloom.plans.joining import places, tx_city
 from stockloom.registry import cte, query
 from stockloom.sources.adapters import BASIS_DATE, BASIS_WEEK, HOLDOUT_START, HORIZONS, REGIME_START
 
@@ -16,13 +16,11 @@ KEY = [*M.SKU, "week_st"]
 _K = "center_id, sku_id, week_st"
 
 
-def weekly_qty(s):
-    return s.sales().groupBy(*KEY, *P.LEVELS).agg(F.sum(F.expr("greatest(qty, 0)")).alias("qty"))
-
-
 def grid(s):
-    stock = s.tx().where("work_type = 'inbound'").groupBy(*M.SKU).agg(F.min("tx_date").alias("first_stock"))
-    return S.weekly_grid(weekly_qty(s), stock, P.last_week(s))
+    """The grid's limits come from a scan of two transaction columns."""
+    weeks = s.lines()
+    floor = weeks.where("kind = 'sales'").agg(F.min("week_st")).scalar()
+    return S.weekly_grid(s.tx(), floor, P.last_week(s))
 
 
 cte("gq", """
@@ -195,8 +193,7 @@ SELECT center_id, CAST(date_trunc('week', tx_date) AS DATE) AS week_st, count(*)
 FROM (SELECT center_id, tx_date, avg(rain) AS r FROM (SELECT DISTINCT center_id, sido, city, tx_date, rain FROM tx_weather) GROUP BY 1, 2) GROUP BY 1, 2""")
 def heavy_rain_weeks(s):
     from stockloom.operators.joins import weather_key_resolve, weather_nullsafe_join
-    facts = tx_city(s)
-    return S.heavy_rain_weeks(weather_nullsafe_join(facts, weather_key_resolve(facts, s.weather()), s.weather()), ["sido", "city"], 2.2)
+    return S.heavy_rain_weeks(weather_nullsafe_join(tx_city(s), weather_key_resolve(places(s), s.weather()), s.weather()), ["sido", "city"], 2.2)
 
 
 _RUN = f"""SELECT *, CAST(row_number() OVER (PARTITION BY center_id, sku_id, island ORDER BY week_st) AS INT) AS run FROM (

@@ -65,7 +65,7 @@ class Source:
             "case when l_linenumber % 3 = 0 then case when l_linestatus = 'F' then 'inbound' else 'outbound' end"
             " else case when l_returnflag = 'R' then 'return' else 'sale' end end as work_type",
             "cast(l_shipdate as date) as tx_date",
-            "cast(date_trunc('week', l_shipdate) as date) as week_st",
+            "trunc(cast(l_shipdate as date), 'week') as week_st",
             f"case when {_REVERSED} then -cast(l_quantity as bigint) else cast(l_quantity as bigint) end as qty",
             f"case when {_REVERSED} then -cast(l_extendedprice as decimal(18,2))"
             " else cast(l_extendedprice as decimal(18,2)) end as amount",
