@@ -9,13 +9,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def surrogate_id(df: DataFrame, period: str, hash_cols: list[str], order: list[str]) -> DataFrame:
+def surrogate_id(df: DataFrame, period: str, hash_cols: list[str], order: list[str], slot_digits: int = 3) -> DataFrame:
     """Running row number over (period, hash slot, order).
 
     Rows are numbered inside (period, slot) groups, so a period holding a large share of the
-    rows is still spread over 256 groups; only the table of group sizes is cumulated.
+    rows is still spread over 16 ** ``slot_digits`` groups; only the table of group sizes is cumulated.
     """
-    slot = F.substring(F.md5(F.concat_ws("|", *hash_cols).cast("binary")), 1, 2)
+    slot = F.substring(F.md5(F.concat_ws("|", *hash_cols).cast("binary")), 1, slot_digits)
     rows = df.withColumn("_slot", slot)
     sizes = rows.groupBy(period, "_slot").agg(F.count(F.lit(1)).alias("_n"))
     per_period = sizes.groupBy(period).agg(F.sum("_n").alias("_pn"))

@@ -128,7 +128,7 @@ def min_max_dates(s):
 
 @query("A14", "surrogate_id", """
 WITH k AS (SELECT tx_date, order_no, line_no, center_id, barcode, option_code, qty, amount,
-    substr(md5(concat_ws('|', CAST(order_no AS VARCHAR), CAST(line_no AS VARCHAR))), 1, 2) AS slot FROM tx)
+    substr(md5(concat_ws('|', CAST(order_no AS VARCHAR), CAST(line_no AS VARCHAR))), 1, 3) AS slot FROM tx)
 SELECT tx_date, order_no, line_no, center_id, barcode, option_code, qty, amount,
   row_number() OVER (ORDER BY tx_date, slot, order_no, line_no, center_id, barcode, option_code, qty, amount) AS row_id
 FROM k""")
