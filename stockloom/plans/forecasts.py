@@ -251,8 +251,7 @@ TRIAL_SCHEMA = ("model string, horizon int, all_trials array<struct<trial:int,po
 
 
 def trial_documents(s):
-    t = trials(s).withColumn("params", F.create_map(F.lit("scale"), F.expr("(7 + trial) / 10.0D")))
-    rows = F.sort_array(F.collect_list(F.struct("trial", "pooled_wape", "pooled_bias", "worst_fold_wape", "params")))
+    t = trials(s)
     flat = t.groupBy("model", "horizon").agg(F.sort_array(F.collect_list(F.struct("trial", "pooled_wape", "pooled_bias", "worst_fold_wape"))).alias("x"))
     return flat.select("model", "horizon", F.transform("x", lambda r: F.struct(
         r["trial"].alias("trial"), r["pooled_wape"].alias("pooled_wape"), r["pooled_bias"].alias("pooled_bias"), r["worst_fold_wape"].alias("worst_fold_wape"),

@@ -129,6 +129,17 @@ def test_asof(spark):
     assert got == {("a", 3): (3, 30), ("a", 0): (None, None), ("b", 9): (None, None)}
 
 
+def test_full_outer_equals_single_pass(spark):
+    rows = [("A", "s", week(0), "inbound", 5), ("A", "s", week(1), "outbound", -2), ("A", "t", week(0), "inbound", 1)]
+    df = spark.createDataFrame(rows, "center_id string, sku_id string, week_st date, work_type string, qty bigint").withColumns(
+        {c: F.lit(0).cast("decimal(18,2)") for c in ("amount", "vat")})
+    key = ["center_id", "sku_id", "week_st"]
+    side = lambda w: df.where(F.col("work_type") == w).groupBy(*key).agg(F.sum("qty").alias(f"{w}_qty"))
+    outer = joins.in_out_full_outer(side("inbound"), side("outbound"), key).select(*key, "inbound_qty", "outbound_qty")
+    single = marts.purchase_facts(df, "week_st").select(*key, "inbound_qty", "outbound_qty")
+    assert sorted(outer.collect()) == sorted(single.collect())
+
+
 def test_one_to_one_refuses_duplicates(spark):
     a = spark.createDataFrame([("x",), ("x",), ("y",)], "k string")
     b = spark.createDataFrame([("x",), ("z",)], "k string")
