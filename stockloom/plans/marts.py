@@ -60,8 +60,11 @@ def sales_only(s, grain="wk"):
 
 
 def inventory(s, grain="wk"):
-    bought = purchases(s, grain).where("work_type = 'inbound'")
-    return M.inventory(mart(s, grain), bought, TIMES[grain][0])
+    time, days = TIMES[grain]
+    bought = purchases(s, grain)
+    both = M.merge_facts(sales_facts(s, grain), M.purchase_facts(bought, time), time)
+    dense = M.dense_mart(both, time, days, grid_end(s, grain))
+    return M.inventory(dense, bought.where("work_type = 'inbound'"), time)
 
 
 # -- check side ------------------------------------------------------------
