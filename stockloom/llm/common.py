@@ -86,3 +86,67 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
 
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], key: str, rows: int = 4096) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Cut a stream sorted by the integer column ``key`` into tables of whole groups of about ``rows`` rows; with each the groups' starts.
+
+    Holds ``rows`` and one group at a time. Callers bound their groups.
+    """
+
+    def cut(table: pa.Table) -> np.ndarray:
+        keys = table.column(key).to_numpy()
+        return np.concatenate([[0], np.flatnonzero(keys[1:] != keys[:-1]) + 1])
+
+    held: list[pa.RecordBatch] = []
+    for whole in batches:
+        for at in range(0, whole.num_rows, rows):
+            batch = whole.slice(at, rows)
+            keys = batch.column(batch.schema.get_field_index(key)).to_numpy()
+            if held and held[-1].column(held[-1].schema.get_field_index(key))[-1].as_py() == keys[-1]:
+                held.append(batch)
+                continue
+            table = pa.Table.from_batches([*held, batch])
+            starts = cut(table)
+            if len(starts) > 1:
+                yield table.slice(0, int(starts[-1])), starts[:-1]
+            held = table.slice(int(starts[-1])).combine_chunks().to_batches()
+    if held:
+        table = pa.Table.from_batches(held)
+        yield table, cut(table)
+
+
+def labels_of(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Smallest index reachable from each of ``n`` nodes over the edges (a, b)."""
+    label = np.arange(n)
+    while len(a):
+        low = np.minimum(label[a], label[b])
+        before = label.copy()
+        np.minimum.at(label, a, low)
+        np.minimum.at(label, b, low)
+        label = label[label]
+        if (label == before).all():
+            break
+    return label
+
+
+def pairs_in(starts: np.ndarray, total: int, most: int = 200_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All index pairs i < j inside groups that begin at ``starts`` of ``total`` rows, about ``most`` at a time."""
+    sizes = np.diff(np.append(starts, total))
+    for size in np.unique(sizes[sizes > 1]):
+        begin = starts[sizes == size]
+        if size <= 512:
+            i, j = np.triu_indices(size, 1)
+            step = max(1, most // len(i))
+            for k in range(0, len(begin), step):
+                at = begin[k : k + step, None]
+                yield (at + i).ravel(), (at + j).ravel()
+        else:
+            for at in begin:
+                first = 0
+                while first < size - 1:
+                    last = min(size - 1, first + max(1, most // (size - first)))
+                    i = np.repeat(np.arange(first, last), size - 1 - np.arange(first, last))
+                    j = np.concatenate([np.arange(r + 1, size) for r in range(first, last)])
+                    yield at + i, at + j
+                    first = last
