@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stockloom.llm import bpe, chat, jaccard, mixing, near_vectors, token_count, topk, urls
+from stockloom.llm import bpe, chat, jaccard, mixing, near_vectors, quality, token_count, topk, urls
 from stockloom.llm.common import table
 
 WORD_TOKENIZER, BYTE_TOKENIZER = "word_bpe_49k.json", "byte_bpe_50k.json"
@@ -22,6 +22,12 @@ def tokenizer_spec(name: str) -> str:
         return file.read()
 
 
+def op1_quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"))
+    return quality.score_quality(docs, model).select("doc_id", quality.held_out().alias("held_out"), "score", "predicted")
+
+
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
@@ -71,5 +77,5 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
 FROM e GROUP BY conv_id
 """
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_url_filter, op3_chat_format, op4_jaccard_join, op5_top_k, op6_bpe_codec, op7_near_vectors, op8_source_mixing, op10_token_counts)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_scores, op2_url_filter, op3_chat_format, op4_jaccard_join, op5_top_k, op6_bpe_codec, op7_near_vectors, op8_source_mixing, op10_token_counts)}
 ORACLE_SQL: dict[str, str] = {"op3_chat_format": CHAT_SQL, "op8_source_mixing": mixing.mix_sql()}
