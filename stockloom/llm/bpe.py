@@ -229,9 +229,8 @@ def encode(docs: DataFrame, spec: str, id_col: str = "doc_id", text_col: str = "
     return plain.unionByName(joined).withColumnRenamed("id", id_col)
 
 
-def digests(encoded: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Per row: id, ``n_tokens``, ``ids_sha256`` and ``decoded_sha256``."""
+def digests(encoded: DataFrame, id_col: str = "doc_id", keep: tuple[str, ...] = ()) -> DataFrame:
+    """Per row: id, ``n_tokens``, ``ids_sha256``, ``decoded_sha256`` and the columns to ``keep``."""
     return encoded.select(
-        id_col, F.floor(F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"),
+        id_col, F.floor(F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"), *keep,
     )
-

@@ -15,7 +15,7 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stockloom.llm.common import components, labels_of, map_rows, pairs_in, stored, whole_groups
@@ -207,7 +207,7 @@ def _verify(threshold: float):
 
 
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """Per row: id, ``class_id`` (smallest id among the rows that links reach) and ``n_links`` (other rows at ``threshold`` or more).
+    """Per row: id, ``text_hash``, ``class_id`` (smallest id that links reach) and ``n_links`` (other rows at ``threshold`` or more).
 
     Words are runs of letters and digits in lower case. Null texts and texts without words have no shingles: no links, a class each (their
     own id). Texts of one to four words are one shingle. Copies (equal shingle sets) are counted, not paired. Repeated rows and rows with
@@ -255,5 +255,15 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     known = classes.select("fp", "cnt", F.col("rep.id").alias("rep_id")).join(links, "fp", "left").join(joined, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     first = known.groupBy("component").agg(F.min("rep_id").alias("class_id"))
     result = known.join(first, "component").select("fp", "class_id", (F.col("cnt") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
-    out = described.select("id", "fp").join(result, "fp", "left")
-    return out.select(F.col("id").alias(id_col), F.when(F.col("fp").isNull(), F.col("id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"))
+    out = described.select("id", "th", "fp").join(result, "fp", "left")
+    return out.select(F.col("id").alias(id_col), F.col("th").alias("text_hash"), F.when(F.col("fp").isNull(), F.col("id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"))
+
+
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` whose id is that of their class: one of each group, with all its columns. Of wholly repeated rows one stays."""
+    found = jaccard_join(docs, id_col, text_col, threshold)
+    stay = found.filter(F.col(id_col).eqNullSafe(F.col("class_id"))).select(F.col(id_col).alias("_id"), F.col("text_hash").alias("_hash")).distinct()
+    rows = docs.withColumn("_own", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
+    joined = rows.join(stay, F.expr(f"`{id_col}` <=> _id AND _own = _hash"), "left_semi")
+    once = Window.partitionBy(id_col, "_own").orderBy("_own")
+    return joined.withColumn("_n", F.row_number().over(once)).filter("_n = 1").select([F.col(f"`{c}`") for c in docs.columns])
