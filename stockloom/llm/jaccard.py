@@ -262,8 +262,9 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` whose id is that of their class: one of each group, with all its columns. Of wholly repeated rows one stays."""
     found = jaccard_join(docs, id_col, text_col, threshold)
-    stay = found.filter(F.col(id_col).eqNullSafe(F.col("class_id"))).select(F.col(id_col).alias("_id"), F.col("text_hash").alias("_hash")).distinct()
-    rows = docs.withColumn("_own", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
-    joined = rows.join(stay, F.expr(f"`{id_col}` <=> _id AND _own = _hash"), "left_semi")
-    once = Window.partitionBy(id_col, "_own").orderBy("_own")
-    return joined.withColumn("_n", F.row_number().over(once)).filter("_n = 1").select([F.col(f"`{c}`") for c in docs.columns])
+    stay = found.filter(F.col(id_col).eqNullSafe(F.col("class_id"))).select(F.col(id_col).alias("stay_id"), F.col("text_hash").alias("stay_hash")).distinct()
+    whole = docs.select(F.struct([F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
+    rows = whole.withColumn("own_id", F.col(f"doc.`{id_col}`")).withColumn("own_hash", F.xxhash64(F.coalesce(F.col(f"doc.`{text_col}`"), F.lit(""))))
+    joined = rows.join(stay, F.expr("own_id <=> stay_id AND own_hash = stay_hash"), "left_semi")
+    once = Window.partitionBy("own_id", "own_hash").orderBy("own_hash")
+    return joined.withColumn("n", F.row_number().over(once)).filter("n = 1").select("doc.*")

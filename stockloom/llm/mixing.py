@@ -66,9 +66,10 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
 def repeat(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """The mixed corpus: each document as often as the mix takes it. Rows that share an id are taken alike."""
-    times = mixed.groupBy(F.col(id_col).alias("_id")).agg(F.max("times").alias("_times"))
-    taken = docs.join(times, F.expr(f"`{id_col}` <=> _id")).filter("_times > 0")
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select([F.col(f"`{c}`") for c in docs.columns])
+    times = mixed.groupBy(F.col(id_col).alias("of")).agg(F.max("times").alias("times"))
+    whole = docs.select(F.struct([F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
+    taken = whole.join(times, F.col(f"doc.`{id_col}`").eqNullSafe(F.col("of"))).filter("times > 0")
+    return taken.select("doc", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).select("doc.*")
 
 
 MIX_SQL = """
