@@ -178,20 +178,21 @@ def select_family(df: DataFrame, keys: list[str]) -> DataFrame:
     return out.withColumn("winner", F.col("_a")).drop("_a")
 
 
-def instability(df: DataFrame, dev_max: DataFrame, factor: float = 100.0, floor: float = 10.0) -> DataFrame:
-    """Predictions that are not finite or far above anything the SKU ever sold."""
-    limit = F.greatest(F.coalesce(F.col("dev_max"), F.lit(0)) * factor, F.lit(floor))
-    bad = (F.col("y_pred") == float("inf")) | F.isnan("y_pred")
+def instability(df: DataFrame, dev_max: DataFrame, factor: float = 100.0) -> DataFrame:
+    """Predictions that are not finite or, in size, far above anything the SKU ever sold (at least 1)."""
+    limit = F.greatest(F.coalesce(F.col("dev_max"), F.lit(0)), F.lit(1)) * factor
+    bad = (F.abs("y_pred") == float("inf")) | F.isnan("y_pred")
     return df.join(dev_max, SKU, "left").withColumns({
-        "limit": limit.cast("double"), "reason": F.when(bad, "not_finite").when(F.col("y_pred") > limit, "above_limit")})
+        "limit": limit.cast("double"), "reason": F.when(bad, "not_finite").when(F.abs("y_pred") > limit, "above_limit")})
 
 
-def winner_share(df: DataFrame, a: str, b: str, measures: list[str]) -> DataFrame:
-    """Per measure: how many SKUs, and how much demand, each of two models wins."""
+def winner_share(df: DataFrame, a: str, b: str, measures: list[str], keys: list[str]) -> DataFrame:
+    """Per measure: how many SKUs, and how much demand, each of two models wins; ties but for rounding errors, and SKUs without the measure."""
     pairs = [F.struct(F.lit(m).alias("metric"), F.col(f"{a}_{m}").alias("x"), F.col(f"{b}_{m}").alias("y")) for m in measures]
-    long = df.select("demand", F.explode(F.array(*pairs)).alias("p")).where("p.x is not null and p.y is not null")
-    who = F.when(F.col("p.x") < F.col("p.y"), a).when(F.col("p.x") > F.col("p.y"), b).otherwise("tie")
-    counts = long.groupBy("p.metric", who.alias("winner")).agg(F.count(F.lit(1)).alias("skus"), F.sum("demand").alias("demand"))
-    tot = counts.groupBy("metric").agg(F.sum("skus").alias("_s"), F.sum("demand").alias("_d"))
-    return counts.join(tot, "metric").select("metric", "winner", "skus", "demand", r6(div(F.col("skus"), F.col("_s"))).alias("sku_share"),
-                                             r6(div(F.col("demand"), F.col("_d"))).alias("demand_share"))
+    long = df.select(*keys, "demand", F.explode(F.array(*pairs)).alias("p"))
+    x, y = F.col("p.x"), F.col("p.y")
+    who = F.when(x.isNull() | y.isNull(), "excluded").when(F.abs(x - y) <= 1e-9 * F.greatest(x, y), "tie").when(x < y, a).otherwise(b)
+    counts = long.groupBy(*keys, "p.metric", who.alias("winner")).agg(F.count(F.lit(1)).alias("skus"), F.sum("demand").alias("demand"))
+    tot = counts.where("winner <> 'excluded'").groupBy(*keys, "metric").agg(F.sum("skus").alias("_s"), F.sum("demand").alias("_d"))
+    share = lambda c, t: F.when(F.col("winner") != "excluded", r6(div(F.col(c), F.col(t))))
+    return counts.join(tot, [*keys, "metric"], "left").select(*keys, "metric", "winner", "skus", "demand", share("skus", "_s").alias("sku_share"), share("demand", "_d").alias("demand_share"))

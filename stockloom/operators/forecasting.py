@@ -87,15 +87,9 @@ def widen_horizons(pred: DataFrame, horizons, value: str = "y_pred") -> DataFram
 
 
 # -- per-series models -----------------------------------------------------
-def _design(y: np.ndarray, lags: list[int]) -> tuple[np.ndarray, np.ndarray]:
-    top = max(lags)
-    cols = [np.ones(len(y) - top)] + [y[top - k:len(y) - k] for k in lags]
-    return np.column_stack(cols), y[top:]
-
-
-def _fit(y: np.ndarray, lags: list[int]) -> tuple[np.ndarray, float]:
-    """Least-squares autoregression and its corrected information criterion."""
-    x, t = _design(y, lags)
+def _fit(y: np.ndarray, lags: list[int], start: int) -> tuple[np.ndarray, float]:
+    """Least-squares autoregression on y[start:] and its corrected information criterion."""
+    x, t = np.column_stack([np.ones(len(y) - start)] + [y[start - k:len(y) - k] for k in lags]), y[start:]
     n, k = x.shape
     if n <= k + 1:
         raise ValueError("history too short")
@@ -106,23 +100,37 @@ def _fit(y: np.ndarray, lags: list[int]) -> tuple[np.ndarray, float]:
     return coef, score + (2 * p * (p + 1) / (n - p - 1) if n > p + 1 else np.inf)
 
 
-def _steps(y: np.ndarray, coef: np.ndarray, lags: list[int], steps: int) -> list[float]:
-    path = list(y)
-    for _ in range(steps):
-        path.append(float(coef[0] + sum(c * path[-k] for c, k in zip(coef[1:], lags))))
-    return path[len(y):]
+def _choose(y: np.ndarray, order: int, seasons: tuple[int, ...]) -> tuple[np.ndarray, list[int], int]:
+    """Coefficients, lags and season of lowest criterion.
+
+    All candidates are scored on the rows that the longest one leaves, so that criteria can be compared; the chosen one is then fitted
+    on all rows it has. A season of a year needs two years; any other one is left out only where its lag leaves too few rows to fit.
+    """
+    base = list(range(1, order + 1))
+    open_ = {0: base} | {s: sorted({*base, s}) for s in seasons if len(y) - max(s, order) > len({*base, s}) + 2 and (s < 52 or len(y) >= 104)}
+    start = max(max(lags) for lags in open_.values())
+    best = min(open_, key=lambda s: (_fit(y, open_[s], start)[1], s)) if len(open_) > 1 else 0
+    return _fit(y, open_[best], max(open_[best]))[0], open_[best], best
+
+
+def _paths(y: np.ndarray, at: np.ndarray, coef: np.ndarray, lags: list[int], steps: int) -> np.ndarray:
+    """Forecasts 1..steps ahead from every position in ``at`` at once (rows)."""
+    out = np.zeros((len(at), steps))
+    for h in range(steps):
+        out[:, h] = coef[0] + sum(c * (y[at + h + 1 - k] if h < k else out[:, h - k]) for c, k in zip(coef[1:], lags))
+    return out
 
 
 FIT_SCHEMA = ("center_id string, sku_id string, week_st date, horizon int, target_date date, model string, status string, "
-              "season int, y_pred double")
+              "season int, y_pred double, y_raw double")
 
 
 def per_series_fit(df: DataFrame, cutoff: str, horizons, seasons: tuple[int, ...] = (), order: int = 2) -> DataFrame:
     """One autoregression per SKU on log1p, coefficients frozen at the cutoff, state moved week by week.
 
-    With ``seasons`` each period that the history covers is tried as an extra lag and the lowest
-    criterion wins. A series that cannot be fitted falls back to its mean level and says why.
-    Groups are one SKU's weeks, so their size is set by the calendar.
+    With ``seasons`` each period that can be fitted is tried as an extra lag and the lowest criterion wins. A series that cannot be
+    fitted falls back to its mean level and says why. ``y_raw`` is the forecast as it comes, infinite where it overflows; ``y_pred`` is
+    the delivered one: not below zero, and zero where the raw one is not finite. Groups are one SKU's weeks, bounded by the calendar.
     """
     cut, last = pd.Timestamp(cutoff), max(horizons)
 
@@ -131,33 +139,30 @@ def per_series_fit(df: DataFrame, cutoff: str, horizons, seasons: tuple[int, ...
         weeks = pd.to_datetime(pdf["week_st"])
         logs = np.log1p(pdf["qty"].to_numpy(dtype=float))
         known = logs[(weeks < cut).to_numpy()]
-        status, season, coef, lags = "fitted", 0, None, list(range(1, order + 1))
+        status, season, coef, lags = "fitted", 0, None, []
         try:
             if len(known) and known.min() == known.max():
                 raise ValueError("constant history")
-            best, score = _fit(known, lags)
-            coef = best
-            for s in seasons:
-                if len(known) < (104 if s >= 52 else 2 * s):
-                    continue
-                trial = sorted({*range(1, order + 1), s})
-                c, a = _fit(known, trial)
-                if a < score:
-                    coef, score, lags, season = c, a, trial, s
+            if len(known) <= order + 2 + order:
+                raise ValueError("history too short")
+            coef, lags, season = _choose(known, order, seasons)
         except (ValueError, np.linalg.LinAlgError) as e:
             status = str(e)
         level = float(np.expm1(known).mean()) if len(known) else 0.0
-        out = []
-        for i in np.flatnonzero((weeks >= cut).to_numpy()):
-            if coef is None or i + 1 < max(lags):
-                path = [level] * last
-            else:
-                raw = np.expm1(np.minimum(_steps(logs[:i + 1][-max(lags):], coef, lags, last), 700.0))
-                path = [float(v) if np.isfinite(v) and v > 0 else 0.0 for v in raw]
-            for h in horizons:
-                out.append((pdf["center_id"].iloc[0], pdf["sku_id"].iloc[0], weeks.iloc[i].date(), h,
-                            (weeks.iloc[i] + pd.Timedelta(weeks=h)).date(), "ar_seasonal" if seasons else "ar", status, season, path[h - 1]))
-        return pd.DataFrame(out, columns=[c.split()[0] for c in FIT_SCHEMA.split(", ")])
+        at = np.flatnonzero((weeks >= cut).to_numpy())
+        raw = np.full((len(at), last), level)
+        if coef is not None:
+            able = at + 1 >= max(lags)
+            with np.errstate(over="ignore", invalid="ignore"):
+                raw[able] = np.expm1(_paths(logs, at[able], coef, lags, last))
+        raw = raw[:, [h - 1 for h in horizons]].ravel()
+        each = np.repeat(at, len(horizons))
+        step = np.tile(horizons, len(at))
+        week = weeks.to_numpy()[each]
+        return pd.DataFrame({
+            "center_id": pdf["center_id"].iloc[0], "sku_id": pdf["sku_id"].iloc[0], "week_st": pd.Series(week).dt.date, "horizon": step.astype("int32"),
+            "target_date": pd.Series(week + step * np.timedelta64(7, "D")).dt.date, "model": "ar_seasonal" if seasons else "ar", "status": status, "season": season,
+            "y_pred": np.where(np.isfinite(raw) & (raw > 0), raw, 0.0), "y_raw": raw})
 
     return df.select(*SKU, "week_st", "qty").groupBy(*SKU).applyInPandas(run, FIT_SCHEMA)
 

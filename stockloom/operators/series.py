@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from stockloom.functions import columns as C
 from stockloom.operators.marts import SKU, densify
-from stockloom.sources.storage import pin
+from stockloom.sources.storage import written
 
 # Feature settings.
 LAGS = (1, 2, 4)
@@ -103,12 +103,18 @@ def add_coldstart(df: DataFrame, weeks: int = COLDSTART_WEEKS, veteran: str | No
 
 
 def add_intermittency(df: DataFrame) -> DataFrame:
-    """Demand interval and squared variation from the rows before the current one."""
+    """Demand interval and squared variation from the rows before the current one.
+
+    The variation n(nQ - S^2) / ((n - 1)S^2) is exact: whole-number sums, rounded half up to six places by whole division.
+    """
     out = df.withColumns({"_fs": first_sale(), "_n": F.sum("sold").over(earlier())})
-    sold_q = F.when(F.col("sold") == 1, F.col("qty").cast("double"))
+    sold_q = F.when(F.col("sold") == 1, F.col("qty").cast("decimal(18,0)"))
     out = out.withColumns({
-        "_c": F.count(sold_q).over(earlier()), "_m": F.avg(sold_q).over(earlier()), "_s": F.stddev_samp(sold_q).over(earlier())})
-    at_sale = F.when((F.col("sold") == 1) & (F.col("_c") >= 2) & (F.col("_m") > 0), F.pow(F.col("_s") / F.col("_m"), 2))
+        "_c": F.count(sold_q).over(earlier()).cast("decimal(18,0)"), "_m": F.sum(sold_q).over(earlier()).cast("decimal(18,0)"),
+        "_s": F.sum((sold_q * sold_q).cast("decimal(28,0)")).over(earlier()).cast("decimal(28,0)")})
+    exact = F.expr("""cast((2000000 * cast(_c * (_c * _s - _m * _m) as decimal(38,0)) + cast((_c - 1) * _m * _m as decimal(38,0)))
+                      div (2 * cast((_c - 1) * _m * _m as decimal(38,0))) as double) / 1000000""")
+    at_sale = F.when((F.col("sold") == 1) & (F.col("_c") >= 2) & (F.col("_m") > 0), exact)
     return out.withColumns({
         "adi": C.div(weeks_between(F.col("week_st"), F.col("_fs")), F.col("_n")),
         "cv2": F.last(at_sale, ignorenulls=True).over(so_far())}).drop("_fs", "_n", "_c", "_m", "_s")
@@ -136,28 +142,32 @@ def category_fallback(df: DataFrame, cols: list[str], max_weeks: int = MAX_WIDEN
 
     Order: level 3, 2, 1 and centre mean of the week; the nearest earlier week with values up to
     ``max_weeks`` back; the mean of all weeks so far. The series rows are aggregated once to
-    (centre, week, categories); every other table is derived from that small one.
+    (centre, week, categories). Every other table is derived from that small one and joined to it,
+    so the series rows are shuffled for one join only. Means are exact: values count in millionths,
+    and a mean is rounded half up to six places by whole division.
     """
-    both = lambda c: [F.sum(F.col(c).cast("double")).alias(f"{c}_s"), F.count(c).alias(f"{c}_n")]
-    merge = lambda c: [F.sum(f"{c}_s").alias(f"{c}_s"), F.sum(f"{c}_n").alias(f"{c}_n")]
+    both = lambda c: [F.sum(F.round(F.col(c).cast("double") * 1000000).cast("decimal(20,0)")).alias(f"{c}_s"), F.count(c).alias(f"{c}_n")]
+    merge = lambda c: [F.sum(f"{c}_s").cast("decimal(30,0)").alias(f"{c}_s"), F.sum(f"{c}_n").alias(f"{c}_n")]
     flat = lambda make: [a for c in cols for a in make(c)]
-    base = pin(df.groupBy("center_id", "week_st", *LEVELS).agg(*flat(both)))
-    out = df
+    mean_of = lambda c: F.expr(f"cast((2 * {c}_s + {c}_n) div (2 * nullif({c}_n, 0)) as double) / 1000000")
+    keys = ["center_id", "week_st"]
+    base = written(df.groupBy(*keys, *LEVELS).agg(*flat(both)), "fallback-base")
+    groups = base.select(*keys, *LEVELS)
     for level in LEVELS:
-        table = base.groupBy("center_id", "week_st", level).agg(*flat(merge)).select(
-            "center_id", "week_st", level, *[C.div(F.col(f"{c}_s"), F.col(f"{c}_n")).alias(f"{c}_{level}") for c in cols])
-        out = out.join(table, ["center_id", "week_st", level], "left")
-    week = base.groupBy("center_id", "week_st").agg(*flat(merge))
+        table = base.where(F.col(level).isNotNull()).groupBy(*keys, level).agg(*flat(merge)).select(*keys, level, *[mean_of(c).alias(f"{c}_{level}") for c in cols])
+        groups = groups.join(table, [*keys, level], "left")
+    week = base.groupBy(*keys).agg(*flat(merge))
     w = W.partitionBy("center_id").orderBy("week_st")  # one row per week
     back, run = w.rowsBetween(W.unboundedPreceding, -1), w.rowsBetween(W.unboundedPreceding, 0)
+    week = week.withColumns({f"{c}_{x}r": F.sum(f"{c}_{x}").over(run) for c in cols for x in "sn"})
     weekly = []
     for c in cols:
-        mean = C.div(F.col(f"{c}_s"), F.col(f"{c}_n"))
-        known = F.when(mean.isNotNull(), F.struct(F.col("week_st").alias("w"), mean.alias("v")))
-        near = F.last(known, ignorenulls=True).over(back)
-        weekly += [mean.alias(f"{c}_week"), near.alias(f"{c}_near"),
-                   C.div(F.sum(f"{c}_s").over(run), F.sum(f"{c}_n").over(run)).alias(f"{c}_run")]
-    out = out.join(week.select("center_id", "week_st", *weekly), ["center_id", "week_st"], "left")
+        known = F.when(F.col(f"{c}_n") > 0, F.struct(F.col("week_st").alias("w"), mean_of(c).alias("v")))
+        weekly += [mean_of(c).alias(f"{c}_week"), F.last(known, ignorenulls=True).over(back).alias(f"{c}_near"),
+                   F.expr(f"cast((2 * {c}_sr + {c}_nr) div (2 * nullif({c}_nr, 0)) as double) / 1000000").alias(f"{c}_run")]
+    groups = groups.join(week.select(*keys, *weekly), keys, "left")
+    same = [F.col(f"d.{k}").eqNullSafe(F.col(f"g.{k}")) for k in (*keys, *LEVELS)]
+    out = df.alias("d").join(groups.alias("g"), same, "left").select("d.*", *[f"g.{n}" for n in groups.columns if n not in (*keys, *LEVELS)])
     for c in cols:
         age = weeks_between(F.col("week_st"), F.col(f"{c}_near.w"))
         near = F.when(age <= max_weeks, F.col(f"{c}_near.v"))

@@ -29,14 +29,26 @@ class Scope:
     option_code: str | None = None
     sku_id: str | None = None
 
-    def filter(self, df: DataFrame) -> DataFrame:
+    def wanted(self) -> dict[str, str]:
+        return {name: value for name in (*LEVELS, "option_code", "sku_id") if (value := getattr(self, name)) is not None}
+
+    def local(self, df: DataFrame) -> DataFrame:
+        """The filters on columns that the frame has; the caller joins a filtered master for the rest."""
         out = df if self.center == "ALL" else df.where(F.col("center_id") == self.center)
-        for name in (*LEVELS, "option_code", "sku_id"):
-            value = getattr(self, name)
-            if value is not None and name in df.columns:
+        for name, value in self.wanted().items():
+            if name in df.columns:
                 out = out.where(F.col(name) == value)
         return out
 
+    def filter(self, df: DataFrame, master: DataFrame | None = None) -> DataFrame:
+        """All filters. Fields that the frame lacks are looked up in the master; one that cannot be applied is an error."""
+        missing = set(self.wanted()) - set(df.columns)
+        if not missing:
+            return self.local(df)
+        if master is None or not set(SKU) <= set(df.columns):
+            raise ValueError(f"the scope's {sorted(missing)} cannot be applied here")
+        return self.local(df).join(self.filter(master).select(*SKU), SKU, "left_semi")
+
     def drill(self) -> str:
         """The level below the chosen one."""
         return "cat_s" if self.cat_m else "cat_m" if self.cat_l else "cat_l"
@@ -53,7 +65,7 @@ def search_products(df: DataFrame, text: str, cols: list[str]) -> DataFrame:
 
 
 def scoped(facts: DataFrame, master: DataFrame, scope: Scope, cols: list[str]) -> DataFrame:
-    return scope.filter(facts).join(scope.filter(master).select(*SKU, *cols), SKU)
+    return scope.local(facts).join(scope.filter(master).select(*SKU, *cols), SKU)
 
 
 def products(master: DataFrame, forecast: DataFrame, scope: Scope, text: str) -> DataFrame:
@@ -92,16 +104,16 @@ def summary(demand: DataFrame, master: DataFrame, scope: Scope, basis: str, time
     at = lambda c: F.coalesce(F.sum(F.when(now, F.col(c))).cast(MONEY), F.lit(0).cast(MONEY))
     one = rows.agg(at("sales_amount").alias("total_sales_amount"), at("return_amount").alias("return_amount"), at("net_sales_amount").alias("net_sales_amount"),
                    F.count_if(now & (F.col("sales_qty") > 0)).alias("active_sku_count"), F.sum(F.when(before, F.col("sales_amount"))).alias("_p"))
-    units = rows.where(now).groupBy("option_code").agg(F.sum("sales_qty").alias("q"))
-    by_unit = units.agg(F.array_join(F.sort_array(F.collect_list(F.concat("option_code", F.lit("="), F.col("q").cast("string")))), ";")).scalar()
+    units = rows.where(now).groupBy("option_code").agg(F.sum("sales_qty").alias("sales_qty"), F.sum("return_qty").alias("return_qty"))
+    by_unit = lambda c: units.agg(F.array_join(F.sort_array(F.collect_list(F.concat("option_code", F.lit("="), F.col(c).cast("string")))), ";")).scalar().alias(f"{c}_by_unit")
     return one.select(
         "total_sales_amount", "return_amount", "net_sales_amount", "active_sku_count",
         r6(div(F.col("return_amount"), F.col("total_sales_amount"))).alias("return_rate"),
-        r6(div(F.col("total_sales_amount") - F.col("_p"), F.col("_p")) * 100).alias("change_pct"), by_unit.alias("sales_qty_by_unit"))
+        r6(div(F.col("total_sales_amount") - F.col("_p"), F.col("_p")) * 100).alias("change_pct"), by_unit("sales_qty"), by_unit("return_qty"))
 
 
-def sparkline(demand: DataFrame, scope: Scope, basis: str, n: int, time: str = "week_st", step: int = 7) -> DataFrame:
-    rows = scope.filter(demand).where((F.col(time) <= day(basis)) & (F.col(time) > F.date_sub(day(basis), n * step)))
+def sparkline(demand: DataFrame, master: DataFrame, scope: Scope, basis: str, n: int, time: str = "week_st", step: int = 7) -> DataFrame:
+    rows = scope.filter(demand, master).where((F.col(time) <= day(basis)) & (F.col(time) > F.date_sub(day(basis), n * step)))
     return rows.groupBy(time).agg(total("sales_amount"), total("return_amount"), total("net_sales_amount"))
 
 
@@ -144,28 +156,34 @@ def product_ranking(facts: DataFrame, master: DataFrame, scope: Scope, basis: st
     return with_share(rows.select(*SKU, "product_name", "option_code", "sales_amount"), "sales_amount")
 
 
-def region_sales(regional: DataFrame, scope: Scope, first: str, last: str) -> DataFrame:
-    rows = scope.filter(regional).where(F.col("tx_date").between(day(first), day(last)))
-    return with_share(rows.groupBy("sido").agg(total("sales_amount")), "sales_amount")
+def region_sales(regional: DataFrame, master: DataFrame, scope: Scope, first: str, last: str) -> DataFrame:
+    """Sales by province and city, with shares."""
+    rows = scope.filter(regional, master).where(F.col("tx_date").between(day(first), day(last)))
+    return with_share(rows.groupBy("sido", "sigungu").agg(total("sales_amount")), "sales_amount")
 
 
-def region_products(regional: DataFrame, scope: Scope, sido: str, first: str, last: str, k: int) -> DataFrame:
-    rows = scope.filter(regional).where((F.col("sido") == sido) & F.col("tx_date").between(day(first), day(last)))
-    return rows.groupBy("sku_id").agg(total("sales_amount")).orderBy(F.desc("sales_amount"), "sku_id").limit(k)
+def region_products(regional: DataFrame, master: DataFrame, scope: Scope, sido: str, sigungu: str, first: str, last: str, k: int) -> DataFrame:
+    """The best-selling products of one city, with name and unit."""
+    place = (F.col("sido") == sido) & (F.col("sigungu") == sigungu)
+    rows = scope.filter(regional, master).where(place & F.col("tx_date").between(day(first), day(last)))
+    return rows.groupBy("sku_id", "product_name", "option_code").agg(total("sales_amount")).orderBy(F.desc("sales_amount"), "sku_id", "product_name", "option_code").limit(k)
 
 
 def inventory_shortage(stock: DataFrame, wide: DataFrame, master: DataFrame, scope: Scope, basis: str) -> DataFrame:
     inv = stock.where((F.col("week_st") == day(basis)) & (F.col("inventory_available") == 1))
     fc = wide.where((F.col("week_st") == day(basis)) & F.col("h1_pred").isNotNull()).select(*SKU, "h1_pred")
-    rows = scoped(inv, master, scope, ["product_name", "option_code"]).join(fc, SKU).where("inventory_return_excluded < h1_pred")
+    eligible = scoped(inv, master, scope, ["product_name", "option_code"]).join(fc, SKU)
+    counts = eligible.agg(F.count("*").alias("n"), F.count_if(F.col("inventory_return_excluded") < F.col("h1_pred")).alias("short"))
+    n, rate = counts.select("n").scalar(), counts.select(r6(div(F.col("short"), F.col("n")))).scalar()
+    rows = eligible.where("inventory_return_excluded < h1_pred")
     short = F.greatest(F.col("h1_pred") - F.col("inventory_return_excluded"), F.lit(0.0))
     return rows.select(*SKU, "product_name", "option_code", "inventory_return_excluded", r6(F.col("h1_pred")).alias("h1_pred"), r6(short).alias("shortage_qty"),
-                       r6(div(F.col("inventory_return_excluded"), F.col("h1_pred"))).alias("fulfillment_rate"))
+                       r6(div(F.col("inventory_return_excluded"), F.col("h1_pred"))).alias("fulfillment_rate"), n.alias("eligible_count"), rate.alias("shortage_rate"))
 
 
 def sales_surge(demand: DataFrame, master: DataFrame, scope: Scope, basis: str, time: str = "week_st") -> DataFrame:
     """Increase against the same period seven days before; one conditional aggregate, no self join."""
-    rows = scope.filter(demand).where(F.col(time).isin(day(basis), F.date_sub(day(basis), 7)))
+    rows = scope.local(demand).where(F.col(time).isin(day(basis), F.date_sub(day(basis), 7)))
     at = lambda rule: F.coalesce(F.sum(F.when(rule, F.col("sales_qty"))), F.lit(0).cast("bigint"))
     both = rows.groupBy(*SKU).agg(at(F.col(time) == day(basis)).alias("current_qty"), at(F.col(time) < day(basis)).alias("prev_qty"))
     up = both.withColumn("increase_qty", F.col("current_qty") - F.col("prev_qty")).where("increase_qty > 0")
@@ -178,17 +196,25 @@ def returns(demand: DataFrame, master: DataFrame, scope: Scope, basis: str, time
     return scoped(rows, master, scope, ["product_name", "option_code"]).select(*SKU, "product_name", "option_code", "return_qty", "return_amount")
 
 
-def daily_summary(agg: DataFrame, grid: DataFrame, raw: DataFrame, scope: Scope, basis: str, days: int) -> DataFrame:
-    """Zero-filled daily line of sums, record counts and selling SKUs up to the basis date."""
+def daily_summary(agg: DataFrame, sparse: DataFrame, grid: DataFrame, raw: DataFrame, scope: Scope, basis: str, days: int) -> DataFrame:
+    """Zero-filled daily line of sums, return rate, record counts and selling SKUs up to the basis date.
+
+    The summed mart has no SKUs; a scope with one reads the sparse daily rows instead.
+    """
     known = scope.filter(grid).agg(F.min("grid_start")).scalar()
     first = F.greatest(F.date_sub(day(basis), days - 1), F.col("_g"))
     one = grid.sparkSession.range(1).withColumn("_g", known)
     dates = one.select(F.explode(F.sequence(first, day(basis), F.expr("interval 1 day"))).alias("tx_date"))
-    inside = lambda df: scope.filter(df).where(F.col("tx_date").between(F.date_sub(day(basis), days - 1), day(basis)))
-    sums = inside(agg).groupBy("tx_date").agg(total("sales_amount"), total("return_amount"), total("net_sales_amount"), F.sum("active_sku_count").alias("active_sku_count"))
-    records = inside(raw.where("qty > 0")).groupBy("tx_date").agg(F.count(F.lit(1)).alias("sales_record_count"))
-    out = dates.join(sums, "tx_date", "left").join(records, "tx_date", "left")
-    return out.na.fill(0)
+    inside = lambda df: df.where(F.col("tx_date").between(F.date_sub(day(basis), days - 1), day(basis)))
+    if scope.sku_id is None:
+        facts, active = inside(scope.filter(agg)), F.sum("active_sku_count")
+    else:
+        facts = inside(scope.filter(sparse, grid)).withColumn("net_sales_amount", F.col("sales_amount") - F.col("return_amount"))
+        active = F.count_if(F.col("sales_qty") > 0)
+    sums = facts.groupBy("tx_date").agg(total("sales_amount"), total("return_amount"), total("net_sales_amount"), total("sales_qty"), total("return_qty"), active.alias("active_sku_count"))
+    records = inside(scope.filter(raw)).where("qty > 0").groupBy("tx_date").agg(F.count(F.lit(1)).alias("sales_record_count"))
+    out = dates.join(sums, "tx_date", "left").join(records, "tx_date", "left").na.fill(0)
+    return out.withColumn("return_rate", r6(div(F.col("return_amount"), F.col("sales_amount"))))
 
 
 def product_activity(sparse: DataFrame, raw: DataFrame, master: DataFrame, scope: Scope, basis: str) -> DataFrame:
@@ -205,17 +231,32 @@ def daily_transactions(sparse: DataFrame, grid: DataFrame, scope: Scope, basis:
     return span.join(sparse.select(*SKU, "tx_date", *cols), [*SKU, "tx_date"], "left").na.fill(0, cols)
 
 
-def product_picker(master: DataFrame, wide: DataFrame, basis: str, scope: Scope, text: str, k: int) -> DataFrame:
-    """Search with unit filter, products with a forecast only, sorted by it; a missing value sorts as -1."""
-    fc = wide.where(F.col("week_st") == day(basis)).select(*SKU, "h1_pred", "h2_pred", "h4_pred")
-    rows = search_products(scope.filter(master), text, ["product_name", "barcode"]).join(fc, SKU)
-    keyed = rows.withColumn("sort_value", F.coalesce(r6(F.col("h1_pred")), F.lit(-1.0)))
-    return keyed.orderBy(F.desc("sort_value"), *SKU).limit(k).select(*SKU, "product_name", "option_code", "sort_value")
+PICKER_SORTS = {"name": "product_name", "recent": "sales_qty", "h1": "h1_pred", "amount": "sales_amount"}
+
 
+def product_picker(master: DataFrame, wide: DataFrame, demand: DataFrame, basis: str, scope: Scope, text: str, sort: str = "h1", forecast: str = "all") -> DataFrame:
+    """All products that match, with forecast and recent sales, sorted by name or by one of the values (largest first, missing last).
 
-def kpi_list(demand: DataFrame, master: DataFrame, scope: Scope, basis: str, value: str) -> DataFrame:
-    """Products behind a figure, with the bar length relative to the largest."""
-    rows = scoped(demand.where((F.col("week_st") == day(basis)) & (F.col(value) > 0)), master, scope, ["product_name"]).select(
-        *SKU, "product_name", F.col(value), "net_sales_amount")
-    top = rows.agg(F.max(value).cast("double")).scalar()
-    return rows.withColumn("bar", r6(div(F.col(value), top)))
+    ``forecast``: all, available (one horizon at least) or unavailable. Nothing is cut off; a caller pages through the sorted rows.
+    """
+    fc = wide.where(F.col("week_st") == day(basis)).select(*SKU, "h1_pred", "h2_pred", "h4_pred")
+    recent = demand.where(F.col("week_st") == day(basis)).select(*SKU, "sales_qty", "sales_amount")
+    rows = search_products(scope.filter(master), text, ["product_name", "barcode"]).join(fc, SKU, "left").join(recent, SKU, "left")
+    has = F.coalesce("h1_pred", "h2_pred", "h4_pred").isNotNull()
+    if forecast != "all":
+        rows = rows.where(has if forecast == "available" else ~has)
+    by = F.col("product_name") if sort == "name" else F.desc_nulls_last(PICKER_SORTS[sort])
+    return rows.orderBy(by, *SKU).select(*SKU, "product_name", "option_code", has.cast("int").alias("has_forecast"), r6(F.col("h1_pred")).alias("h1_pred"), "sales_qty", "sales_amount")
+
+
+def kpi_list(demand: DataFrame, raw: DataFrame, master: DataFrame, scope: Scope, basis: str) -> DataFrame:
+    """The products behind three figures (sales, record count, selling SKUs), with the bar length relative to the figure's largest value."""
+    at = scoped(demand.where(F.col("week_st") == day(basis)), master, scope, ["product_name"])
+    week = raw.where((F.col("qty") > 0) & F.col("tx_date").between(day(basis), F.date_add(day(basis), 6)))
+    records = week.groupBy(*SKU).agg(F.count(F.lit(1)).cast("double").alias("records"))
+    rows = at.join(records, SKU, "left").select(
+        *SKU, "product_name", F.explode(F.array(*[F.struct(F.lit(f).alias("figure"), v.cast("double").alias("value")) for f, v in (
+            ("sales", F.col("sales_amount")), ("records", F.col("records")), ("skus", F.when(F.col("sales_qty") > 0, F.col("sales_qty"))))])).alias("x")
+    ).select(*SKU, "product_name", "x.figure", "x.value").where("value > 0")
+    top = rows.groupBy("figure").agg(F.max("value").alias("_top"))
+    return rows.join(top, "figure").select(*SKU, "product_name", "figure", r6(F.col("value")).alias("value"), r6(div(F.col("value"), F.col("_top"))).alias("bar"))

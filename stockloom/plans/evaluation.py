@@ -45,9 +45,9 @@ def metrics_by_source(s):
     return by.join(totals, ["model", "horizon"]).withColumn("ratio", r6(div(F.col("n"), F.col("_t")))).drop("_t")
 
 
-@query("H05", "coldstart_metrics", f"SELECT model, horizon, {METRIC} FROM preds WHERE n_sold < 5 GROUP BY 1, 2")
+@query("H05", "coldstart_metrics", f"SELECT model, horizon, {METRIC} FROM preds WHERE n_sold = 0 GROUP BY 1, 2")
 def coldstart_metrics(s):
-    return EV.metrics(preds(s).where("n_sold < 5"), ["model", "horizon"])
+    return EV.metrics(preds(s).where("n_sold = 0"), ["model", "horizon"])
 
 
 @query("H06", "common_panel", "SELECT DISTINCT center_id, sku_id, week_st, horizon FROM panel")
@@ -226,13 +226,13 @@ def fixed_cut(s):
 
 
 @query("H20", "group_metrics", f"""
-SELECT 'quartile' AS grouping, CAST(quartile AS VARCHAR) AS value, {METRIC} FROM preds JOIN quart USING (center_id, sku_id) WHERE model = 'ma4' GROUP BY 2 UNION ALL
+SELECT 'quartile' AS grouping, coalesce(CAST(quartile AS VARCHAR), 'no_history') AS value, {METRIC} FROM preds LEFT JOIN quart USING (center_id, sku_id) WHERE model = 'ma4' GROUP BY 2 UNION ALL
 SELECT 'quarter', CAST(quarter(target_date) AS VARCHAR), {METRIC} FROM preds WHERE model = 'ma4' GROUP BY 2 UNION ALL
 SELECT 'actual', CASE WHEN y_true = 0 THEN 'zero' ELSE 'nonzero' END, {METRIC} FROM preds WHERE model = 'ma4' GROUP BY 2""")
 def group_metrics(s):
     p = preds(s).where("model = 'ma4'")
     part = lambda df, name, value: EV.metrics(df.withColumn("value", value), ["value"]).withColumn("grouping", F.lit(name))
-    return union_all([part(p.join(quartiles(s), M.SKU), "quartile", F.col("quartile").cast("string")),
+    return union_all([part(p.join(quartiles(s), M.SKU, "left"), "quartile", F.coalesce(F.col("quartile").cast("string"), F.lit("no_history"))),
                       part(p, "quarter", F.quarter("target_date").cast("string")),
                       part(p, "actual", F.when(F.col("y_true") == 0, "zero").otherwise("nonzero"))])
 
@@ -273,19 +273,22 @@ def scope_classify(s):
     return preds(s).join(classes, M.SKU).groupBy(scope.alias("scope"), length.alias("history")).agg(F.count("*").alias("n"))
 
 
-@query("H24", "winner_share", """
-WITH w AS (SELECT center_id, sku_id, max(y_true) AS demand, """ + ", ".join(
-    f"round(sum(CASE WHEN model = '{m}' THEN abs_err END) / nullif(max(y_true), 0), 6) AS {m}_wape, round(sum(CASE WHEN model = '{m}' THEN abs(err) END) / nullif(max(y_true), 0), 6) AS {m}_bias" for m in ("ma4", "level"))
-    + """ FROM suff WHERE horizon = 1 GROUP BY 1, 2), l AS (SELECT 'wape' AS metric, demand, ma4_wape AS x, level_wape AS y FROM w UNION ALL SELECT 'bias', demand, ma4_bias, level_bias FROM w),
- c AS (SELECT metric, CASE WHEN x < y THEN 'ma4' WHEN x > y THEN 'level' ELSE 'tie' END AS winner, count(*) AS skus, CAST(sum(demand) AS BIGINT) AS demand FROM l WHERE x IS NOT NULL AND y IS NOT NULL GROUP BY 1, 2)
-SELECT metric, winner, skus, demand, round(skus * 1.0 / sum(skus) OVER (PARTITION BY metric), 6) AS sku_share, round(demand * 1.0 / sum(demand) OVER (PARTITION BY metric), 6) AS demand_share FROM c""")
+_MEASURES = {"wape": "abs_err / nullif(y_true, 0)", "bias": "abs(err) / nullif(y_true, 0)", "mae": "abs_err / n", "rmse": "sqrt(sq_err / n)", "mase": "abs_err / n / nullif(mase_scale, 0)"}
+
+
+@query("H24", "winner_share", "WITH w AS (SELECT center_id, sku_id, horizon, max(y_true) AS demand, " + ", ".join(
+    f"max(CASE WHEN model = '{m}' THEN {e} END) AS {m}_{k}" for m in ("ma4", "level") for k, e in _MEASURES.items())
+    + " FROM suff LEFT JOIN mase USING (center_id, sku_id) GROUP BY 1, 2, 3), l AS (" + " UNION ALL ".join(
+    f"SELECT horizon, '{k}' AS metric, demand, ma4_{k} AS x, level_{k} AS y FROM w" for k in _MEASURES) + """),
+ c AS (SELECT horizon, metric, CASE WHEN x IS NULL OR y IS NULL THEN 'excluded' WHEN abs(x - y) <= 1e-9 * greatest(x, y) THEN 'tie' WHEN x < y THEN 'ma4' ELSE 'level' END AS winner, demand FROM l),
+ g AS (SELECT horizon, metric, winner, count(*) AS skus, CAST(sum(demand) AS BIGINT) AS demand FROM c GROUP BY 1, 2, 3),
+ t AS (SELECT horizon, metric, sum(skus) AS s, sum(demand) AS d FROM g WHERE winner <> 'excluded' GROUP BY 1, 2)
+SELECT horizon, metric, winner, skus, demand, CASE WHEN winner <> 'excluded' THEN round(skus * 1.0 / s, 6) END AS sku_share,
+ CASE WHEN winner <> 'excluded' THEN round(demand * 1.0 / nullif(d, 0), 6) END AS demand_share FROM g LEFT JOIN t USING (horizon, metric)""")
 def winner_share(s):
-    one = suff(s).where("horizon = 1")
-    cols = []
-    for m in ("ma4", "level"):
-        of = lambda c: F.sum(F.when(F.col("model") == m, c))
-        cols += [r6(div(of(F.col("abs_err")), F.max("y_true"))).alias(f"{m}_wape"), r6(div(of(F.abs("err")), F.max("y_true"))).alias(f"{m}_bias")]
-    return EV.winner_share(one.groupBy(*M.SKU).agg(F.max("y_true").alias("demand"), *cols), "ma4", "level", ["wape", "bias"])
+    rows = suff(s).join(EV.mase_scale(history(s)), M.SKU, "left")
+    cols = [F.max(F.when(F.col("model") == m, F.expr(e))).alias(f"{m}_{k}") for m in ("ma4", "level") for k, e in _MEASURES.items()]
+    return EV.winner_share(rows.groupBy(*M.SKU, "horizon").agg(F.max("y_true").alias("demand"), *cols), "ma4", "level", list(_MEASURES), ["horizon"])
 
 
 @query("H25", "oof_validate", """
@@ -358,13 +361,12 @@ def select_family(s):
 
 
 @query("H31", "instability", f"""
-WITH m AS (SELECT center_id, sku_id, max(qty) AS dev_max FROM gq WHERE week_st < DATE '1995-02-06' GROUP BY 1, 2), x AS (
- SELECT model, y_pred * 400 AS p, greatest(coalesce(dev_max, 0) * 100, 10) AS lim FROM preds LEFT JOIN m USING (center_id, sku_id))
+WITH m AS (SELECT center_id, sku_id, max(qty) AS dev_max FROM gq WHERE week_st < DATE '{HOLDOUT_START}' GROUP BY 1, 2), x AS (
+ SELECT model, abs(y_pred) AS p, greatest(coalesce(dev_max, 0), 1) * 100 AS lim FROM preds LEFT JOIN m USING (center_id, sku_id))
 SELECT model, CASE WHEN p > lim THEN 'above_limit' END AS reason, count(*) AS n, CAST(max(lim) AS DOUBLE) AS highest_limit FROM x GROUP BY 1, 2""")
 def instability(s):
-    early = stored_grid(s).where("week_st < date'1995-02-06'").groupBy(*M.SKU).agg(F.max("qty").alias("dev_max"))
-    inflated = preds(s).withColumn("y_pred", F.col("y_pred") * 400)
-    return EV.instability(inflated, early).groupBy("model", "reason").agg(F.count("*").alias("n"), F.max("limit").alias("highest_limit"))
+    most = history(s).groupBy(*M.SKU).agg(F.max("qty").alias("dev_max"))
+    return EV.instability(preds(s), most).groupBy("model", "reason").agg(F.count("*").alias("n"), F.max("limit").alias("highest_limit"))
 
 
 @query("H32", "extreme_top_n", f"""

@@ -50,9 +50,9 @@ def walkforward_folds(s):
 
 @query("G03", "final_masks", f"""
 SELECT center_id, CASE WHEN (center_id <> 'B' OR week_st >= DATE '{REGIME_START}') AND week_st + 28 < DATE '{HOLDOUT_START}' THEN 1 ELSE 0 END AS in_retrain,
- CASE WHEN week_st >= DATE '{HOLDOUT_START}' AND week_st + 28 <= DATE '2001-10-29' THEN 1 ELSE 0 END AS in_holdout, count(*) AS n FROM gq GROUP BY 1, 2, 3""")
+ CASE WHEN week_st >= DATE '{HOLDOUT_START}' AND week_st + 28 <= (SELECT max(week_st) FROM gq) THEN 1 ELSE 0 END AS in_holdout, count(*) AS n FROM gq GROUP BY 1, 2, 3""")
 def final_masks(s):
-    return FO.final_masks(grid(s), "B", REGIME_START, HOLDOUT_START, "2001-10-29", 4).groupBy("center_id", "in_retrain", "in_holdout").agg(F.count("*").alias("n"))
+    return FO.final_masks(grid(s), "B", REGIME_START, HOLDOUT_START, P.last_week(s), 4).groupBy("center_id", "in_retrain", "in_holdout").agg(F.count("*").alias("n"))
 
 
 @query("G04", "boundary_filter", """
@@ -102,13 +102,14 @@ def hier_median_fit_apply(s):
 
 
 @query("G09", "zscore_fit_apply", f"""
-WITH t AS (SELECT avg(qty) AS m, stddev_pop(qty) AS s FROM gq WHERE week_st < DATE '{_BORDER}') SELECT {_K}, round((qty - m) / CASE WHEN s < 1e-8 THEN 1 ELSE s END, 6) AS qty_z FROM gq, t""")
+SELECT {_K}, round((qty - m) / CASE WHEN s < 1e-8 THEN 1 ELSE s END, 6) AS qty_z FROM (
+ SELECT *, avg(qty) FILTER (WHERE week_st < DATE '{_BORDER}') OVER () AS m, stddev_pop(qty) FILTER (WHERE week_st < DATE '{_BORDER}') OVER () AS s FROM gq)""")
 def zscore_fit_apply(s):
     g = grid(s)
     return FO.zscore(g.where(F.col("week_st") < F.lit(_BORDER).cast("date")), g, ["qty"]).select(*KEY, r6(F.col("qty_z")).alias("qty_z"))
 
 
-_EARLY = "1995-01-09"
+_EARLY = HOLDOUT_START
 
 
 @query("G10", "vocab_encode", f"""

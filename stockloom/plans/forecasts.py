@@ -117,13 +117,13 @@ def series_class(s):
 
 
 @query("J02", "baseline_forecast", f"""
-WITH l AS (SELECT center_id, sku_id, avg(qty) AS m, min(qty) AS lo, max(qty) AS hi FROM gq WHERE week_st < DATE '1995-01-16' GROUP BY 1, 2)
+WITH l AS (SELECT center_id, sku_id, avg(qty) AS m, min(qty) AS lo, max(qty) AS hi FROM gq WHERE week_st < DATE '{HOLDOUT_START}' GROUP BY 1, 2)
 SELECT center_id, sku_id, CASE WHEN m IS NULL THEN 'none' WHEN lo = hi THEN 'constant' ELSE 'level' END AS source, round(coalesce(m, 0), 6) AS y_pred, CAST(h AS INT) AS horizon
 FROM (SELECT DISTINCT center_id, sku_id FROM gq) LEFT JOIN l USING (center_id, sku_id), (SELECT unnest([1, 2, 4]) AS h)""")
 def baseline_forecast(s):
     g = grid(s)
-    early = g.where(F.col("week_st") < F.lit("1995-01-16").cast("date"))
-    return FC.baseline_forecast(early, g.select(*M.SKU).distinct(), HORIZONS).withColumn("y_pred", r6(F.col("y_pred")))
+    known = g.where(F.col("week_st") < F.lit(HOLDOUT_START).cast("date"))
+    return FC.baseline_forecast(known, g.select(*M.SKU).distinct(), HORIZONS).withColumn("y_pred", r6(F.col("y_pred")))
 
 
 @query("J03", "coldstart_means", f"SELECT {_K}, round(m_cat_s, 6) AS m_cat_s, round(m_cat_m, 6) AS m_cat_m, round(m_cat_l, 6) AS m_cat_l FROM levels")

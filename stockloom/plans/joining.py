@@ -6,7 +6,7 @@ from stockloom.operators import joins as J
 from stockloom.operators import marts as M
 from stockloom.plans import marts as P
 from stockloom.registry import cte, query
-from stockloom.sources.adapters import BASIS_DATE, BASIS_WEEK
+from stockloom.sources.adapters import BASIS_DATE, BASIS_WEEK, HOLDOUT_START
 
 TX = ["order_no", "line_no", "center_id", "tx_date", "sku_id", "qty"]
 _TX = ", ".join(TX)
@@ -242,7 +242,7 @@ def ref_equal(s):
 
 @query("D27", "cold_lookup", f"""
 SELECT center_id, sku_id, cat_l, cat_m, cat_s FROM pmaster SEMI JOIN
- (SELECT center_id, sku_id FROM tx WHERE work_type = 'inbound' AND tx_date <= DATE '1995-03-01') USING (center_id, sku_id)""")
+ (SELECT center_id, sku_id FROM tx WHERE work_type = 'inbound' AND tx_date <= DATE '{HOLDOUT_START}') USING (center_id, sku_id)""")
 def cold_lookup(s):
     stock = s.tx().where("work_type = 'inbound'").groupBy(*M.SKU).agg(F.min("tx_date").alias("first_stock"))
-    return J.cold_lookup(s.sales(), stock, "1995-03-01", M.SKU, "week_st", ["cat_l", "cat_m", "cat_s"])
+    return J.cold_lookup(s.sales(), stock, HOLDOUT_START, M.SKU, "week_st", ["cat_l", "cat_m", "cat_s"])

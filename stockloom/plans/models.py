@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from stockloom.functions import columns as C
 from stockloom.functions.columns import r6
 from stockloom.operators import evaluation as EV
+from stockloom.operators import folds as FO
 from stockloom.operators import forecasting as FC
 from stockloom.operators import marts as M
 from stockloom.operators import series as S
@@ -18,7 +19,7 @@ from stockloom.registry import query
 from stockloom.sources.adapters import HOLDOUT_START, HORIZONS
 
 COLS = ["lag1", "lag2", "lag4_filled", "roll_mean_4_filled", "cv2_filled", "weeks_inactive", "coldstart", "iso_week", "quarter", "is_b"]
-FOLDS = (("1999Q1", "1999-01-01", "1999-03-31"), ("1999Q3", "1999-07-01", "1999-09-30"))
+FOLDS = FO.quarter_folds(1999)
 SEEDS = (42, 123, 2024)
 TREE = {"maxDepth": 5, "maxBins": 32}
 
@@ -91,7 +92,7 @@ def tweedie(s):
 
 def _score(rows, fold, params, seed):
     """Fit one grid point on one fold and keep additive error sums."""
-    name, lo, hi = fold
+    name, lo, hi = fold.name, fold.val_start, fold.val_end
     val = rows.where(F.col("target_date").between(F.lit(lo).cast("date"), F.lit(hi).cast("date")))
     model = FC.fit_trees(rows.where(F.col("target_date") < F.lit(lo).cast("date")), COLS, "y_log", "forest", seed=seed, maxBins=32, **params)
     err = F.col("y_pred") - F.col("y_true")

@@ -40,14 +40,14 @@ WITH a AS (SELECT *, lag(qty, 1) OVER w AS lag1, lag(qty, 2) OVER w AS lag2, lag
   max(CASE WHEN sold = 1 THEN week_st END) OVER (PARTITION BY center_id, sku_id ORDER BY week_st ROWS UNBOUNDED PRECEDING) AS last_active_week,
   min(CASE WHEN sold = 1 THEN week_st END) OVER (PARTITION BY center_id, sku_id) AS fs,
   row_number() OVER w AS pos, sum(sold) OVER b AS nsold, count(CASE WHEN sold = 1 THEN qty END) OVER b AS c,
-  avg(CASE WHEN sold = 1 THEN qty END) OVER b AS mu, stddev_samp(CASE WHEN sold = 1 THEN qty END) OVER b AS sd
+  sum(CASE WHEN sold = 1 THEN CAST(qty AS HUGEINT) END) OVER b AS sm, sum(CASE WHEN sold = 1 THEN CAST(qty AS HUGEINT) * qty END) OVER b AS sq
  FROM gq WINDOW w AS ({_W}), r AS ({_W} ROWS BETWEEN 3 PRECEDING AND CURRENT ROW), b AS ({_W} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
 SELECT center_id, sku_id, week_st, cat_l, cat_m, cat_s, qty, sold, qty_log1p, lag1, lag2, lag4, ln(1 + lag1) AS lag1_log1p, ln(1 + lag2) AS lag2_log1p,
  ln(1 + lag4) AS lag4_log1p, roll_mean_4, roll_std_4, last_active_week, CAST(floor((week_st - last_active_week) / 7) AS INT) AS weeks_since_active,
  CASE WHEN pos <= 52 THEN 1 ELSE 0 END AS is_warmup,
  CASE WHEN fs IS NULL OR week_st < fs OR floor((week_st - fs) / 7) + 1 < 8 THEN 1 ELSE 0 END AS coldstart,
  CASE WHEN week_st >= fs THEN floor((week_st - fs) / 7) / nullif(nsold, 0) END AS adi,
- last_value(CASE WHEN sold = 1 AND c >= 2 AND mu > 0 THEN (sd / mu) * (sd / mu) END IGNORE NULLS) OVER ({_W} ROWS UNBOUNDED PRECEDING) AS cv2,
+ last_value(CASE WHEN sold = 1 AND c >= 2 AND sm > 0 THEN CAST((2000000 * c * (c * sq - sm * sm) + (c - 1) * sm * sm) // (2 * (c - 1) * sm * sm) AS DOUBLE) / 1000000 END IGNORE NULLS) OVER ({_W} ROWS UNBOUNDED PRECEDING) AS cv2,
  CAST(week(week_st) AS INT) AS iso_week, CAST(month(week_st) AS INT) AS month, CAST(quarter(week_st) AS INT) AS quarter
 FROM a""")
 
@@ -132,11 +132,12 @@ FILL = ["lag4", "roll_mean_4", "cv2"]
 for _c in FILL:
     cte(f"fill_{_c}", f"""
 WITH f AS (SELECT {_K}, cat_l, cat_m, cat_s, CAST({_c} AS DOUBLE) AS v FROM feat),
- wk AS (SELECT center_id, week_st, avg(v) AS mean, sum(v) AS sm, count(v) AS n FROM f GROUP BY 1, 2),
- wx AS (SELECT *, sum(sm) OVER (PARTITION BY center_id ORDER BY week_st) / nullif(sum(n) OVER (PARTITION BY center_id ORDER BY week_st), 0) AS run FROM wk),
+ wk AS (SELECT *, CAST((2 * sm + n) // (2 * nullif(n, 0)) AS DOUBLE) / 1000000 AS mean FROM (SELECT center_id, week_st, coalesce(sum(CAST(round(v * 1000000) AS HUGEINT)), 0) AS sm, count(v) AS n FROM f GROUP BY 1, 2)),
+ wx AS (SELECT *, CAST((2 * sum(sm) OVER z + sum(n) OVER z) // (2 * nullif(sum(n) OVER z, 0)) AS DOUBLE) / 1000000 AS run FROM wk WINDOW z AS (PARTITION BY center_id ORDER BY week_st)),
  wn AS (SELECT a.center_id, a.week_st, max(b.week_st) AS near FROM wk a JOIN wk b ON b.center_id = a.center_id AND b.week_st < a.week_st AND b.n > 0 GROUP BY 1, 2),
- x AS (SELECT f.*, avg(v) OVER (PARTITION BY center_id, cat_s, week_st) AS m3, avg(v) OVER (PARTITION BY center_id, cat_m, week_st) AS m2,
-   avg(v) OVER (PARTITION BY center_id, cat_l, week_st) AS m1 FROM f),
+ i AS (SELECT *, CAST(round(v * 1000000) AS HUGEINT) AS mv FROM f),
+ x AS (SELECT i.*, CAST((2 * sum(mv) OVER w3 + count(v) OVER w3) // (2 * nullif(count(v) OVER w3, 0)) AS DOUBLE) / 1000000 AS m3, CAST((2 * sum(mv) OVER w2 + count(v) OVER w2) // (2 * nullif(count(v) OVER w2, 0)) AS DOUBLE) / 1000000 AS m2, CAST((2 * sum(mv) OVER w1 + count(v) OVER w1) // (2 * nullif(count(v) OVER w1, 0)) AS DOUBLE) / 1000000 AS m1
+   FROM i WINDOW w3 AS (PARTITION BY center_id, cat_s, week_st), w2 AS (PARTITION BY center_id, cat_m, week_st), w1 AS (PARTITION BY center_id, cat_l, week_st)),
  y AS (SELECT x.*, wx.mean AS m0, wx.run, CASE WHEN x.week_st - near <= 56 THEN (x.week_st - near) // 7 END AS k,
    CASE WHEN x.week_st - near <= 56 THEN nb.mean END AS nearv FROM x JOIN wx USING (center_id, week_st) LEFT JOIN wn USING (center_id, week_st)
    LEFT JOIN wk nb ON nb.center_id = x.center_id AND nb.week_st = wn.near)

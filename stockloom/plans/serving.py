@@ -88,16 +88,17 @@ WITH r AS (SELECT d.*, option_code FROM wk_demand d JOIN pmaster USING (center_i
  t AS (SELECT CAST(sum(sales_amount) AS DECIMAL(18,2)) AS total_sales_amount, CAST(sum(return_amount) AS DECIMAL(18,2)) AS return_amount, CAST(sum(net_sales_amount) AS DECIMAL(18,2)) AS net_sales_amount,
   count(*) FILTER (WHERE sales_qty > 0) AS active_sku_count FROM n), p AS (SELECT sum(sales_amount) AS p FROM r WHERE week_st = {_BW} - 7)
 SELECT t.*, round(CAST(return_amount AS DOUBLE) / nullif(CAST(total_sales_amount AS DOUBLE), 0), 6) AS return_rate, round(CAST(total_sales_amount - p AS DOUBLE) / CAST(p AS DOUBLE) * 100, 6) AS change_pct,
- (SELECT string_agg(concat(option_code, '=', CAST(q AS VARCHAR)), ';' ORDER BY concat(option_code, '=', CAST(q AS VARCHAR))) FROM (SELECT option_code, sum(sales_qty) AS q FROM n GROUP BY 1)) AS sales_qty_by_unit FROM t, p""")
+ (SELECT string_agg(concat(option_code, '=', CAST(q AS VARCHAR)), ';' ORDER BY concat(option_code, '=', CAST(q AS VARCHAR))) FROM (SELECT option_code, sum(sales_qty) AS q FROM n GROUP BY 1)) AS sales_qty_by_unit,
+ (SELECT string_agg(concat(option_code, '=', CAST(q AS VARCHAR)), ';' ORDER BY concat(option_code, '=', CAST(q AS VARCHAR))) FROM (SELECT option_code, sum(return_qty) AS q FROM n GROUP BY 1)) AS return_qty_by_unit FROM t, p""")
 def q_summary(s):
     return V.summary(demand(s), master(s), A, BASIS_WEEK)
 
 
 @query("K04", "q_summary_sparkline", f"""
 SELECT week_st, CAST(sum(sales_amount) AS DECIMAL(18,2)) AS sales_amount, CAST(sum(return_amount) AS DECIMAL(18,2)) AS return_amount, CAST(sum(net_sales_amount) AS DECIMAL(18,2)) AS net_sales_amount
-FROM wk_demand WHERE week_st <= {_BW} AND week_st > {_BW} - 84 GROUP BY 1""")
+FROM wk_demand {_ECON} WHERE week_st <= {_BW} AND week_st > {_BW} - 84 GROUP BY 1""")
 def q_summary_sparkline(s):
-    return V.sparkline(demand(s), Scope(), BASIS_WEEK, 12)
+    return V.sparkline(demand(s), master(s), ECON, BASIS_WEEK, 12)
 
 
 @query("K05", "q_inventory", f"""
@@ -131,29 +132,34 @@ def q_category_sales(s):
     return V.category_sales(demand(s), master(s), ECON, BASIS_WEEK)
 
 
-@query("K09", "q_region_sales", _share(f"SELECT sido, {_AMT} FROM day_region WHERE center_id = 'A' AND tx_date BETWEEN {_BW} AND DATE '{WEEK_END}' GROUP BY 1"))
+@query("K09", "q_region_sales", _share(f"SELECT sido, sigungu, {_AMT} FROM day_region WHERE center_id = 'A' AND tx_date BETWEEN {_BW} AND DATE '{WEEK_END}' GROUP BY 1, 2"))
 def q_region_sales(s):
-    return V.region_sales(regional(s), A, BASIS_WEEK, WEEK_END)
+    return V.region_sales(regional(s), master(s), A, BASIS_WEEK, WEEK_END)
 
 
-@query("K09", "q_region_products", f"SELECT sku_id, {_AMT} FROM day_region WHERE center_id = 'A' AND sido = 'ASIA' AND tx_date BETWEEN {_BW} AND DATE '{WEEK_END}' GROUP BY 1 ORDER BY sales_amount DESC, sku_id LIMIT 10")
+@query("K09", "q_region_sales_category", _share(f"SELECT sido, sigungu, {_AMT} FROM day_region {_ECON} WHERE tx_date BETWEEN {_BW} AND DATE '{WEEK_END}' GROUP BY 1, 2"))
+def q_region_sales_category(s):
+    return V.region_sales(regional(s), master(s), ECON, BASIS_WEEK, WEEK_END)
+
+
+@query("K09", "q_region_products", f"SELECT sku_id, product_name, option_code, {_AMT} FROM day_region WHERE center_id = 'A' AND sido = 'ASIA' AND sigungu = 'NATION_2' AND tx_date BETWEEN {_BW} AND DATE '{WEEK_END}' GROUP BY 1, 2, 3 ORDER BY sales_amount DESC, sku_id, product_name, option_code LIMIT 10")
 def q_region_products(s):
-    return V.region_products(regional(s), A, "ASIA", BASIS_WEEK, WEEK_END, 10)
+    return V.region_products(regional(s), master(s), A, "ASIA", "NATION_2", BASIS_WEEK, WEEK_END, 10)
 
 
 @query("K10", "q_inventory_shortage", f"""
-SELECT i.center_id, i.sku_id, product_name, option_code, inventory_return_excluded, round(h1_pred, 6) AS h1_pred, round(greatest(h1_pred - inventory_return_excluded, 0), 6) AS shortage_qty,
- round(inventory_return_excluded / nullif(h1_pred, 0), 6) AS fulfillment_rate FROM wk_inv i JOIN wide USING (center_id, sku_id, week_st) JOIN pmaster USING (center_id, sku_id)
-WHERE week_st = {_BW} AND i.center_id = 'A' AND inventory_available = 1 AND inventory_return_excluded < h1_pred""")
+SELECT center_id, sku_id, product_name, option_code, inventory_return_excluded, round(h1_pred, 6) AS h1_pred, round(greatest(h1_pred - inventory_return_excluded, 0), 6) AS shortage_qty,
+ round(inventory_return_excluded / nullif(h1_pred, 0), 6) AS fulfillment_rate, eligible_count, round(short * 1.0 / eligible_count, 6) AS shortage_rate
+FROM (SELECT *, count(*) OVER () AS eligible_count, count(*) FILTER (WHERE inventory_return_excluded < h1_pred) OVER () AS short FROM wk_inv JOIN wide USING (center_id, sku_id, week_st) JOIN pmaster USING (center_id, sku_id)
+ WHERE week_st = {_BW} AND center_id = 'A' AND inventory_available = 1 AND h1_pred IS NOT NULL) WHERE inventory_return_excluded < h1_pred""")
 def q_inventory_shortage(s):
     return V.inventory_shortage(stock(s), wide(s), master(s), A, BASIS_WEEK)
 
 
 def _surge_sql(table, time, basis, extra=""):
-    return f"""SELECT c.center_id, c.sku_id, c.sales_qty AS current_qty, coalesce(p.sales_qty, 0) AS prev_qty, c.sales_qty - coalesce(p.sales_qty, 0) AS increase_qty,
- round((c.sales_qty - coalesce(p.sales_qty, 0)) * 100.0 / nullif(p.sales_qty, 0), 6) AS increase_pct, product_name, option_code
-FROM {table} c LEFT JOIN {table} p ON p.center_id = c.center_id AND p.sku_id = c.sku_id AND p.{time} = c.{time} - 7 JOIN pmaster m ON m.center_id = c.center_id AND m.sku_id = c.sku_id
-WHERE c.center_id = 'A' AND c.{time} = {basis} AND c.sales_qty > coalesce(p.sales_qty, 0) {extra}"""
+    return f"""SELECT center_id, sku_id, current_qty, prev_qty, current_qty - prev_qty AS increase_qty, round((current_qty - prev_qty) * 100.0 / nullif(prev_qty, 0), 6) AS increase_pct, product_name, option_code
+FROM (SELECT center_id, sku_id, CAST(coalesce(sum(CASE WHEN {time} = {basis} THEN sales_qty END), 0) AS BIGINT) AS current_qty, CAST(coalesce(sum(CASE WHEN {time} < {basis} THEN sales_qty END), 0) AS BIGINT) AS prev_qty
+ FROM {table} WHERE center_id = 'A' AND {time} IN ({basis}, {basis} - 7) GROUP BY 1, 2) JOIN pmaster USING (center_id, sku_id) WHERE current_qty > prev_qty {extra}"""
 
 
 @query("K11", "q_sales_surge", _surge_sql("wk_demand", "week_st", _BW))
@@ -166,14 +172,36 @@ def q_returns(s):
     return V.returns(demand(s), master(s), A, BASIS_WEEK)
 
 
-@query("K13", "q_daily_summary", f"""
-WITH d AS (SELECT CAST(unnest(generate_series(CAST(greatest({_BD} - 29, (SELECT min(grid_start) FROM day_sku_grid)) AS TIMESTAMP), CAST({_BD} AS TIMESTAMP), INTERVAL 1 DAY)) AS DATE) AS tx_date),
- a AS (SELECT tx_date, CAST(sum(sales_amount) AS DECIMAL(18,2)) AS sa, CAST(sum(return_amount) AS DECIMAL(18,2)) AS ra, CAST(sum(net_sales_amount) AS DECIMAL(18,2)) AS na, CAST(sum(active_sku_count) AS BIGINT) AS ac FROM day_summary GROUP BY 1),
- r AS (SELECT tx_date, count(*) AS n FROM tx WHERE kind = 'sales' AND qty > 0 GROUP BY 1)
+def _daily_sql(facts, records, grid="TRUE", active="sum(active_sku_count)"):
+    return f"""
+WITH d AS (SELECT CAST(unnest(generate_series(CAST(greatest({_BD} - 29, (SELECT min(grid_start) FROM day_sku_grid WHERE {grid})) AS TIMESTAMP), CAST({_BD} AS TIMESTAMP), INTERVAL 1 DAY)) AS DATE) AS tx_date),
+ a AS (SELECT tx_date, sum(sales_amount) AS sa, sum(return_amount) AS ra, sum(net_sales_amount) AS na, sum(sales_qty) AS sq, sum(return_qty) AS rq, {active} AS ac FROM {facts} GROUP BY 1),
+ r AS (SELECT tx_date, count(*) AS n FROM tx WHERE kind = 'sales' AND qty > 0 AND {records} GROUP BY 1)
 SELECT tx_date, CAST(coalesce(sa, 0) AS DECIMAL(18,2)) AS sales_amount, CAST(coalesce(ra, 0) AS DECIMAL(18,2)) AS return_amount, CAST(coalesce(na, 0) AS DECIMAL(18,2)) AS net_sales_amount,
- coalesce(ac, 0) AS active_sku_count, coalesce(n, 0) AS sales_record_count FROM d LEFT JOIN a USING (tx_date) LEFT JOIN r USING (tx_date)""")
+ CAST(coalesce(sq, 0) AS BIGINT) AS sales_qty, CAST(coalesce(rq, 0) AS BIGINT) AS return_qty, CAST(coalesce(ac, 0) AS BIGINT) AS active_sku_count, coalesce(n, 0) AS sales_record_count,
+ round(CAST(ra AS DOUBLE) / nullif(CAST(sa AS DOUBLE), 0), 6) AS return_rate FROM d LEFT JOIN a USING (tx_date) LEFT JOIN r USING (tx_date)"""
+
+
+def _daily(s, scope):
+    return V.daily_summary(summary(s), sparse(s), sku_grid(s), raw(s), scope, BASIS_DATE, 30)
+
+
+@query("K13", "q_daily_summary", _daily_sql("day_summary", "TRUE"))
 def q_daily_summary(s):
-    return V.daily_summary(summary(s), sku_grid(s), raw(s), Scope(), BASIS_DATE, 30)
+    return _daily(s, Scope())
+
+
+_IN_ECON = "center_id = 'A' AND cat_l = 'ECONOMY'"
+
+
+@query("K13", "q_daily_summary_category", _daily_sql(f"(SELECT * FROM day_summary WHERE {_IN_ECON})", _IN_ECON, _IN_ECON))
+def q_daily_summary_category(s):
+    return _daily(s, ECON)
+
+
+@query("K13", "q_daily_summary_sku", _daily_sql(f"(SELECT *, sales_amount - return_amount AS net_sales_amount FROM day_sparse WHERE {_ONE})", _ONE, _ONE, "count(*) FILTER (WHERE sales_qty > 0)"))
+def q_daily_summary_sku(s):
+    return _daily(s, ONE)
 
 
 @query("K14", "q_daily_category_sales", _share(f"""
@@ -189,9 +217,9 @@ def q_daily_product_ranking(s):
     return V.product_ranking(sparse(s), master(s), ECON, BASIS_DATE, "tx_date")
 
 
-@query("K15", "q_daily_region_sales", _share(f"SELECT sido, {_AMT} FROM day_region WHERE center_id = 'A' AND tx_date = {_BD} GROUP BY 1"))
+@query("K15", "q_daily_region_sales", _share(f"SELECT sido, sigungu, {_AMT} FROM day_region WHERE center_id = 'A' AND tx_date = {_BD} GROUP BY 1, 2"))
 def q_daily_region_sales(s):
-    return V.region_sales(regional(s), A, BASIS_DATE, BASIS_DATE)
+    return V.region_sales(regional(s), master(s), A, BASIS_DATE, BASIS_DATE)
 
 
 @query("K16", "q_daily_product_activity", f"""
@@ -225,7 +253,7 @@ def q_daily_inventory(s):
     return inv.where((F.col("tx_date") <= V.day(BASIS_DATE)) & (F.col("tx_date") > F.date_sub(V.day(BASIS_DATE), 30)))
 
 
-@query("K21", "q_surge_pct", _surge_sql("wk_demand", "week_st", _BW, "AND c.sales_qty >= 5 AND p.sales_qty > 0"))
+@query("K21", "q_surge_pct", _surge_sql("wk_demand", "week_st", _BW, "AND current_qty >= 5 AND prev_qty > 0"))
 def q_surge_pct(s):
     return V.sales_surge(demand(s), master(s), A, BASIS_WEEK).where("current_qty >= 5 and increase_pct is not null")
 
@@ -239,15 +267,28 @@ def q_returns_top_unit(s):
     return rows.join(lead, "option_code", "left_semi")
 
 
-@query("K25", "q_product_picker", f"""
-SELECT center_id, sku_id, product_name, option_code, coalesce(round(h1_pred, 6), -1) AS sort_value FROM wide JOIN pmaster USING (center_id, sku_id)
-WHERE week_st = {_BW} AND center_id = 'A' AND (lower(product_name) LIKE '%e%' OR lower(barcode) LIKE '%e%') ORDER BY sort_value DESC, center_id, sku_id LIMIT 25""")
+_PICK = f"""
+SELECT m.center_id, m.sku_id, product_name, option_code, CASE WHEN coalesce(h1_pred, h2_pred, h4_pred) IS NULL THEN 0 ELSE 1 END AS has_forecast, round(h1_pred, 6) AS h1_pred, sales_qty, sales_amount
+FROM pmaster m LEFT JOIN (SELECT * FROM wide WHERE week_st = {_BW}) w ON w.center_id = m.center_id AND w.sku_id = m.sku_id
+LEFT JOIN (SELECT center_id, sku_id, sales_qty, sales_amount FROM wk_demand WHERE week_st = {_BW}) d ON d.center_id = m.center_id AND d.sku_id = m.sku_id
+WHERE m.center_id = 'A' AND (lower(product_name) LIKE '%e%' OR lower(barcode) LIKE '%e%')"""
+
+
+@query("K25", "q_product_picker", _PICK)
 def q_product_picker(s):
-    return V.product_picker(master(s), wide(s), BASIS_WEEK, A, "e", 25)
+    return V.product_picker(master(s), wide(s), demand(s), BASIS_WEEK, A, "e")
+
+
+@query("K25", "q_product_picker_available", f"{_PICK} AND coalesce(h1_pred, h2_pred, h4_pred) IS NOT NULL")
+def q_product_picker_available(s):
+    return V.product_picker(master(s), wide(s), demand(s), BASIS_WEEK, A, "e", "amount", "available")
 
 
 @query("K26", "q_kpi_lists", f"""
-SELECT center_id, sku_id, product_name, sales_amount, net_sales_amount, round(CAST(sales_amount AS DOUBLE) / CAST(max(sales_amount) OVER () AS DOUBLE), 6) AS bar
-FROM wk_demand JOIN pmaster USING (center_id, sku_id) WHERE center_id = 'A' AND week_st = {_BW} AND sales_amount > 0""")
+WITH r AS (SELECT center_id, sku_id, count(*) AS n FROM tx WHERE kind = 'sales' AND qty > 0 AND tx_date BETWEEN {_BW} AND {_BW} + 6 GROUP BY 1, 2),
+ b AS (SELECT * FROM wk_demand JOIN pmaster USING (center_id, sku_id) LEFT JOIN r USING (center_id, sku_id) WHERE center_id = 'A' AND week_st = {_BW}),
+ l AS (SELECT center_id, sku_id, product_name, 'sales' AS figure, CAST(sales_amount AS DOUBLE) AS value FROM b UNION ALL SELECT center_id, sku_id, product_name, 'records', CAST(n AS DOUBLE) FROM b
+  UNION ALL SELECT center_id, sku_id, product_name, 'skus', CAST(sales_qty AS DOUBLE) FROM b)
+SELECT center_id, sku_id, product_name, figure, round(value, 6) AS value, round(value / max(value) OVER (PARTITION BY figure), 6) AS bar FROM l WHERE value > 0""")
 def q_kpi_lists(s):
-    return V.kpi_list(demand(s), master(s), A, BASIS_WEEK, "sales_amount")
+    return V.kpi_list(demand(s), raw(s), master(s), A, BASIS_WEEK)

@@ -429,9 +429,9 @@ WITH r AS (SELECT *, rank() OVER (PARTITION BY indicator, transform, month_offse
  w AS (SELECT concat(indicator, '@', CAST(month_offset AS VARCHAR)) AS candidate, max(CASE WHEN transform = 'raw' THEN rho END) AS raw, max(CASE WHEN transform = 'yoy' THEN rho END) AS yoy,
   max(CASE WHEN transform = 'detrended' THEN rho END) AS detrended, max(CASE WHEN transform = 'raw' THEN n END) AS n FROM s GROUP BY 1)
 SELECT candidate, raw, yoy, detrended, n, round(abs(raw) + greatest(coalesce(abs(detrended), 0), coalesce(abs(yoy), 0)), 6) AS score FROM w
-WHERE abs(raw) >= 0.05 / sqrt(n - 1) AND (coalesce(abs(detrended) >= 0.05 / sqrt(n - 1), false) OR coalesce(abs(yoy) >= 0.05 / sqrt(n - 1), false)) ORDER BY score DESC, candidate LIMIT 5""")
+WHERE abs(raw) >= 1.96 / sqrt(n - 1) AND (coalesce(abs(detrended) >= 1.96 / sqrt(n - 1), false) OR coalesce(abs(yoy) >= 1.96 / sqrt(n - 1), false)) ORDER BY score DESC, candidate LIMIT 5""")
 def candidate_score(s):
-    return ST.candidate_score(_rhos(s), 5, z=0.05).select("candidate", "raw", "yoy", "detrended", "n", "score")
+    return ST.candidate_score(_rhos(s), 5, z=1.96).select("candidate", "raw", "yoy", "detrended", "n", "score")
 
 
 @query("I08", "center_comparison", """

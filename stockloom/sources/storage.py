@@ -34,3 +34,10 @@ def pin(df: DataFrame) -> DataFrame:
     """Fix a frame's rows in reliable storage so that every later use sees the same values."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def written(df: DataFrame, label: str) -> DataFrame:
+    """Write a frame that is joined later to the shared folder: unlike a checkpoint, what is read back has a known size."""
+    path = new_table_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
