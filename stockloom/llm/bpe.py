@@ -20,7 +20,9 @@ from stockloom.llm.common import map_rows
 
 LEAF = 4096  # characters in a part of a long chunk; parts are joined exactly, so it only balances work
 _CHUNK = re.compile("[^ \t-\r]+")
-_KEEP, _LONGEST = 150_000, 64
+_KEEP, _LONGEST = 200_000, 64  # known chunks kept per generation, and their longest length
+# ASCII and Latin-1 letters, perhaps with one mark behind: lower case and NFC change nothing else, and letters and mark are apart anyway
+_PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]?)")
 
 
 class Codec:
@@ -38,15 +40,43 @@ class Codec:
         self.names |= {number: word for word, number in self.added.items()}
         self.special = re.compile("|".join(map(re.escape, sorted(self.added, key=len, reverse=True)))) if self.added else None
         self.bare = Tokenizer.from_str(json.dumps(bare | {"normalizer": None, "added_tokens": []}))
-        self.known: dict[str, tuple[bytes, str]] = {}
+        steps = (bare["normalizer"] or {}).get("normalizers", [])
+        self.lowers = [n["type"] for n in steps] == ["NFC", "Replace", "Lowercase"] and bare["pre_tokenizer"]["pretokenizers"][-1]["type"] == "ByteLevel"
+        self.known, self.old, self.words, self.old_words = {}, {}, {}, {}
+        printable = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
+        others = [b for b in range(256) if b not in printable]
+        self.byte_letters = {b: chr(b) for b in printable} | {b: chr(256 + k) for k, b in enumerate(others)}  # how byte-level models write bytes
 
     # -- short chunks
+    def result(self, ids: list[int]) -> tuple[bytes, str]:
+        return np.array(ids, dtype="<u4").tobytes(), " ".join(map(self.names.__getitem__, ids))
+
+    def word(self, word: str) -> tuple[bytes, str]:
+        """Lower-case letters of the plain kind: merged by the model alone."""
+        found = self.words.get(word) or self.old_words.get(word)
+        if found is None:
+            letters = word if word.isascii() else word.encode("utf-8").decode("latin-1").translate(self.byte_letters)
+            found = self.result([t.id for t in self.full.model.tokenize(letters)])
+        if len(self.words) >= _KEEP:
+            self.old_words, self.words = self.words, {}
+        self.words[word] = found
+        return found
+
     def chunk(self, chunk: str) -> tuple[bytes, str]:
-        ids = self.full.encode(chunk, add_special_tokens=False).ids
-        found = np.array(ids, dtype="<u4").tobytes(), " ".join(map(self.names.__getitem__, ids))
+        """A chunk that is not among the known ones of this generation."""
+        found = self.old.get(chunk)
+        if found is None:
+            plain = _PLAIN.fullmatch(chunk) if self.lowers and len(chunk) <= _LONGEST else None
+            if plain is None:
+                found = self.result(self.full.encode(chunk, add_special_tokens=False).ids)
+            elif not plain[2]:
+                found = self.word(plain[1].lower())
+            else:
+                (ids, text), (mark, sign) = self.word(plain[1].lower()), self.known.get(plain[2]) or self.chunk(plain[2])
+                found = ids + mark, f"{text} {sign}"
         if len(chunk) <= _LONGEST:
             if len(self.known) >= _KEEP:
-                self.known.clear()
+                self.old, self.known = self.known, {}
             self.known[chunk] = found
         return found
 
