@@ -18,6 +18,11 @@ def r6(col: Column) -> Column:
     return F.round(col, 6)
 
 
+def mean6(total: str, count: str) -> Column:
+    """Mean of whole numbers, rounded half up to six places by whole division; exact where a float would fall on either side of a half."""
+    return F.expr(f"cast((2000000 * cast({total} as decimal(28,0)) + {count}) div (2 * nullif({count}, 0)) as double) / 1000000")
+
+
 def div(a: Column, b: Column) -> Column:
     """Double division; NULL when the divisor is zero or unknown."""
     return a.cast("double") / F.nullif(b.cast("double"), F.lit(0.0))

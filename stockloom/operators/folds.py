@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from stockloom.functions import columns as C
 from stockloom.operators.ranking import quantiles
-from stockloom.sources.storage import pin
+from stockloom.sources.storage import written
 
 
 @dataclass(frozen=True)
@@ -112,14 +112,16 @@ def level_medians(train: DataFrame, levels: list[str], col: str) -> DataFrame:
 
 def hier_median(train: DataFrame, df: DataFrame, levels: list[str], col: str) -> DataFrame:
     """Fill from training medians of the narrowest known group; the source is recorded."""
-    medians = pin(level_medians(train, levels, col))
-    out, source = df, F.when(F.col(col).isNotNull(), "own")
+    medians = written(level_medians(train, levels, col), "medians")
+    groups, source = df.select(*levels).distinct(), F.when(F.col(col).isNotNull(), "own")
     values = [F.col(col).cast("double")]
     for i, level in enumerate(levels):
         table = medians.where(F.col("level") == level).select(F.col("key").alias(level), F.col("median").alias(f"_m{i}"))
-        out = out.join(table, level, "left")
+        groups = groups.join(table, level, "left")
         values.append(F.col(f"_m{i}"))
         source = source.when(F.col(f"_m{i}").isNotNull(), level)
+    same = [F.col(f"d.{x}").eqNullSafe(F.col(f"g.{x}")) for x in levels]  # medians meet on the groups; the rows are joined once
+    out = df.alias("d").join(written(groups, "group-medians").alias("g"), same, "left").select("d.*", *[f"g._m{i}" for i in range(len(levels))])
     whole = medians.where("level = 'global'").select("median").scalar()
     return (out.withColumn("_g", whole)
             .withColumns({f"{col}_source": source.when(F.col("_g").isNotNull(), "global").otherwise("none"),

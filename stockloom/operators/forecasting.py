@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from stockloom.functions import columns as C
 from stockloom.operators.marts import SKU
 from stockloom.operators.series import series, so_far
+from stockloom.sources.storage import written
 
 SEASON = 52
 SHORT_HISTORY = 6
@@ -32,18 +33,23 @@ def with_levels(grid: DataFrame) -> DataFrame:
 
 
 def coldstart_means(grid: DataFrame, levels: list[str]) -> DataFrame:
-    """Mean demand of each category up to each week, narrowest known level first, then the centre."""
-    base = grid.groupBy("center_id", "week_st", *levels).agg(F.sum("qty").alias("s"), F.count("qty").alias("n"))
-    out = grid
-    for level in levels:
-        w = W.partitionBy("center_id", level).orderBy("week_st").rowsBetween(W.unboundedPreceding, 0)
-        table = base.groupBy("center_id", level, "week_st").agg(F.sum("s").alias("s"), F.sum("n").alias("n")).select(
-            "center_id", level, "week_st", C.div(F.sum("s").over(w), F.sum("n").over(w)).alias(f"m_{level}"))
-        out = out.join(table, ["center_id", level, "week_st"], "left")
-    w = W.partitionBy("center_id").orderBy("week_st").rowsBetween(W.unboundedPreceding, 0)
-    week = base.groupBy("center_id", "week_st").agg(F.sum("s").alias("s"), F.sum("n").alias("n")).select(
-        "center_id", "week_st", C.div(F.sum("s").over(w), F.sum("n").over(w)).alias("m_center"))
-    return out.join(week, ["center_id", "week_st"], "left")
+    """Mean demand of each category up to each week, narrowest known level first, then the centre.
+
+    All means are joined to one row per centre, week and categories; the grid is joined once.
+    """
+    keys = ["center_id", "week_st", *levels]
+    base = grid.groupBy(*keys).agg(F.sum("qty").alias("s"), F.count("qty").alias("n"))
+    groups = base.select(*keys)
+    for level in (*levels, None):
+        of = ["center_id", *([level] if level else [])]
+        w = W.partitionBy(*of).orderBy("week_st").rowsBetween(W.unboundedPreceding, 0)
+        sums = base.where(F.col(level).isNotNull()) if level else base
+        table = sums.groupBy(*of, "week_st").agg(F.sum("s").alias("s"), F.sum("n").alias("n")).select(
+            *of, "week_st", F.sum("s").over(w).alias("ss"), F.sum("n").over(w).alias("nn")).select(*of, "week_st", C.mean6("ss", "nn").alias(f"m_{level or 'center'}"))
+        groups = groups.join(table, [*of, "week_st"], "left")
+    groups = written(groups, "coldstart-means")
+    same = [F.col(f"d.{k}").eqNullSafe(F.col(f"g.{k}")) for k in keys]
+    return grid.alias("d").join(groups.alias("g"), same, "left").select("d.*", *[f"g.{c}" for c in groups.columns if c not in keys])
 
 
 def rolling_origin(grid: DataFrame, start: str, horizons, end, levels: list[str]) -> DataFrame:

@@ -34,14 +34,16 @@ def center_week_summary(facts: DataFrame, value: str) -> DataFrame:
 
 
 def level_zero_ratio(grid: DataFrame, levels: list[str], short: int) -> DataFrame:
-    """Zero share, mean demand and short-series share when demand is summed to each hierarchy level."""
+    """Zero ratios of the series at each hierarchy level, each over its own first to last week with demand, and how many series are short."""
     tags = F.explode(F.array(*[F.struct(F.lit(x).alias("level"), F.col(x).alias("key")) for x in levels])).alias("t")
-    week = grid.select("center_id", "week_st", "qty", tags).groupBy("center_id", "t.level", "t.key", "week_st").agg(F.sum("qty").alias("q"))
-    one = week.groupBy("center_id", "level", "key").agg(
-        F.count(F.lit(1)).alias("w"), F.count_if(F.col("q") == 0).alias("z"), F.sum("q").alias("s"), F.count_if(F.col("q") > 0).alias("a"))
+    week = grid.select("center_id", "week_st", "qty", tags).groupBy("center_id", "t.level", "t.key", "week_st").agg(F.sum("qty").alias("q")).where("q <> 0")
+    length = (F.datediff(F.max("week_st"), F.min("week_st")) / 7).cast("bigint") + 1
+    one = week.groupBy("center_id", "level", "key").agg(length.alias("length"), F.count(F.lit(1)).alias("active"), F.sum("q").alias("s"))
+    one = one.withColumns({"z": div(F.col("length") - F.col("active"), F.col("length")), "d": div(F.col("s"), F.col("length"))})
+    share = lambda rule: r6(div(F.count_if(rule), F.count(F.lit(1))) * 100)
     return one.groupBy("center_id", "level").agg(
-        F.count(F.lit(1)).alias("series"), r6(div(F.sum("z"), F.sum("w"))).alias("zero_ratio"), r6(div(F.sum("s"), F.sum("w"))).alias("mean_demand"),
-        r6(div(F.count_if(F.col("a") < short), F.count(F.lit(1))) * 100).alias("short_pct"))
+        F.count(F.lit(1)).alias("series"), r6(F.avg("z")).alias("zero_ratio"), r6(F.median("z")).alias("median_zero_ratio"), share(F.col("z") <= 0.1).alias("low_zero_pct"),
+        r6(F.avg("d")).alias("mean_demand"), share(F.col("length") < short).alias("short_pct"))
 
 
 def interval_distribution(facts: DataFrame, min_active: int = 5, top: int = 12) -> DataFrame:

@@ -156,9 +156,12 @@ def _hard(c):
     return F.when(F.col("sale_probability") >= c, F.col("conditional_qty")).otherwise(0.0)
 
 
-@query("H13", "threshold_sweep", _SWEEP("hurdle", _HARD, "horizon, "))
+@query("H13", "threshold_sweep", f"SELECT *, CASE WHEN row_number() OVER (PARTITION BY horizon ORDER BY wape, abs(bias), cut) = 1 THEN 1 ELSE 0 END AS best FROM ({_SWEEP('hurdle', _HARD, 'horizon, ')})")
 def threshold_sweep(s):
-    return EV.sweep(hurdle(s), CUTS, _hard, ["horizon"])
+    """All cuts, the best of each horizon marked."""
+    swept = EV.sweep(hurdle(s), CUTS, _hard, ["horizon"])
+    best = EV.best_cut(swept, ["horizon"]).select("horizon", F.col("cut").alias("_best"))
+    return swept.join(best, "horizon").withColumn("best", (F.col("cut") == F.col("_best")).cast("int")).drop("_best")
 
 
 cte("adi_group", "SELECT center_id, sku_id, CASE WHEN count(*) * 1.0 / nullif(sum(sold), 0) < 1.32 THEN 'smooth' ELSE 'intermittent' END AS adi_group FROM gq WHERE week_st < DATE '" + HOLDOUT_START + "' GROUP BY 1, 2")

@@ -23,8 +23,8 @@ _W = "PARTITION BY center_id, sku_id ORDER BY week_st"
 
 
 def _run_mean(level):
-    return (f"cm_{level} AS (SELECT center_id, {level}, week_st, sum(s) OVER (PARTITION BY center_id, {level} ORDER BY week_st) * 1.0 / sum(n) OVER "
-            f"(PARTITION BY center_id, {level} ORDER BY week_st) AS m FROM (SELECT center_id, {level}, week_st, CAST(sum(qty) AS DOUBLE) AS s, count(*) AS n FROM gq GROUP BY 1, 2, 3))")
+    return (f"cm_{level} AS (SELECT center_id, {level}, week_st, CAST((2000000 * sum(s) OVER z + sum(n) OVER z) // (2 * sum(n) OVER z) AS DOUBLE) / 1000000 AS m "
+            f"FROM (SELECT center_id, {level}, week_st, CAST(sum(qty) AS HUGEINT) AS s, count(*) AS n FROM gq GROUP BY 1, 2, 3) WINDOW z AS (PARTITION BY center_id, {level} ORDER BY week_st))")
 
 
 cte("levels", f"""

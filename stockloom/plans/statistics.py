@@ -17,7 +17,7 @@ from stockloom.plans.folds import FOLDS, _fold_sql
 from stockloom.plans.forecasts import MODELS, preds, stored_grid
 from stockloom.plans.series import FILL, KEY, _K, _W, features, grid
 from stockloom.registry import cte, query
-from stockloom.sources.adapters import BASIS_WEEK, HOLDOUT_START
+from stockloom.sources.adapters import BASIS_WEEK, HOLDOUT_START, HORIZONS
 
 
 # -- reshape ---------------------------------------------------------------
@@ -173,10 +173,12 @@ _LV = ["sku_id", "cat_s", "cat_m", "cat_l"]
 
 @query("E35", "level_zero_ratio", """
 WITH w AS (""" + " UNION ALL ".join(f"SELECT center_id, '{x}' AS level, {x} AS key, week_st, sum(qty) AS q FROM gq GROUP BY 1, 3, 4" for x in _LV) + """),
- o AS (SELECT center_id, level, key, count(*) AS w, count(*) FILTER (WHERE q = 0) AS z, sum(q) AS s, count(*) FILTER (WHERE q > 0) AS a FROM w GROUP BY 1, 2, 3)
-SELECT center_id, level, count(*) AS series, round(sum(z) * 1.0 / sum(w), 6) AS zero_ratio, round(sum(s) * 1.0 / sum(w), 6) AS mean_demand, round(count(*) FILTER (WHERE a < 60) * 100.0 / count(*), 6) AS short_pct FROM o GROUP BY 1, 2""")
+ o AS (SELECT center_id, level, key, (max(week_st) - min(week_st)) // 7 + 1 AS length, count(*) AS active, sum(q) AS s FROM w WHERE q <> 0 GROUP BY 1, 2, 3),
+ r AS (SELECT *, CAST(length - active AS DOUBLE) / length AS z, CAST(s AS DOUBLE) / length AS d FROM o)
+SELECT center_id, level, count(*) AS series, round(avg(z), 6) AS zero_ratio, round(median(z), 6) AS median_zero_ratio, round(count(*) FILTER (WHERE z <= 0.1) * 100.0 / count(*), 6) AS low_zero_pct,
+ round(avg(d), 6) AS mean_demand, round(count(*) FILTER (WHERE length < 52) * 100.0 / count(*), 6) AS short_pct FROM r GROUP BY 1, 2""")
 def level_zero_ratio(s):
-    return ST.level_zero_ratio(grid(s), _LV, 60)
+    return ST.level_zero_ratio(grid(s), _LV, 52)
 
 
 @query("E36", "interval_distribution", """
@@ -310,13 +312,13 @@ def source_status_summary(s):
 
 
 @query("E59", "population_zero_history", """
-WITH o AS (SELECT DISTINCT week_st FROM wk_sales), p AS (SELECT DISTINCT o.week_st, s.center_id, s.sku_id FROM o JOIN wk_sales s ON s.week_st BETWEEN o.week_st + 7 AND o.week_st + 28),
+WITH o AS (SELECT DISTINCT week_st FROM wk_sales), p AS (SELECT DISTINCT o.week_st, s.center_id, s.sku_id FROM o JOIN wk_sales s ON s.week_st IN (o.week_st + 7, o.week_st + 14, o.week_st + 28)),
  f AS (SELECT center_id, sku_id, min(week_st) AS fw FROM wk_sales GROUP BY 1, 2)
 SELECT p.week_st AS origin, count(*) AS population, count(*) FILTER (WHERE fw > p.week_st) AS zero_history FROM p JOIN f USING (center_id, sku_id) GROUP BY 1""")
 def population_zero_history(s):
     facts = P.sales_facts(s).select(*KEY)
     origins = facts.select("week_st").distinct()
-    seen = facts.select(*M.SKU, F.explode(F.sequence(F.lit(1), F.lit(4))).alias("h"), "week_st").select(*M.SKU, F.date_sub("week_st", F.col("h") * 7).alias("origin")).distinct()
+    seen = facts.select(*M.SKU, F.explode(F.array(*map(F.lit, HORIZONS))).alias("h"), "week_st").select(*M.SKU, F.date_sub("week_st", F.col("h") * 7).alias("origin")).distinct()
     first = facts.groupBy(*M.SKU).agg(F.min("week_st").alias("first_week"))
     return (seen.join(origins.withColumnRenamed("week_st", "origin"), "origin", "left_semi").join(first, M.SKU).groupBy("origin")
             .agg(F.count("*").alias("population"), F.count_if(F.col("first_week") > F.col("origin")).alias("zero_history")))

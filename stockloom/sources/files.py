@@ -23,21 +23,24 @@ def _recode(convert) -> Column:
 
 def read_csv_fallback(spark: SparkSession, path: str, schema, sep: str = ",",
                       encodings: tuple[str, ...] = ("utf-8", "cp949")) -> DataFrame:
-    """Text in an unknown encoding: each value takes the first encoding that decodes it.
+    """Files in UTF-8 or in a legacy encoding, decided for each file: one whose text is not all valid UTF-8 takes the other encoding.
 
-    The file is read byte for byte (so it stays splittable) and only text columns are decoded.
+    Files are read byte for byte, so they stay splittable. The decision is one row per file. Python decodes legacy files only.
     """
+    legacy = encodings[-1]
+
     def decode(value: str) -> str:
-        raw = value.encode("latin-1")
-        for name in encodings[:-1]:
-            try:
-                return raw.decode(name)
-            except UnicodeDecodeError:
-                pass
-        return raw.decode(encodings[-1], errors="replace")
+        return value.encode("latin-1").decode(legacy, errors="replace")
 
-    df = read_csv(spark, path, schema, sep, "ISO-8859-1")
-    return df.withColumns({c: _recode(decode)(F.col(c)) for c, k in df.dtypes if k == "string"})
+    raw = read_csv(spark, path, schema, sep, "ISO-8859-1")
+    texts = [c for c, k in raw.dtypes if k == "string"]
+    if not texts:
+        return raw
+    rows = raw.select("*", F.col("_metadata.file_path").alias("_file"))
+    valid = F.min(F.forall(F.array(*texts), lambda v: F.coalesce(F.is_valid_utf8(F.encode(v, "ISO-8859-1").cast("string")), F.lit(True))))
+    marked = rows.join(rows.groupBy("_file").agg(valid.alias("_utf8")), "_file")
+    decoded = {c: F.when(F.col("_utf8"), F.decode(F.encode(c, "ISO-8859-1"), "UTF-8")).otherwise(_recode(decode)(F.when(~F.col("_utf8"), F.col(c)))) for c in texts}
+    return marked.withColumns(decoded).select(*raw.columns)
 
 
 def write_csv_encoded(df: DataFrame, label: str, sep: str, encoding: str) -> str:
@@ -56,7 +59,7 @@ def write_csv(df: DataFrame, label: str, sep: str = ",", encoding: str = "UTF-8"
 
 
 def write_partitioned(df: DataFrame, label: str, keys: list[str]) -> str:
-    """One folder per key value; rows are spread over tasks first, so a large key is not one writer."""
+    """One folder per key value; each task writes its own part of a key, so a large key has many writers."""
     path = new_table_path(df.sparkSession, label)
     df.write.partitionBy(*keys).parquet(path)
     return path
