@@ -131,12 +131,21 @@ def category_levels(s):
         F.count("*").alias("n"), F.sum("cat_s_unknown").alias("unknown_s"), F.sum("cat_m_unknown").alias("unknown_m"))
 
 
-@query("G12", "one_hot")
+_SLOTS = ("cat_l", "cat_m", "cat_s")
+
+
+@query("G12", "one_hot", "WITH " + ", ".join(
+    f"v_{c} AS (SELECT {c}, CAST(row_number() OVER (ORDER BY {c}) AS INT) AS slot FROM (SELECT DISTINCT {c} FROM tx WHERE week_st < DATE '{HOLDOUT_START}'))" for c in _SLOTS) + f"""
+SELECT {', '.join(_SLOTS)}, {', '.join(f'coalesce(v_{c}.slot, 0) AS {c}_slot' for c in _SLOTS)}, count(*) AS n
+FROM tx {' '.join(f'LEFT JOIN v_{c} USING ({c})' for c in _SLOTS)} WHERE week_st >= DATE '{HOLDOUT_START}' GROUP BY ALL""")
 def one_hot(s):
+    """Fitted on the categories before the border and applied after it; a category that training has not seen has no slot (0)."""
     from pyspark.ml.functions import vector_to_array
-    g = P.master(s)
-    out = FO.one_hot(g, P.LEVELS).transform(g)
-    return out.select(*M.SKU, *[F.array_position(vector_to_array(f"{c}_vec"), 1.0).cast("int").alias(f"{c}_slot") for c in P.LEVELS])
+    tx = s.tx().select("week_st", *_SLOTS)
+    border = F.lit(HOLDOUT_START).cast("date")
+    later = tx.where(F.col("week_st") >= border).groupBy(*_SLOTS).agg(F.count("*").alias("n"))
+    out = FO.one_hot(tx.where(F.col("week_st") < border).select(*_SLOTS).distinct(), list(_SLOTS)).transform(later)
+    return out.select(*_SLOTS, *[F.array_position(vector_to_array(f"{c}_vec"), 1.0).cast("int").alias(f"{c}_slot") for c in _SLOTS], "n")
 
 
 FEATURES = ["lag1", "lag2", "lag4", "roll_mean_4", "roll_std_4", "weeks_since_active", "is_warmup", "coldstart", "adi", "iso_week", "month", "quarter"]
@@ -147,7 +156,9 @@ def training_table(s):
     return S.horizon_targets(features(s), HORIZONS, P.last_week(s))
 
 
-@query("G13", "assemble_xy")
+@query("G13", "assemble_xy", f"""
+SELECT {_K}, week_st + 7 AS target_date, y AS target_h1, CAST({len(FEATURES)} AS INT) AS n_features, round({' + '.join(f'CAST({c} AS DOUBLE)' for c in FEATURES)}, 6) AS feature_sum
+FROM (SELECT *, lead(qty) OVER (PARTITION BY center_id, sku_id ORDER BY week_st) AS y FROM feat) WHERE y IS NOT NULL AND {' AND '.join(f'{c} IS NOT NULL' for c in FEATURES)}""")
 def assemble_xy(s):
     from pyspark.ml.functions import vector_to_array
     rows = training_table(s).where("target_h1 is not null")

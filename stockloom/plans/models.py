@@ -68,6 +68,35 @@ def forest_regression(s):
     return _out(FC.predict_log(FC.fit_trees(train, COLS, "y_log", "forest", numTrees=20, **TREE), hold), "forest")
 
 
+def _audit(df):
+    """Keys, actuals and usable predictions of a model's rows."""
+    return df.groupBy("model").agg(F.count("*").alias("n"), F.count_distinct("center_id", "sku_id", "week_st").alias("keys"), F.sum("y_true").cast("double").alias("y_true"),
+                                   F.count_if(F.col("y_pred").isNull() | F.isnan("y_pred")).alias("missing"), F.count_if(F.col("y_pred") < 0).alias("negative"))
+
+
+_AUDIT = f"""SELECT '{{}}' AS model, count(*) AS n, count(*) AS keys, CAST(sum(y) AS DOUBLE) AS y_true, CAST(0 AS BIGINT) AS missing, CAST(0 AS BIGINT) AS negative
+FROM (SELECT week_st, lead(qty) OVER (PARTITION BY center_id, sku_id ORDER BY week_st) AS y FROM gq) WHERE y IS NOT NULL AND week_st >= DATE '{HOLDOUT_START}'"""
+
+
+@query("J08", "forest_audit", _AUDIT.format("forest"))
+def forest_audit(s):
+    return _audit(forest_regression(s))
+
+
+@query("J11", "tweedie_audit", _AUDIT.format("tweedie"))
+def tweedie_audit(s):
+    return _audit(tweedie(s))
+
+
+@query("J06", "seasonal_audit", f"""
+SELECT count(*) * 3 AS n, count(*) AS keys, CAST(0 AS BIGINT) AS missing, CAST(0 AS BIGINT) AS negative, CAST(0 AS BIGINT) AS beyond FROM gq WHERE week_st >= DATE '{HOLDOUT_START}'""")
+def seasonal_audit(s):
+    """Every origin has every horizon once, delivered forecasts are usable, and target dates follow the horizon."""
+    rows = seasonal_fit(s)
+    return rows.agg(F.count("*").alias("n"), F.count_distinct("center_id", "sku_id", "week_st").alias("keys"), F.count_if(F.col("y_pred").isNull() | F.isnan("y_pred")).alias("missing"),
+                    F.count_if(F.col("y_pred") < 0).alias("negative"), F.count_if(F.col("target_date") != F.date_add("week_st", F.col("horizon") * 7)).alias("beyond"))
+
+
 @query("J09", "boosted_regression")
 def boosted_regression(s):
     train, hold = split(s)
