@@ -10,7 +10,7 @@ from stockloom.operators.profiling import union_all
 from stockloom.plans.forecasts import MASE, METRIC, MODELS, history, oof, panel, preds, stored_grid, trials, wide
 from stockloom.plans.series import KEY, _K
 from stockloom.registry import cte, query
-from stockloom.sources.adapters import HOLDOUT_START, HORIZONS
+from stockloom.sources.adapters import HOLDOUT_START, HORIZONS, REGIME_START
 
 WAPE = "round(sum(abs(y_pred - y_true)) / nullif(sum(y_true), 0) * 100, 6)"
 BIAS = "round(sum(y_pred - y_true) / nullif(sum(y_true), 0) * 100, 6)"
@@ -38,16 +38,19 @@ def metrics_by_scope(s):
 
 
 @query("H04", "metrics_by_source", f"""
-SELECT source, model, horizon, {METRIC}, round(count(*) * 1.0 / sum(count(*)) OVER (PARTITION BY model, horizon), 6) AS ratio FROM preds GROUP BY 1, 2, 3""")
+SELECT *, round(n * 1.0 / sum(n) OVER (PARTITION BY scope, model, horizon), 6) AS ratio FROM (
+ SELECT coalesce(center_id, 'ALL') AS scope, source, model, horizon, {METRIC} FROM preds GROUP BY GROUPING SETS ((center_id, source, model, horizon), (source, model, horizon)))""")
 def metrics_by_source(s):
-    by = EV.metrics(preds(s), ["source", "model", "horizon"])
-    totals = by.groupBy("model", "horizon").agg(F.sum("n").alias("_t"))
-    return by.join(totals, ["model", "horizon"]).withColumn("ratio", r6(div(F.col("n"), F.col("_t")))).drop("_t")
+    by = EV.scoped_metrics(preds(s), ["source", "model", "horizon"])
+    totals = by.groupBy("scope", "model", "horizon").agg(F.sum("n").alias("_t"))
+    return by.join(totals, ["scope", "model", "horizon"]).withColumn("ratio", r6(div(F.col("n"), F.col("_t")))).drop("_t")
 
 
-@query("H05", "coldstart_metrics", f"SELECT model, horizon, {METRIC} FROM preds WHERE n_sold = 0 GROUP BY 1, 2")
+@query("H05", "coldstart_metrics", f"""
+SELECT coalesce(center_id, 'ALL') AS scope, source, model, horizon, {METRIC} FROM preds WHERE n_sold = 0 GROUP BY GROUPING SETS ((center_id, source, model, horizon), (source, model, horizon))""")
 def coldstart_metrics(s):
-    return EV.metrics(preds(s).where("n_sold = 0"), ["model", "horizon"])
+    """Metrics of rows whose SKU had sold nothing by the origin."""
+    return EV.scoped_metrics(preds(s).where("n_sold = 0"), ["source", "model", "horizon"])
 
 
 @query("H06", "common_panel", "SELECT DISTINCT center_id, sku_id, week_st, horizon FROM panel")
@@ -201,14 +204,16 @@ def smearing(s):
         r6(F.min("factor")).alias("factor"), F.round(F.sum(F.col("y_pred") * F.col("factor")), 2).alias("smeared"), F.count("*").alias("n"))
 
 
-cte("sku_avg", f"SELECT center_id, sku_id, avg(qty) AS avg_qty FROM gq WHERE week_st < DATE '{HOLDOUT_START}' GROUP BY 1, 2")
+cte("sku_avg", f"SELECT center_id, sku_id, avg(qty) AS avg_qty FROM gq WHERE week_st < DATE '{HOLDOUT_START}' AND (center_id <> 'B' OR week_st >= DATE '{REGIME_START}') GROUP BY 1, 2")
 cte("edges", "SELECT center_id, list_sort(list_distinct(quantile_cont(avg_qty, [0, 0.25, 0.5, 0.75, 1]))) AS e FROM sku_avg GROUP BY 1")
 cte("quart", """
 SELECT center_id, sku_id, avg_qty, CAST(greatest(len([x for x in e if x < avg_qty]), 1) AS INT) AS quartile FROM sku_avg JOIN edges USING (center_id)""")
 
 
 def sku_avg(s):
-    return history(s).groupBy(*M.SKU).agg(F.avg(F.col("qty").cast("double")).alias("avg_qty"))
+    """Mean weekly demand over the final training population: centre B counts from its regime start only."""
+    known = history(s).where((F.col("center_id") != "B") | (F.col("week_st") >= F.lit(REGIME_START).cast("date")))
+    return known.groupBy(*M.SKU).agg(F.avg(F.col("qty").cast("double")).alias("avg_qty"))
 
 
 def quartiles(s):
@@ -241,12 +246,17 @@ def group_metrics(s):
 
 
 @query("H21", "zero_demand", """
-SELECT quartile, model, count(*) AS n, round(count(*) FILTER (WHERE y_true = 0) * 1.0 / count(*), 6) AS zero_rate, round(avg(y_pred) FILTER (WHERE y_true = 0), 6) AS mean_pred_zero
+SELECT quartile, model, count(*) AS n, round(count(*) FILTER (WHERE y_true = 0) * 1.0 / count(*), 6) AS zero_rate, round(avg(y_pred) FILTER (WHERE y_true = 0), 6) AS mean_pred_zero,
+ round(sum(abs(y_pred - y_true)) FILTER (WHERE y_true > 0) / nullif(sum(y_true) FILTER (WHERE y_true > 0), 0) * 100, 6) AS nonzero_wape,
+ round(sum(y_pred - y_true) FILTER (WHERE y_true > 0) / nullif(sum(y_true) FILTER (WHERE y_true > 0), 0) * 100, 6) AS nonzero_bias
 FROM preds JOIN quart USING (center_id, sku_id) GROUP BY 1, 2""")
 def zero_demand(s):
+    sold = lambda c: F.when(F.col("y_true") > 0, c)
     return preds(s).join(quartiles(s), M.SKU).groupBy("quartile", "model").agg(
         F.count("*").alias("n"), r6(div(F.count_if(F.col("y_true") == 0), F.count("*"))).alias("zero_rate"),
-        r6(F.avg(F.when(F.col("y_true") == 0, F.col("y_pred")))).alias("mean_pred_zero"))
+        r6(F.avg(F.when(F.col("y_true") == 0, F.col("y_pred")))).alias("mean_pred_zero"),
+        r6(div(F.sum(sold(F.abs(F.col("y_pred") - F.col("y_true")))), F.sum(sold(F.col("y_true")))) * 100).alias("nonzero_wape"),
+        r6(div(F.sum(sold(F.col("y_pred") - F.col("y_true"))), F.sum(sold(F.col("y_true")))) * 100).alias("nonzero_bias"))
 
 
 cte("suff", """
