@@ -82,12 +82,6 @@ def pairwise_common(df: DataFrame, models: list[str]) -> DataFrame:
     return unpivot_counts(per, [], entries, "pair")
 
 
-def checks(rows: dict[str, DataFrame]) -> DataFrame:
-    """Violation counts as PASS / FAIL rows. Each frame holds one count."""
-    return union_all([df.select(F.lit(n).alias("check"), F.col(df.columns[0]).cast("bigint").alias("violations"))
-                      for n, df in rows.items()]).withColumn("status", F.when(F.col("violations") == 0, "PASS").otherwise("FAIL"))
-
-
 def oof_validate(df: DataFrame, keys: list[str]) -> DataFrame:
     """Duplicates, missing or negative values and wrong target dates, in two passes."""
     dup = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.coalesce(F.sum(F.when(F.col("n") > 1, F.col("n"))), F.lit(0)).alias("n"))

@@ -58,19 +58,34 @@ def common_panel(s):
     return EV.panel_keys(preds(s), len(MODELS))
 
 
+# rules that no row of the panel may break, as text for both sides
+_ROW_RULES = {
+    "missing_predictions": "y_pred IS NULL", "missing_actuals": "y_true IS NULL", "negative_actuals": "y_true < 0", "unknown_horizon": f"horizon NOT IN ({', '.join(map(str, HORIZONS))})",
+    "wrong_target_date": "datediff({unit}target_date, week_st) <> 7 * horizon", "before_holdout": f"week_st < DATE '{HOLDOUT_START}'", "missing_source": "source IS NULL",
+}
+
+
 @query("H07", "panel_audit", """
 WITH k AS (SELECT count(*) AS n, count(DISTINCT model) AS m, min(y_true) AS lo, max(y_true) AS hi FROM panel GROUP BY center_id, sku_id, week_st, horizon), v AS (
  SELECT 'models_per_key' AS "check", count(*) FILTER (WHERE m <> 5) AS violations FROM k UNION ALL
  SELECT 'duplicate_rows', count(*) FILTER (WHERE n <> m) FROM k UNION ALL SELECT 'equal_actuals', count(*) FILTER (WHERE lo <> hi) FROM k UNION ALL
- SELECT 'negative_predictions', count(*) FROM panel WHERE y_pred < 0 UNION ALL SELECT 'past_the_end', count(*) FROM panel WHERE target_date > (SELECT max(week_st) FROM tx))
+ SELECT 'negative_predictions', count(*) FROM panel WHERE y_pred < 0 UNION ALL SELECT 'past_the_end', count(*) FROM panel WHERE target_date > (SELECT max(week_st) FROM tx) """
+    + " ".join(f"UNION ALL SELECT '{k}', count(*) FROM panel WHERE {v.replace('datediff({unit}target_date, week_st)', 'target_date - week_st')}" for k, v in _ROW_RULES.items()) + """)
 SELECT "check", violations, CASE WHEN violations = 0 THEN 'PASS' ELSE 'FAIL' END AS status FROM v""")
 def panel_audit(s):
     p = panel(s)
     per = p.groupBy(*EV.ROW).agg(F.count("*").alias("n"), F.count_distinct("model").alias("m"), F.min("y_true").alias("lo"), F.max("y_true").alias("hi"))
-    bad = lambda rule: per.agg(F.count_if(F.expr(rule)))
     end = s.lines().agg(F.max("week_st")).scalar()
-    return EV.checks({"models_per_key": bad(f"m <> {len(MODELS)}"), "duplicate_rows": bad("n <> m"), "equal_actuals": bad("lo <> hi"),
-                      "negative_predictions": p.agg(F.count_if(F.col("y_pred") < 0)), "past_the_end": p.agg(F.count_if(F.col("target_date") > end))})
+    by_key = {"models_per_key": F.expr(f"m <> {len(MODELS)}"), "duplicate_rows": F.expr("n <> m"), "equal_actuals": F.expr("lo <> hi")}
+    by_row = {"negative_predictions": F.col("y_pred") < 0, "past_the_end": F.col("target_date") > end, **{k: F.expr(v.replace("{unit}", "")) for k, v in _ROW_RULES.items()}}
+
+    def counted(df, rules):
+        """All rules of one frame in one pass."""
+        entries = F.array(*[F.struct(F.lit(k).alias("check"), F.col(k).alias("violations")) for k in rules])
+        return df.agg(*[F.count_if(rule).alias(k) for k, rule in rules.items()]).select(F.explode(entries).alias("x")).select("x.*")
+
+    found = counted(per, by_key).unionByName(counted(p, by_row))
+    return found.withColumn("status", F.when(F.col("violations") == 0, "PASS").otherwise("FAIL"))
 
 
 cte("cover", """
