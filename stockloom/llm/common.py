@@ -56,7 +56,7 @@ def map_rows(df: DataFrame, schema: str | T.StructType, slices: Callable[[list[l
 def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 60) -> DataFrame:
     """Connected components of an edge table: (node, component), the component being its smallest node. Nodes without edges do not appear.
 
-    Alternating large-star and small-star steps; each round's edges are a stored table, so a lost executor repeats one round at most.
+    Alternating large-star and small-star steps; each round's edges are stored once, so a lost executor repeats one round at most.
     Joins are on the node; a hub's rows are split by adaptive execution. Edges never reach the driver, only their count and checksum do.
     """
     edge = stored(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct(), "edges")
@@ -70,7 +70,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
             both = edge.union(edge.select(F.col("v").alias("u"), F.col("u").alias("v")))
             least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
             large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-            large = stored(large.filter("u <> v").distinct(), "large-star")
+            large = large.filter("u <> v").distinct()  # used three times below, its exchange is made once
             least = large.groupBy("u").agg(F.min("v").alias("m"))
             small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
             edge = stored(small.union(least).distinct(), "small-star")
