@@ -105,11 +105,15 @@ class Model:
         r = np.random.default_rng(seed)
         shape = {"E": (WIDTH, HIDDEN), "e": (HIDDEN,), "V": (HIDDEN, GATES), "U": (HIDDEN, GATES), "w": (GATES,), "c": (HIDDEN,), "b": (1,)}
         self.p = {k: r.normal(0, 1 / np.sqrt(s[0]), s) if len(s) == 2 or k in "wc" else np.zeros(s) for k, s in shape.items()}
-        self.mean, self.scale = np.zeros(WIDTH), np.ones(WIDTH)
+        self.mean, self.scale = np.zeros(WIDTH, np.float32), np.ones(WIDTH, np.float32)
+
+    def scaled(self, x: np.ndarray) -> np.ndarray:
+        return ((x - self.mean) / self.scale).astype(np.float32)
 
     def forward(self, x: np.ndarray, first: np.ndarray):
+        """``x``: scaled encodings."""
         p = self.p
-        h = np.tanh((x - self.mean) / self.scale @ p["E"] + p["e"])
+        h = np.tanh(x @ p["E"] + p["e"])
         t, g = np.tanh(h @ p["V"]), 1 / (1 + np.exp(-(h @ p["U"])))
         s = (t * g) @ p["w"]
         each = np.diff(np.append(first, len(x)))
@@ -121,10 +125,9 @@ class Model:
 
     def fit(self, x: np.ndarray, first: np.ndarray, label: np.ndarray, rounds: int = 250, rate: float = 0.01, ridge: float = 1e-4) -> None:
         """Full-batch Adam on the log loss; the same for the same rows in the same order."""
-        x = x.astype(np.float64)
-        self.mean, self.scale = x.mean(0), x.std(0) + 0.02
+        self.mean, self.scale = x.mean(0, dtype=np.float64).astype(np.float32), (x.std(0, dtype=np.float64) + 0.02).astype(np.float32)
+        x = self.scaled(x)
         m, v = ({k: np.zeros_like(w) for k, w in self.p.items()} for _ in range(2))
-        xs = (x - self.mean) / self.scale
         for step in range(1, rounds + 1):
             p = self.p
             h, t, g, a, z, y, each = self.forward(x, first)
@@ -135,14 +138,15 @@ class Model:
             ds = a * (da - np.repeat(np.add.reduceat(a * da, first), each))
             dt, dg = ds[:, None] * p["w"] * g * (1 - t * t), ds[:, None] * p["w"] * t * g * (1 - g)
             dh = (a[:, None] * dzr + dt @ p["V"].T + dg @ p["U"].T) * (1 - h * h)
-            grad = {"E": xs.T @ dh, "e": dh.sum(0), "V": h.T @ dt, "U": h.T @ dg, "w": (t * g).T @ ds, "c": z.T @ dy, "b": np.array([dy.sum()])}
+            grad = {"E": x.T @ dh, "e": dh.sum(0), "V": h.T @ dt, "U": h.T @ dg, "w": (t * g).T @ ds, "c": z.T @ dy, "b": np.array([dy.sum()])}
             for k, d in grad.items():
                 d = d + ridge * p[k] * (k not in "eb")
                 m[k], v[k] = 0.9 * m[k] + 0.1 * d, 0.999 * v[k] + 0.001 * d * d
                 p[k] = p[k] - rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)
 
     def score(self, texts: list[str]) -> np.ndarray:
-        return self.forward(*passages(texts))[5]
+        x, first = passages(texts)
+        return self.forward(self.scaled(x), first)[5]
 
 
 def held_out(id_col: str = "doc_id") -> Column:
