@@ -131,6 +131,51 @@ def test_extraction_of_page_parts(frame):
     assert extraction.extract(frame([], PAGES)).count() == 0
 
 
+def test_articles_in_closed_elements_are_kept(frame):
+    cases = {
+        "<div class='content-sidebar-wrap'><main><p>x</p></main><div class='sidebar'>no</div></div>": "x",
+        "<article class='post no-sidebar'><p>x</p></article>": "x",
+        "<p>Skip</p><article class='post sponsored'><p>x</p></article>": "x",
+        "<div id='page' class='has-widgets widget'><nav>n</nav><p>x</p></div>": "x",
+        "<p>Skip</p><div id='page' class='widget'><h1>title</h1><p>x</p><div class='ad'>no</div></div>": "Skip\ntitle\nx",
+        "<div class='content has-share'><h1>h</h1><div class='content-sidebar-wrap'><article>long text</article></div></div>": "long text",
+        "<form><main>x</main></form>": "x",
+        "<h1>T</h1><div class='entry-content widget'><p>long text</p></div>": "long text",
+        "<article><p>x</p></article><div class='related'><article>another and longer</article></div>": "x",
+        "<div class='post'>x</div><div class='comments'><article>a longer comment</article></div>": "x",
+        "<p>plain text</p><div class='sidebar-content'>links of the side that are longer</div>": "plain text",
+        "<div class='ad'>buy</div>": "",
+    }
+    rows = [(k, f"http://h{k}.com/", page(b)) for k, b in enumerate(cases)]
+    got = {r.page_id: r.text for r in extraction.extract(frame(rows, PAGES)).collect()}
+    assert got == dict(enumerate(cases.values()))
+
+
+def test_sibling_parts_of_an_article_are_kept(frame):
+    """The slot of a host takes its siblings with it, on pages with both parts and with one; repeated articles beside it are others."""
+    rows = [(k, "http://a.com/", page(f"<div class='story-intro'>intro {k}</div><div class='ad'>no</div><div class='story-body'>body {k}</div><div class='story-body'>more {k}</div>")) for k in range(4)]
+    rows += [(10 + k, "http://b.com/", page(f"<article class='a'>first {k}</article><article class='b'>second {k}</article>")) for k in range(4)]
+    rows += [(20 + k, "http://c.com/", page(f"<article class='full'>text {k}</article><article class='card'>one {k}</article><article class='card'>two {k}</article>")) for k in range(4)]
+    rows += [(30, "http://a.com/", page("<div class='story-body'>alone</div>"))]
+    got = {r.page_id: r.text for r in extraction.extract(frame(rows, PAGES)).collect()}
+    want = {k: f"intro {k}\nbody {k}\nmore {k}" for k in range(4)} | {10 + k: f"first {k}\nsecond {k}" for k in range(4)} | {20 + k: f"text {k}" for k in range(4)}
+    assert got == want | {30: "alone"}
+
+
+def test_skipped_elements_without_an_end(frame):
+    cases = {
+        "<article><svg width='1'/><p>a</p></article>": "a",
+        "<article><button>go<p>a</p><select><option>o<p>b</p></article><p>z</p>": "a\nb",
+        "<article><p>a<button>go</button> b</p><object><object>i</object>o</object><p>c<object>d</p><p>e</p></article>": "a b\nc\ne",
+        "<article><p>a <svg><title>i</title><path/></svg>b</p><button><div>x</div>y</button><p>c</p></article>": "a b\nc",
+        "<article><p>a<button>go</p><p>b</p><button>ok</button></article>": "a\nb",
+        "<script src='x'/><p>a</p>": "a",
+    }
+    rows = [(k, f"http://h{k}.com/", page(b)) for k, b in enumerate(cases)]
+    got = {r.page_id: r.text for r in extraction.extract(frame(rows, PAGES)).collect()}
+    assert got == dict(enumerate(cases.values()))
+
+
 def test_constant_texts_of_a_host_are_template(frame):
     """Without a main element, what a host's pages share is boilerplate; equal pages count once, and articles are never thinned."""
     rows = [(k, "http://a.com/", page(f"<div>Welcome</div><p>story {k}</p><div>All rights</div>")) for k in range(6)]
