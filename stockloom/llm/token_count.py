@@ -8,6 +8,7 @@ The proof holds in every context because byte-level merges never cross pre-token
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -15,9 +16,11 @@ from pyspark.sql import functions as F
 from stockloom.llm.common import map_rows
 
 # A run of characters that are not white space, with one space before it, starts and ends at a pre-token boundary, as do the white-space
-# runs of the pattern. Rare white space, on whose class libraries differ, sends the text through the library as a whole.
+# runs of the pattern. Rare white space, on whose class libraries differ, sends what stands between the nearest white-space runs through the library's own pre-tokenizer: a run of ASCII white space
+# after a common character always begins a pre-token.
 _PIECE = re.compile(r" ?\S+|\s+(?!\S)|\s+")
 _RARE = re.compile("[\x1c-\x1f\x85\u1680\u180e\u2000-\u200f\u2028\u2029\u202f\u205f\u2060\u3000\ufeff]")
+_CUT = re.compile(rf"(?<=[^\s{_RARE.pattern[1:-1]}])(?=[ \t\n\r\f\v])")
 _KEEP, _LONGEST = 150_000, 64
 
 
@@ -67,14 +70,25 @@ class Counter:
             total += piece(p) if n is None else n
         return total
 
+    def stretches(self, text: str) -> int:
+        found = _RARE.search(text)
+        if not found:
+            return self.segment(text)
+        cuts, total, at = [0, *(c.start() for c in _CUT.finditer(text)), len(text)], 0, 0
+        while found:
+            start = max(at, cuts[bisect_right(cuts, found.start()) - 1])
+            end = cuts[bisect_left(cuts, found.end())]
+            total += self.segment(text[at:start]) + self.piece(text[start:end])
+            at = end
+            found = _RARE.search(text, at)
+        return total + self.segment(text[at:])
+
     def text(self, text: str) -> int:
-        if _RARE.search(text):
-            return len(self.tokenizer.encode(text, add_special_tokens=False).ids)
         if self.special is None or not self.special.search(text):
-            return self.segment(text)
+            return self.stretches(text)
         # the library takes added tokens out of the text first, each is one token
         parts = self.special.split(text)
-        return len(parts) - 1 + sum(map(self.segment, parts))
+        return len(parts) - 1 + sum(map(self.stretches, parts))
 
 
 def count_tokens(docs: DataFrame, spec: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 1024) -> DataFrame:

@@ -32,6 +32,33 @@ def test_token_counts_match_the_library(frame, hard_docs):
     assert token_count.count_tokens(frame([]), BYTE).count() == 0
 
 
+def test_rare_white_space_keeps_the_shortcut():
+    """Counts equal the library's, and only what stands around a rare character is given to its pre-tokenizer."""
+    spec = queries.tokenizer_spec(queries.BYTE_TOKENIZER)
+    t, counter = library(spec), token_count.Counter(spec, token_count.whole_tokens(spec))
+    given = []
+
+    class Spy:
+        model = counter.tokenizer.model
+
+        class pre_tokenizer:  # noqa: N801
+            @staticmethod
+            def pre_tokenize_str(text):
+                given.append(text)
+                return real.pre_tokenizer.pre_tokenize_str(text)
+
+    real, counter.tokenizer = counter.tokenizer, Spy
+    r = random.Random(5)
+    units = ["a", "word", "'s", " ", "  ", "\n", "\t", "9", "!", "\u3000", "\u200b", "\u2028", "\ufeff", "\x85", "\x1c", "\u200d", "\u180e", "\u00a0", "\u65e5\u672c", "\U0001f469\u200d\U0001f4bb", "<|endoftext|>"]
+    for _ in range(3000):
+        text = "".join(r.choice(units) for _ in range(r.randint(1, 25)))
+        assert counter.text(text) == len(t.encode(text, add_special_tokens=False).ids), repr(text)
+    given.clear()
+    text = "plain words " * 500 + "a\u3000b" + " and more words" * 500
+    assert counter.text(text) == len(t.encode(text, add_special_tokens=False).ids)
+    assert max(map(len, given)) < 20
+
+
 def test_whole_tokens_encode_alone():
     whole, t = token_count.whole_tokens(BYTE), library(BYTE)
     assert len(whole) > 50_000 and "<|endoftext|>" not in whole
