@@ -209,8 +209,8 @@ def _verify(threshold: float):
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """Per row: id, ``text_hash``, ``class_id`` (smallest id that links reach) and ``n_links`` (other rows at ``threshold`` or more).
 
-    Words are runs of letters and digits in lower case. Null texts and texts without words have no shingles: no links, a class each (their
-    own id). Texts of one to four words are one shingle. Copies (equal shingle sets) are counted, not paired. Repeated rows and rows with
+    Words are runs of letters and digits in lower case. Texts without words have no shingles; exact copies of one, stripped, are one class
+    and link to each other only. Null and blank texts have no links and are a class each (their own id). Texts of one to four words are one shingle. Copies (equal shingle sets) are counted, not paired. Repeated rows and rows with
     equal ids count as rows; null ids rank last. Whole texts are read, however long. Other columns are not read; empty tables give empty
     results. Shuffled: a sketch per text, one key per band of each class, and the texts of candidate groups once per block pair.
     """
@@ -227,13 +227,16 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             values = sketch([sets[k] for k in full])
             for k, row in zip(full, values, strict=True):
                 prints[k], sketches[k] = xxhash.xxh3_128_digest(sets[k].tobytes()), row.tobytes()
+        for k, s in enumerate(sets):
+            if not len(s) and (bare := columns[2][k].strip()):  # no words: copies of the stripped text are one class, without a sketch
+                prints[k] = xxhash.xxh3_128_digest(b"text:" + bare.encode("utf-8", "surrogatepass"))
         return [columns[0], columns[1], prints, sketches]
 
     described = stored(map_rows(rows.select("id", "th", "text"), f"id {kind}, th bigint, fp binary, sig binary", describe, 1_000_000), "sketches")
     classes = stored(described.filter("fp IS NOT NULL").groupBy("fp").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "th")).alias("rep"), F.count("*").alias("cnt"), F.first("sig").alias("sig")), "classes")
 
     keys = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.xxhash64(b, F.substr("sig", b * (4 * ROWS) + 1, F.lit(4 * ROWS))))
-    banded = classes.select("fp", F.explode(keys).alias("key"))
+    banded = classes.filter("sig IS NOT NULL").select("fp", F.explode(keys).alias("key"))
     shared = banded.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
     bucket = _blocks(banded.join(shared, "key"), "key", "n", "fp", BUCKET_BLOCK).select("fp", "g", "side").join(classes.select("fp", "sig"), "fp")
     edges = bucket.select("g", "side", "fp", "sig").repartition("g").sortWithinPartitions("g").mapInArrow(_screen(threshold), "a binary, b binary")

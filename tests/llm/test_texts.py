@@ -107,6 +107,14 @@ def test_jaccard_join_with_null_ids(frame, hard_docs):
     assert got == Counter(brute.jaccard([(i, t) for i, t, *_ in hard_docs]))
 
 
+def test_copies_of_texts_without_words_are_one_class(frame):
+    texts = ["!!! ???", "---", "!!! ???", " !!! ???\n", "\U0001f600", "\U0001f600", "", "", None, " ", " ", "a b c"]
+    docs = frame([(k, t, "en", "s", 1) for k, t in enumerate(texts)])
+    got = {r.doc_id: (r.class_id, r.n_links) for r in jaccard.jaccard_join(docs).collect()}
+    assert got == {k: (k, 0) for k in range(12)} | {0: (0, 2), 2: (0, 2), 3: (0, 2), 4: (4, 1), 5: (4, 1)}
+    assert sorted(r.doc_id for r in jaccard.drop_near_copies(docs).collect()) == [0, 1, 4, 6, 7, 8, 9, 10, 11]
+
+
 def test_blocks_of_buckets_and_groups(frame, monkeypatch):
     """Buckets and groups over several blocks give what one block gives."""
     monkeypatch.setattr(jaccard, "BUCKET_BLOCK", 8)
