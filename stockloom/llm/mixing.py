@@ -49,23 +49,49 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     rows = docs.select(
         F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("bigint").alias("size"), draw.alias("draw"),
     )
-    rows = stored(rows.withColumn("bin", F.conv(F.substring("draw", 1, 3), 16, 10).cast("int")), "sizes")
+    decided = _decide(stored(_binned(rows), "sizes"), "id", weights, epochs)
+    taken = (F.col("times") * F.col("size")).cast("bigint").alias("taken")
+    return decided.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", taken, "times")
+
+
+def _binned(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("bin", F.conv(F.substring("draw", 1, 3), 16, 10).cast("int"))
+
+
+def _decide(rows: DataFrame, key: str, weights: tuple[int, ...], epochs: int) -> DataFrame:
+    """Adds ``source_size``, ``target`` and ``times`` to stored rows of ``key``, source, size, draw and bin; equal draws go by ``key``."""
     bins = rows.groupBy("source", "bin").agg(F.sum("size").alias("bin_size"))
     targets = fill(bins.groupBy("source").agg(F.sum("bin_size").alias("source_size")), weights, epochs)
     before = Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
     ranges = bins.withColumn("start", F.coalesce(F.sum("bin_size").over(before), F.lit(0))).drop("bin_size")
     b = ranges.alias("b").join(targets.alias("t"), F.expr("b.source <=> t.source")).select("b.source", "bin", "start", "source_size", "target")
-    inside = Window.partitionBy("source", "bin").orderBy("draw", "id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("source", "bin").orderBy("draw", key, "size").rowsBetween(Window.unboundedPreceding, -1)
     placed = rows.withColumn("offset", F.coalesce(F.sum("size").over(inside), F.lit(0))).alias("d")
-    joined = placed.join(b.alias("b"), F.expr("d.source <=> b.source AND d.bin = b.bin")).select("d.id", "d.source", "d.size", "source_size", "target", (F.col("offset") + F.col("start")).alias("place"))
+    joined = placed.join(b.alias("b"), F.expr("d.source <=> b.source AND d.bin = b.bin")).select(f"d.{key}", "d.source", "d.size", "source_size", "target", (F.col("offset") + F.col("start")).alias("place"))
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("bigint")
     rest = F.col("target") - whole * F.col("source_size")
     times = whole + F.when((whole < epochs) & (F.col("place") + F.col("size") / 2 <= rest) & (F.col("place") < rest), 1).otherwise(0)
-    return joined.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", (times * F.col("size")).cast("bigint").alias("taken"), times.cast("bigint").alias("times"))
+    return joined.select(key, "source", "size", "source_size", "target", times.cast("bigint").alias("times"))
+
+
+def take(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (5, 2, 1), epochs: int = 3, seed: int = 7) -> DataFrame:
+    """The mixed corpus: each row of ``docs`` as often as the mix takes it, with all its columns.
+
+    As ``mix``, but the order is drawn from id and text, and every row is decided and copied by itself: rows with equal or null ids are spread
+    over the bins and do not add to each other. Rows are numbered when stored, once, so that decisions find their row again.
+    """
+    whole = docs.select(F.struct([F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
+    text = F.coalesce(F.col(f"doc.`{text_col}`"), F.lit(""))
+    draw = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(f"doc.`{id_col}`").cast("string"), F.lit("")), F.lit(":"), F.md5(text)))
+    size = F.regexp_count(text, F.lit(WORD)).cast("bigint")
+    rows = stored(_binned(whole.select("doc", F.monotonically_increasing_id().alias("row"), F.col(f"doc.`{source_col}`").alias("source"), size.alias("size"), draw.alias("draw"))), "mix-rows")
+    times = _decide(rows.drop("doc"), "row", weights, epochs).filter("times > 0").select("row", "times")
+    taken = rows.select("doc", "row").join(times, "row")
+    return taken.select("doc", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).select("doc.*")
 
 
 def repeat(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The mixed corpus: each document as often as the mix takes it. Rows that share an id are taken alike."""
+    """``docs`` with unique ids as often as a given mix takes them. Rows that share an id are taken alike; ``take`` decides each by itself."""
     times = mixed.groupBy(F.col(id_col).alias("of")).agg(F.max("times").alias("times"))
     whole = docs.select(F.struct([F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
     taken = whole.join(times, F.col(f"doc.`{id_col}`").eqNullSafe(F.col("of"))).filter("times > 0")

@@ -98,6 +98,23 @@ def rule(url, rules):
     return (host, path, *max(fits)[1:]) if fits else (host, path, None, None)
 
 
+def mixed(rows, seed=7, epochs=3):
+    """[(id, text, source)] -> Counter of the rows taken, deciding row after row; equal rows tie."""
+    md5 = lambda s: hashlib.md5(s.encode()).hexdigest()
+    order, out = defaultdict(list), Counter()
+    for i, text, source in rows:
+        order[source].append((md5(f"{seed}:{'' if i is None else i}:{md5(text or '')}"), len(re.findall(r"[^\x20\x09-\x0D]+", text or "")), (i, text, source)))
+    sizes = {s: sum(size for _, size, _ in v) for s, v in order.items()}
+    target = fill(sizes, epochs=epochs)
+    for source, v in order.items():
+        whole = int(target[source] // sizes[source]) if sizes[source] else 0
+        rest, place = target[source] - whole * sizes[source], 0
+        for _, size, row in sorted(v, key=lambda x: x[:2]):
+            out[row] += whole + int(whole < epochs and place + size / 2 <= rest and place < rest)
+            place += size
+    return +out
+
+
 def fill(sizes, weights=(5, 2, 1), epochs=3):
     """Targets of {source: size} by repeated redistribution."""
     names = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))

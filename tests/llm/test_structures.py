@@ -2,10 +2,12 @@
 
 import math
 import random
+from collections import Counter
 
 import brute
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from stockloom.llm import chat, extraction, near_vectors, queries, topk, urls
 
@@ -214,6 +216,22 @@ def test_pipeline_stages(spark, tmp_path):
     assert sorted((r["doc_id"], r["ids_sha256"]) for r in encoded) == sorted((r["doc_id"], brute.sha(np.array(ids[r["doc_id"]], "<u4").tobytes())) for r in mixed)
 
 
+def test_first_and_third_pipeline_stage(spark):
+    """Rows with null and shared ids: stage 1 beside a filter on the scores, stage 3 beside brute force, each on its own input."""
+    import corpus_pipeline
+    from stockloom.llm import quality
+
+    source = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{source}/documents.parquet")
+    docs = docs.withColumn("doc_id", F.when(F.col("doc_id") % 3 > 0, F.col("doc_id"))).withColumn("doc_id", F.when(F.col("doc_id") % 10 == 1, 1).otherwise(F.col("doc_id")))
+    model = quality.fit(docs, spark.read.parquet(f"{source}/labels.parquet"))
+    scored = quality.score_quality(docs, model).select(*docs.columns, "score").collect()
+    got = Counter(map(tuple, corpus_pipeline.keep_quality(spark, docs, source).collect()))
+    assert got == Counter(tuple(r)[:-1] for r in scored if r.score >= 0.3)
+    rows = [(r.doc_id, r.text, r.source) for r in docs.collect()]
+    assert Counter((r.doc_id, r.text, r.source) for r in corpus_pipeline.mix_sources(spark, docs, source).collect()) == brute.mixed(rows)
+
+
 def test_registered_queries_have_their_columns(spark):
     import __spark_entry__
 

@@ -194,6 +194,21 @@ def test_water_filling_redistributes(spark):
     assert got == {s: pytest.approx(want[s]) for s in sizes} and sum(got.values()) == pytest.approx(sum(sizes.values()))
 
 
+def test_rows_of_one_id_are_mixed_each_by_itself(frame):
+    """Many null and shared ids: every source meets its target, row by row as in brute force."""
+    r = random.Random(6)
+    rows = [(r.choice([None, None, 1, k]), " ".join(f"w{r.randint(0, 9)}" for _ in range(r.randint(1, 40))), "en", r.choice("aaaabbc"), 1) for k in range(500)]
+    docs = frame(rows)
+    out = mixing.take(docs)
+    assert out.columns == docs.columns
+    got = Counter((d.doc_id, d.text, d.source) for d in out.collect())
+    assert got == brute.mixed([(i, t, s) for i, t, _, s, _ in rows])
+    size = lambda s: sum(len(t.split()) for _, t, _, x, _ in rows if x == s)
+    want = brute.fill({s: size(s) for s in "abc"})
+    assert all(abs(sum(n * len(t.split()) for (_, t, x), n in got.items() if x == s) - want[s]) <= 40 for s in "abc")
+    assert mixing.take(frame([])).count() == 0
+
+
 def test_repeat_gives_whole_copies(frame, hard_docs):
     docs = frame([d for d in hard_docs[:9]])
     mixed = mixing.mix(docs)
