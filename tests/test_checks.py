@@ -6,7 +6,7 @@ A selection runs by default; ALL_QUERIES=1 runs every registered query.
 import os
 
 import pytest
-from conftest import DATA
+from sf_tables import DATA
 
 import __spark_entry__ as entry
 from stockloom.registry import QUERIES
