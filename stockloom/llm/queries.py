@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stockloom.llm import bpe, chat, extraction, jaccard, mixing, near_vectors, quality, token_count, topk, urls
+from stockloom.llm import bpe, chat, decontamination, extraction, jaccard, mixing, near_vectors, quality, token_count, topk, urls
 from stockloom.llm.common import table
 
 WORD_TOKENIZER, BYTE_TOKENIZER = "word_bpe_49k.json", "byte_bpe_50k.json"
@@ -67,6 +67,10 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(table(spark, sf_dir, "documents"), tokenizer_spec(BYTE_TOKENIZER))
 
 
+def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.digests(decontamination.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+
+
 CHAT_SQL = r"""
 WITH t AS (
  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -81,5 +85,5 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
 FROM e GROUP BY conv_id
 """
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_scores, op2_url_filter, op3_chat_format, op4_jaccard_join, op5_top_k, op6_bpe_codec, op7_near_vectors, op8_source_mixing, op9_main_text, op10_token_counts)}
-ORACLE_SQL: dict[str, str] = {"op3_chat_format": CHAT_SQL, "op8_source_mixing": mixing.mix_sql()}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_scores, op2_url_filter, op3_chat_format, op4_jaccard_join, op5_top_k, op6_bpe_codec, op7_near_vectors, op8_source_mixing, op9_main_text, op10_token_counts, op12_decontamination)}
+ORACLE_SQL: dict[str, str] = {"op3_chat_format": CHAT_SQL, "op8_source_mixing": mixing.mix_sql(), "op12_decontamination": decontamination.DECONTAMINATION_SQL}
