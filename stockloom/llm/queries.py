@@ -7,10 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stockloom.llm import bpe, chat, decontamination, extraction, jaccard, mixing, near_vectors, quality, token_count, topk, urls
+from stockloom.llm import alignment, bpe, chat, decontamination, extraction, hard_negatives, jaccard, mixing, near_vectors, quality, token_count, topk, urls
 from stockloom.llm.common import table
 
-WORD_TOKENIZER, BYTE_TOKENIZER = "word_bpe_49k.json", "byte_bpe_50k.json"
+WORD_TOKENIZER, BYTE_TOKENIZER, PIECE_TOKENIZER = "word_bpe_49k.json", "byte_bpe_50k.json", "piece_bpe_32k.model"
 URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
 
 
@@ -22,6 +22,13 @@ def tokenizer_spec(name: str) -> str:
         return file.read()
 
 
+def tokenizer_bytes(name: str) -> bytes:
+    import public_tokenizers
+
+    with open(public_tokenizers.path(name), "rb") as file:
+        return file.read()
+
+
 def op1_quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
@@ -67,10 +74,19 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(table(spark, sf_dir, "documents"), tokenizer_spec(BYTE_TOKENIZER))
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"), tokenizer_spec(BYTE_TOKENIZER), tokenizer_bytes(PIECE_TOKENIZER))
+
+
 def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.digests(decontamination.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    return hard_negatives.mine(given.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))))
+
+
 CHAT_SQL = r"""
 WITH t AS (
  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -85,5 +101,5 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
 FROM e GROUP BY conv_id
 """
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_scores, op2_url_filter, op3_chat_format, op4_jaccard_join, op5_top_k, op6_bpe_codec, op7_near_vectors, op8_source_mixing, op9_main_text, op10_token_counts, op12_decontamination)}
-ORACLE_SQL: dict[str, str] = {"op3_chat_format": CHAT_SQL, "op8_source_mixing": mixing.mix_sql(), "op12_decontamination": decontamination.DECONTAMINATION_SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_scores, op2_url_filter, op3_chat_format, op4_jaccard_join, op5_top_k, op6_bpe_codec, op7_near_vectors, op8_source_mixing, op9_main_text, op10_token_counts, op11_alignment, op12_decontamination, op13_hard_negatives)}
+ORACLE_SQL: dict[str, str] = {"op3_chat_format": CHAT_SQL, "op8_source_mixing": mixing.mix_sql(), "op12_decontamination": decontamination.DECONTAMINATION_SQL, "op13_hard_negatives": hard_negatives.NEGATIVES_SQL}
