@@ -285,8 +285,8 @@ def mine(vectors: DataFrame, every: int = 100, positives: int = 5, negatives: in
 
 NEGATIVES_SQL = """
 WITH e AS (
- SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, x -> floor(256 * x::DOUBLE)) AS v
- FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+ SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+ FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 p AS (
  SELECT a.r, a.vec_id AS anchor_id, a.label, a.v, b.vec_id AS positive_id, list_dot_product(a.v, b.v)::BIGINT AS positive_score,
   row_number() OVER (PARTITION BY a.r ORDER BY list_dot_product(a.v, b.v) DESC, b.vec_id, b.r) AS k
