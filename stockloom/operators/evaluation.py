@@ -148,10 +148,14 @@ def representative_trial(trials: DataFrame, keys: list[str]) -> DataFrame:
     return marked.withColumn("_r", rank).where("_r = 1").drop("_r")
 
 
-def seed_summary(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Pooled error per seed, worst fold over seed means, and spread over seeds."""
-    fold = metrics(df, [*keys, "fold", "seed"]).groupBy(*keys, "fold").agg(F.avg("wape").alias("fold_wape")).groupBy(*keys).agg(
-        F.max("fold_wape").alias("worst_fold_wape"))
+def seed_summary(df: DataFrame, keys: list[str], seeds: int = 3) -> DataFrame:
+    """Pooled error per seed, worst fold over seed means, spread over seeds, and folds in which seeds differ in keys or actuals.
+
+    A fold agrees if every seed has as many rows, the same keys and the same actuals; keys are compared by the sum of their hashes.
+    """
+    per = df.groupBy(*keys, "fold", "seed").agg(*metric_columns()[:1], F.count(F.lit(1)).alias("_n"), F.sum(F.xxhash64("center_id", "sku_id", "week_st", "y_true").cast("decimal(38,0)")).alias("_k"))
+    folds = per.groupBy(*keys, "fold").agg(F.avg("wape").alias("fold_wape"), ((F.count_distinct("_n", "_k") == 1) & (F.count(F.lit(1)) == seeds)).alias("_same"))
+    fold = folds.groupBy(*keys).agg(F.max("fold_wape").alias("worst_fold_wape"), F.count_if(~F.col("_same")).alias("disagreeing_folds"))
     pooled = metrics(df, [*keys, "seed"]).groupBy(*keys).agg(
         F.avg("wape").alias("mean_wape"), F.avg("bias").alias("mean_bias"), F.stddev_samp("wape").alias("seed_std"), F.count(F.lit(1)).alias("seeds"))
     return pooled.join(fold, keys)

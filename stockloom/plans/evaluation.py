@@ -7,7 +7,8 @@ from stockloom.operators import evaluation as EV
 from stockloom.operators import forecasting as FC
 from stockloom.operators import marts as M
 from stockloom.operators.profiling import union_all
-from stockloom.plans.forecasts import MASE, METRIC, MODELS, history, oof, panel, preds, stored_grid, trials, wide
+from stockloom.operators.walkforward import FAMILIES
+from stockloom.plans.forecasts import MASE, METRIC, MODELS, SEEDS, history, oof, panel, preds, stored_grid, trials, wide
 from stockloom.plans.series import KEY, _K
 from stockloom.registry import cte, query
 from stockloom.sources.adapters import HOLDOUT_START, HORIZONS, REGIME_START
@@ -210,12 +211,13 @@ def hurdle_combine(s):
 
 
 @query("H17", "smearing", """
-WITH f AS (SELECT model, avg(exp(ln(1 + y_true) - ln(1 + y_pred))) AS factor FROM oof WHERE seed = 1 AND fold <= 3 GROUP BY 1)
-SELECT model, round(min(factor), 6) AS factor, round(sum(y_pred * factor), 2) AS smeared, count(*) AS n FROM oof JOIN f USING (model) WHERE seed = 1 AND fold = 4 GROUP BY 1""")
+WITH f AS (SELECT model, horizon, center_id, avg(exp(ln(1 + y_true) - ln(1 + y_pred))) AS factor FROM oof WHERE seed = 1 AND target_date < DATE '1999-10-01' GROUP BY 1, 2, 3)
+SELECT model, horizon, center_id, round(min(factor), 6) AS factor, round(sum(y_pred * factor), 2) AS smeared, count(*) AS n FROM oof JOIN f USING (model, horizon, center_id) WHERE seed = 1 AND target_date >= DATE '1999-10-01' GROUP BY 1, 2, 3""")
 def smearing(s):
-    one = oof(s).where("seed = 1")
-    factor = one.where("fold <= 3").groupBy("model").agg(F.avg(F.exp(F.log1p("y_true") - F.log1p("y_pred"))).alias("factor"))
-    return one.where("fold = 4").join(factor, "model").groupBy("model").agg(
+    """A centre's mean back-transform error over its folds before the last quarter, applied to that quarter."""
+    one, by = oof(s).where("seed = 1"), ["model", "horizon", "center_id"]
+    factor = one.where("target_date < date'1999-10-01'").groupBy(*by).agg(F.avg(F.exp(F.log1p("y_true") - F.log1p("y_pred"))).alias("factor"))
+    return one.where("target_date >= date'1999-10-01'").join(F.broadcast(factor), by).groupBy(*by).agg(
         r6(F.min("factor")).alias("factor"), F.round(F.sum(F.col("y_pred") * F.col("factor")), 2).alias("smeared"), F.count("*").alias("n"))
 
 
@@ -328,9 +330,9 @@ def oof_validate(s):
     return EV.oof_validate(oof(s), [*EV.ROW, "model", "seed"])
 
 
-@query("H26", "per_fold_metrics", f"SELECT model, fold, seed, {METRIC}, {MASE} FROM oof GROUP BY 1, 2, 3")
+@query("H26", "per_fold_metrics", f"SELECT model, horizon, fold, seed, {METRIC}, {MASE} FROM oof GROUP BY 1, 2, 3, 4")
 def per_fold_metrics(s):
-    return EV.metrics(oof(s), ["model", "fold", "seed"], scale=True)
+    return EV.metrics(oof(s), ["model", "horizon", "fold", "seed"], scale=True)
 
 
 cte("picked", """
@@ -364,28 +366,35 @@ def representative_trial(s):
 
 
 cte("seed_sum", f"""
-WITH f AS (SELECT model, max(w) AS worst_fold_wape FROM (SELECT model, fold, avg(wape) AS w FROM (SELECT model, fold, seed, {WAPE} AS wape FROM oof GROUP BY 1, 2, 3) GROUP BY 1, 2) GROUP BY 1)
-SELECT model, avg(wape) AS mean_wape, avg(bias) AS mean_bias, stddev_samp(wape) AS seed_std, count(*) AS seeds, max(worst_fold_wape) AS worst_fold_wape
-FROM (SELECT model, seed, {WAPE} AS wape, {BIAS} AS bias FROM oof GROUP BY 1, 2) JOIN f USING (model) GROUP BY 1""")
+WITH f AS (SELECT model, horizon, max(w) AS worst_fold_wape FROM (SELECT model, horizon, fold, avg(wape) AS w FROM (SELECT model, horizon, fold, seed, {WAPE} AS wape FROM oof GROUP BY 1, 2, 3, 4) GROUP BY 1, 2, 3) GROUP BY 1, 2),
+ a AS (SELECT model, horizon, fold, count(DISTINCT (n, y, k)) = 1 AND count(*) = 3 AS same FROM (
+  SELECT model, horizon, fold, seed, count(*) AS n, sum(y_true) AS y, bit_xor(hash(center_id, sku_id, week_st, y_true)) AS k FROM oof GROUP BY 1, 2, 3, 4) GROUP BY 1, 2, 3),
+ d AS (SELECT model, horizon, CAST(count(*) FILTER (WHERE NOT same) AS BIGINT) AS disagreeing_folds FROM a GROUP BY 1, 2)
+SELECT model, horizon, avg(wape) AS mean_wape, avg(bias) AS mean_bias, stddev_samp(wape) AS seed_std, count(*) AS seeds, max(worst_fold_wape) AS worst_fold_wape, max(disagreeing_folds) AS disagreeing_folds
+FROM (SELECT model, horizon, seed, {WAPE} AS wape, {BIAS} AS bias FROM oof GROUP BY 1, 2, 3) JOIN f USING (model, horizon) JOIN d USING (model, horizon) GROUP BY 1, 2""")
 
 
-@query("H29", "worst_fold_3seed", "SELECT model, round(mean_wape, 5) AS mean_wape, round(mean_bias, 5) AS mean_bias, round(seed_std, 5) AS seed_std, seeds, round(worst_fold_wape, 5) AS worst_fold_wape FROM seed_sum")
+@query("H29", "worst_fold_3seed", "SELECT model, horizon, round(mean_wape, 5) AS mean_wape, round(mean_bias, 5) AS mean_bias, round(seed_std, 5) AS seed_std, seeds, round(worst_fold_wape, 5) AS worst_fold_wape, disagreeing_folds FROM seed_sum")
 def worst_fold_3seed(s):
-    out = EV.seed_summary(oof(s), ["model"])
+    """Folds whose seeds differ in keys or actuals are counted beside the means."""
+    out = EV.seed_summary(oof(s), ["model", "horizon"], len(SEEDS))
     return out.withColumns({c: F.round(c, 5) for c in ("mean_wape", "mean_bias", "seed_std", "worst_fold_wape")})
 
 
-@query("H30", "select_family", """
-WITH c AS (SELECT *, CASE model WHEN 'last' THEN 1.0 WHEN 'ma4' THEN 2.0 WHEN 'level' THEN 3.0 WHEN 'season' THEN 4.0 ELSE 5.0 END AS cost, round(mean_wape, 5) AS w, round(worst_fold_wape, 5) AS f, round(seed_std, 5) AS sd FROM seed_sum),
- a AS (SELECT *, CASE WHEN abs(mean_bias) > 20 THEN 'bias_gate' END AS e FROM c), b AS (SELECT * REPLACE (CASE WHEN e IS NULL AND w - (SELECT min(w) FROM a WHERE e IS NULL) > 1 THEN 'wape_1pp' ELSE e END AS e) FROM a),
- d AS (SELECT * REPLACE (CASE WHEN e IS NULL AND f > (SELECT min(f) FROM b WHERE e IS NULL) THEN 'worst_fold' ELSE e END AS e) FROM b),
- g AS (SELECT * REPLACE (CASE WHEN e IS NULL AND sd > (SELECT min(sd) FROM d WHERE e IS NULL) THEN 'seed_stability' ELSE e END AS e) FROM d),
- h AS (SELECT * REPLACE (CASE WHEN e IS NULL AND cost > (SELECT min(cost) FROM g WHERE e IS NULL) THEN 'compute' ELSE e END AS e) FROM g)
-SELECT model, e AS eliminated_at, CASE WHEN e IS NULL THEN 1 ELSE 0 END AS winner FROM h""")
+_COST = {m: float(i) for i, m in enumerate(FAMILIES, 1)}
+
+
+@query("H30", "select_family", f"""
+WITH c AS (SELECT *, CASE model {' '.join(f"WHEN '{m}' THEN {v}" for m, v in _COST.items())} END AS cost, round(mean_wape, 5) AS w, round(worst_fold_wape, 5) AS f, round(seed_std, 5) AS sd FROM seed_sum),
+ a AS (SELECT *, CASE WHEN abs(mean_bias) > 20 THEN 'bias_gate' END AS e FROM c), b AS (SELECT * REPLACE (CASE WHEN e IS NULL AND w - (SELECT min(w) FROM a z WHERE e IS NULL AND z.horizon = a.horizon) > 1 THEN 'wape_1pp' ELSE e END AS e) FROM a),
+ d AS (SELECT * REPLACE (CASE WHEN e IS NULL AND f > (SELECT min(f) FROM b z WHERE e IS NULL AND z.horizon = b.horizon) THEN 'worst_fold' ELSE e END AS e) FROM b),
+ g AS (SELECT * REPLACE (CASE WHEN e IS NULL AND sd > (SELECT min(sd) FROM d z WHERE e IS NULL AND z.horizon = d.horizon) THEN 'seed_stability' ELSE e END AS e) FROM d),
+ h AS (SELECT * REPLACE (CASE WHEN e IS NULL AND cost > (SELECT min(cost) FROM g z WHERE e IS NULL AND z.horizon = g.horizon) THEN 'compute' ELSE e END AS e) FROM g)
+SELECT model, horizon, e AS eliminated_at, CASE WHEN e IS NULL THEN 1 ELSE 0 END AS winner FROM h""")
 def select_family(s):
-    cost = F.element_at(F.create_map(*[F.lit(x) for i, m in enumerate(MODELS) for x in (m, float(i + 1))]), F.col("model"))
-    summary = EV.seed_summary(oof(s), ["model"]).withColumns({c: F.round(c, 5) for c in ("mean_wape", "worst_fold_wape", "seed_std")})
-    return EV.select_family(summary.withColumns({"cost": cost, "horizon": F.lit(1)}), ["horizon"]).select("model", "eliminated_at", "winner")
+    cost = F.element_at(F.create_map(*[F.lit(x) for kv in _COST.items() for x in kv]), F.col("model"))
+    summary = EV.seed_summary(oof(s), ["model", "horizon"], len(SEEDS)).withColumns({c: F.round(c, 5) for c in ("mean_wape", "worst_fold_wape", "seed_std")})
+    return EV.select_family(summary.withColumn("cost", cost), ["horizon"]).select("model", "horizon", "eliminated_at", "winner")
 
 
 @query("H31", "instability", f"""
@@ -470,13 +479,14 @@ def variable_effect(s):
 
 
 @query("H39", "fold_mean_std", f"""
-SELECT model, round(avg(wape), 5) AS mean_wape, round(stddev_samp(wape), 5) AS std_wape, round(avg(CASE WHEN fold = 1 THEN wape END), 5) AS first_fold,
- round(avg(CASE WHEN fold > 1 THEN wape END), 5) AS other_folds FROM (SELECT model, fold, {WAPE} AS wape FROM oof WHERE seed = 1 GROUP BY 1, 2) GROUP BY 1""")
+SELECT model, horizon, center_id, round(avg(wape), 5) AS mean_wape, round(stddev_samp(wape), 5) AS std_wape, round(avg(CASE WHEN fold IN (1, 101) THEN wape END), 5) AS first_fold,
+ round(avg(CASE WHEN fold NOT IN (1, 101) THEN wape END), 5) AS other_folds FROM (SELECT model, horizon, center_id, fold, {WAPE} AS wape FROM oof WHERE seed = 1 GROUP BY 1, 2, 3, 4) GROUP BY 1, 2, 3""")
 def fold_mean_std(s):
-    by = EV.metrics(oof(s).where("seed = 1"), ["model", "fold"])
-    return by.groupBy("model").agg(F.round(F.avg("wape"), 5).alias("mean_wape"), F.round(F.stddev_samp("wape"), 5).alias("std_wape"),
-                                   F.round(F.avg(F.when(F.col("fold") == 1, F.col("wape"))), 5).alias("first_fold"),
-                                   F.round(F.avg(F.when(F.col("fold") > 1, F.col("wape"))), 5).alias("other_folds"))
+    by = EV.metrics(oof(s).where("seed = 1"), ["model", "horizon", "center_id", "fold"])
+    first = F.col("fold").isin(1, 101)
+    return by.groupBy("model", "horizon", "center_id").agg(F.round(F.avg("wape"), 5).alias("mean_wape"), F.round(F.stddev_samp("wape"), 5).alias("std_wape"),
+                                                           F.round(F.avg(F.when(first, F.col("wape"))), 5).alias("first_fold"),
+                                                           F.round(F.avg(F.when(~first, F.col("wape"))), 5).alias("other_folds"))
 
 
 @query("H40", "canonical_extreme", f"""

@@ -6,17 +6,21 @@ from stockloom.functions.columns import r6
 from stockloom.operators import evaluation as EV
 from stockloom.operators import forecasting as FC
 from stockloom.operators import joins as J
+from stockloom.operators import folds as FO
 from stockloom.operators import marts as M
+from stockloom.operators import walkforward as WF
 from stockloom.plans import marts as P
 from stockloom.plans.series import KEY, _K, grid
 from stockloom.registry import cte, query
 from stockloom.sources import files
-from stockloom.sources.adapters import HOLDOUT_START, HORIZONS
+from stockloom.sources.adapters import HOLDOUT_START, HORIZONS, REGIME_START, VALIDATION_YEARS
+from stockloom.sources.storage import shared_dir
 
 MODELS = ["last", "ma4", "level", "season", "category"]
 CATS = ["cat_s", "cat_m", "cat_l"]
 SEEDS = (1, 2, 3)
-TRIALS = tuple(range(1, 7))
+FOLDS = [f for y in VALIDATION_YEARS for f in FO.quarter_folds(y)]
+_ROW_KEY = "concat_ws('|', center_id, sku_id, cast(week_st as string))"
 
 # -- check side ------------------------------------------------------------
 _W = "PARTITION BY center_id, sku_id ORDER BY week_st"
@@ -51,17 +55,53 @@ cte("dev_preds", _preds_sql("1998-12-28", (1,)))
 cte("mase", f"""
 SELECT center_id, sku_id, CASE WHEN count(*) >= 2 AND avg(d) > 0 THEN avg(d) END AS mase_scale FROM (
  SELECT center_id, sku_id, abs(qty - lag(qty) OVER ({_W})) AS d FROM gq WHERE week_st < DATE '{HOLDOUT_START}') GROUP BY 1, 2""")
-cte("oof", f"""
-SELECT d.center_id, d.sku_id, week_st, horizon, target_date, model, y_true, y_pred * (98 + 2 * seed) / 100.0 AS y_pred, seed, CAST(quarter(target_date) AS INT) AS fold, mase_scale
-FROM dev_preds d LEFT JOIN mase USING (center_id, sku_id), (SELECT CAST(unnest([1, 2, 3]) AS INT) AS seed) WHERE d.center_id = 'A' AND year(target_date) = 1999""")
 METRIC = """round(sum(abs(y_pred - y_true)) / nullif(sum(y_true), 0) * 100, 6) AS wape, round(sum(y_pred - y_true) / nullif(sum(y_true), 0) * 100, 6) AS bias,
  round(sqrt(avg((y_pred - y_true) * (y_pred - y_true))), 6) AS rmse, round(avg(abs(y_pred - y_true)), 6) AS mae, count(*) AS n"""
 MASE = "round(avg(abs(y_pred - y_true) / mase_scale), 6) AS mase, count(mase_scale) AS mase_n"
-cte("trial_rows", f"""
-WITH t AS (SELECT model, trial, fold, y_true, y_pred * (7 + trial) / 10.0 AS y_pred FROM oof, (SELECT CAST(unnest([1, 2, 3, 4, 5, 6]) AS INT) AS trial) WHERE seed = 1),
- f AS (SELECT model, trial, max(wape) AS worst_fold_wape FROM (SELECT model, trial, fold, {METRIC} FROM t GROUP BY 1, 2, 3) GROUP BY 1, 2),
- p AS (SELECT model, trial, {METRIC} FROM t GROUP BY 1, 2)
-SELECT model, 1 AS horizon, trial, wape AS pooled_wape, bias AS pooled_bias, rmse, mae, worst_fold_wape FROM p JOIN f USING (model, trial)""")
+# Walk-forward fits: the same expressions are SQL on both sides; sums, folds and selection are written anew.
+cte("wf_rows", " UNION ALL ".join(
+    f"SELECT center_id, sku_id, week_st, {h} AS horizon, week_st + {7 * h} AS target_date, y_{h} AS y_true, {WF.milli('p_last')} AS x1, {WF.milli('p_ma4')} AS x2, {WF.milli(f'coalesce(s_{h}, p_level)')} AS x3, "
+    f"{WF.milli('p_level')} AS x4, {WF.milli('coalesce(m_cat_s, m_cat_m, m_cat_l)')} AS x5, "
+    f"{WF.seed_group(_ROW_KEY)} AS g FROM levels WHERE y_{h} IS NOT NULL" for h in HORIZONS))
+cte("wf_marked", f"""
+WITH wk AS (SELECT horizon, week_st, CAST(100 + row_number() OVER (PARTITION BY horizon ORDER BY week_st) AS INT) AS nr FROM (
+ SELECT DISTINCT horizon, week_st FROM wf_rows WHERE center_id = 'B' AND week_st >= DATE '{REGIME_START}' AND target_date <= DATE '{HOLDOUT_START}'))
+SELECT r.*, CASE WHEN center_id = 'B' THEN CASE WHEN week_st >= DATE '{REGIME_START}' AND target_date <= DATE '{HOLDOUT_START}' THEN nr END
+ WHEN year(target_date) BETWEEN {VALIDATION_YEARS[0]} AND {VALIDATION_YEARS[-1]} THEN CAST((year(target_date) - {VALIDATION_YEARS[0]}) * 4 + quarter(target_date) AS INT) END AS fold FROM wf_rows r LEFT JOIN wk USING (horizon, week_st)""")
+cte("wf_sums", f"""
+WITH weekly AS (SELECT center_id, horizon, target_date AS day, g, count(*) AS n, {', '.join(f'{e} AS {c}' for c, e in zip(WF.SUMS, WF.sum_columns(), strict=True))}
+  FROM wf_marked WHERE center_id <> 'B' OR week_st >= DATE '{REGIME_START}' GROUP BY ALL),
+ border AS (SELECT horizon, fold, CASE WHEN fold > 100 THEN min(target_date) ELSE make_date({VALIDATION_YEARS[0]} + (fold - 1) // 4, (fold - 1) % 4 * 3 + 1, 1) END AS day FROM wf_marked WHERE fold IS NOT NULL GROUP BY 1, 2)
+SELECT b.horizon, b.fold, seed, sum(n) AS n, {', '.join(f'sum({c}) AS {c}' for c in WF.SUMS)}
+FROM border b JOIN weekly w ON w.horizon = b.horizon AND w.day < b.day AND (b.fold > 100 OR center_id <> 'B'), (SELECT CAST(unnest([0, 1, 2, 3]) AS INT) AS seed) s
+WHERE seed = 0 OR g <> seed GROUP BY 1, 2, 3 HAVING sum(n) >= {WF.LEAST_ROWS}""")
+
+
+def _coef_sql():
+    parts = []
+    for m in WF.FAMILIES:
+        terms = ", ".join(f"{e}{' + ridge' if t[0] == 'a' and t[1] == t[2] != '0' else ''} AS {t}" for t, e in WF.family_terms(m).items())
+        parts.append(f"SELECT '{m}' AS model, horizon, trial, seed, fold, ridge, n AS train_rows, {terms} FROM wf_sums, "
+                     f"(VALUES {', '.join(f'(CAST({k} AS INT), CAST({v} AS DOUBLE))' for k, v in enumerate(WF.LAMBDAS, 1))}) v(trial, ridge)")
+    sql = " UNION ALL ".join(parts)
+    for step in WF.solution():
+        sql = f"SELECT *, {', '.join(f'{e} AS {c}' for c, e in step)} FROM ({sql})"
+    return f"SELECT model, horizon, trial, seed, fold, ridge, train_rows, {', '.join(f'{WF.coefficient(i)} AS c{i}' for i in range(6))} FROM ({sql})"
+
+
+cte("wf_coef", _coef_sql())
+cte("wf_common", """
+SELECT horizon, fold FROM (SELECT horizon, fold, count(*) AS k FROM wf_coef WHERE seed = 0 GROUP BY 1, 2) WHERE k = (SELECT count(*) FROM (SELECT DISTINCT model, trial FROM wf_coef WHERE seed = 0))""")
+cte("wf_tried", f"""
+SELECT model, horizon, trial, ridge, fold, sum(abs(y_pred - y_true)) AS e, sum(y_pred - y_true) AS b, sum((y_pred - y_true) * (y_pred - y_true)) AS q, sum(y_true) AS y, count(*) AS n FROM (
+ SELECT c.model, c.horizon, c.trial, c.ridge, c.fold, y_true, {WF.PREDICTION} AS y_pred FROM wf_marked r JOIN wf_coef c ON r.horizon = c.horizon AND r.fold = c.fold WHERE seed = 0) SEMI JOIN wf_common USING (horizon, fold) GROUP BY ALL""")
+cte("trial_rows", """
+SELECT model, horizon, trial, round(sum(e) / sum(y) * 100, 6) AS pooled_wape, round(sum(b) / sum(y) * 100, 6) AS pooled_bias, round(sqrt(sum(q) / sum(n)), 6) AS rmse, round(sum(e) / sum(n), 6) AS mae,
+ max(round(e / nullif(y, 0) * 100, 6)) AS worst_fold_wape FROM wf_tried GROUP BY 1, 2, 3""")
+cte("oof", f"""
+SELECT r.center_id, r.sku_id, week_st, r.horizon, target_date, c.model, y_true, {WF.PREDICTION} AS y_pred, c.seed, r.fold, mase_scale
+FROM wf_marked r JOIN wf_coef c ON r.horizon = c.horizon AND r.fold = c.fold JOIN represent p ON p.model = c.model AND p.horizon = c.horizon AND p.trial = c.trial
+LEFT JOIN mase m ON m.center_id = r.center_id AND m.sku_id = r.sku_id WHERE c.seed > 0""")
 
 
 # -- Spark side ------------------------------------------------------------
@@ -86,24 +126,54 @@ def oof(s):
     return s.stored("out_of_fold", lambda: build_oof(s))
 
 
+def marked(s):
+    """Every origin of both centres and all horizons with its features and validation fold."""
+    def build():
+        rows = WF.origin_rows(stored_grid(s), HORIZONS, P.last_week(s), CATS)
+        return WF.mark_folds(rows, FOLDS, "B", REGIME_START, HOLDOUT_START)
+    return s.stored("walkforward_rows", build)
+
+
+def fold_sums(s):
+    return s.stored("fold_sums", lambda: WF.fold_sums(marked(s), WF.fold_borders(marked(s), FOLDS, "B"), "B", REGIME_START, (0, *SEEDS)))
+
+
+def fits(s, points):
+    """Rows of the trial table for (model, horizon, trial, ridge, seed) points on every fold that can be fitted."""
+    sums = fold_sums(s)
+    wanted = points.join(sums.select("horizon", "seed", "fold"), ["horizon", "seed"])
+    rules = WF.definition(FOLDS, REGIME_START, HOLDOUT_START, HORIZONS, CATS)
+    return WF.run_trials(s.spark, f"{shared_dir(s.spark).rstrip('/')}/trial-table-{rules}", s.fingerprint(), wanted, lambda todo: WF.fit_and_score(marked(s), sums, todo))
+
+
+def grid_fits(s):
+    """Every family and ridge on every fold, fitted on all rows (seed 0)."""
+    points = [(m, h, t, v, 0) for m in WF.FAMILIES for h in HORIZONS for t, v in enumerate(WF.LAMBDAS, 1)]
+    return WF.common_folds(fits(s, s.rows(points, "model string, horizon int, trial int, ridge double, seed int")))
+
+
+def seed_fits(s):
+    """The chosen trial of every family and horizon, refitted without the rows that each seed leaves out."""
+    chosen = EV.representative_trial(trials(s), ["model", "horizon"]).select("model", "horizon", "trial")
+    ridge = F.element_at(F.array(*[F.lit(v) for v in WF.LAMBDAS]), F.col("trial"))
+    return fits(s, chosen.withColumn("ridge", ridge).withColumn("seed", F.explode(F.array(*[F.lit(k) for k in SEEDS]))))
+
+
 def build_oof(s):
-    dev = rolling(s, "1998-12-28", (1,)).where("center_id = 'A' and year(target_date) = 1999")
-    seeds = dev.withColumn("seed", F.explode(F.array(*[F.lit(i) for i in SEEDS])))
-    out = seeds.withColumns({"y_pred": F.expr("y_pred * (98 + 2 * seed) / 100.0D"), "fold": F.quarter("target_date")})
-    return out.join(EV.mase_scale(history(s)), M.SKU, "left").select(
-        *KEY, "horizon", "target_date", "model", "y_true", "y_pred", "seed", "fold", "mase_scale")
+    """Out-of-fold predictions of the chosen trials at three seeds: quarters of both validation years in A, every walk-forward week in B."""
+    rows = WF.predict(marked(s), seed_fits(s).select(*WF.FIT_KEYS, *WF.COEFS))
+    return rows.join(EV.mase_scale(history(s)), M.SKU, "left").select(*KEY, "horizon", "target_date", "model", "y_true", "y_pred", "seed", "fold", "mase_scale")
+
+
+def rates(df, keys):
+    """Pooled rates and the worst fold's, from the additive errors of the fits."""
+    return df.groupBy(*keys).agg(
+        r6(F.sum("e") / F.sum("y") * 100).alias("pooled_wape"), r6(F.sum("b") / F.sum("y") * 100).alias("pooled_bias"), r6(F.sqrt(F.sum("q") / F.sum("val_rows"))).alias("rmse"),
+        r6(F.sum("e") / F.sum("val_rows")).alias("mae"), F.max(r6(WF.rate("e", "y"))).alias("worst_fold_wape"), F.count("*").alias("folds"), F.sum("val_rows").alias("n"))
 
 
 def trials(s):
-    """Distorted copies of the models stand for grid points; each is scored pooled and per fold."""
-    t = (oof(s).where("seed = 1").withColumn("trial", F.explode(F.array(*[F.lit(i) for i in TRIALS])))
-         .withColumn("y_pred", F.expr("y_pred * (7 + trial) / 10.0D")))
-    sums = t.groupBy("model", "trial", "fold").agg(
-        F.sum(F.abs(F.col("y_pred") - F.col("y_true"))).alias("e"), F.sum(F.col("y_pred") - F.col("y_true")).alias("b"),
-        F.sum(F.expr("(y_pred - y_true) * (y_pred - y_true)")).alias("q"), F.sum(F.col("y_true").cast("double")).alias("y"), F.count("*").alias("n"))
-    return sums.groupBy("model", "trial").agg(
-        F.lit(1).alias("horizon"), r6(F.sum("e") / F.sum("y") * 100).alias("pooled_wape"), r6(F.sum("b") / F.sum("y") * 100).alias("pooled_bias"),
-        r6(F.sqrt(F.sum("q") / F.sum("n"))).alias("rmse"), r6(F.sum("e") / F.sum("n")).alias("mae"), F.max(r6(F.col("e") / F.col("y") * 100)).alias("worst_fold_wape"))
+    return s.stored("trial_rows", lambda: rates(grid_fits(s), ["model", "horizon", "trial"]).drop("folds", "n"))
 
 
 # -- registered ------------------------------------------------------------
@@ -182,11 +252,11 @@ def pivot_blocks(s):
 
 
 @query("D18", "common_key_join", f"""
-WITH k AS (SELECT center_id, sku_id, week_st, horizon FROM oof WHERE seed = 1 GROUP BY 1, 2, 3, 4 HAVING count(DISTINCT model) = 5)
-SELECT model, fold, count(*) AS n, CAST(sum(y_true) AS BIGINT) AS y_true FROM oof SEMI JOIN k USING (center_id, sku_id, week_st, horizon) WHERE seed = 1 GROUP BY 1, 2""")
+WITH k AS (SELECT center_id, sku_id, week_st, horizon FROM oof WHERE seed = 1 GROUP BY 1, 2, 3, 4 HAVING count(DISTINCT model) = {len(WF.FAMILIES)})
+SELECT model, horizon, fold, count(*) AS n, CAST(sum(y_true) AS BIGINT) AS y_true FROM oof SEMI JOIN k USING (center_id, sku_id, week_st, horizon) WHERE seed = 1 GROUP BY 1, 2, 3""")
 def common_key_join(s):
     one = oof(s).where("seed = 1")
-    return EV.common_panel(one, len(MODELS)).groupBy("model", "fold").agg(F.count("*").alias("n"), F.sum("y_true").alias("y_true"))
+    return EV.common_panel(one, len(WF.FAMILIES)).groupBy("model", "horizon", "fold").agg(F.count("*").alias("n"), F.sum("y_true").alias("y_true"))
 
 
 _BITS = ", ".join(f"max(CASE WHEN model = '{m}' THEN 1 ELSE 0 END) AS {m}" for m in MODELS)
@@ -255,24 +325,24 @@ def trial_documents(s):
     flat = t.groupBy("model", "horizon").agg(F.sort_array(F.collect_list(F.struct("trial", "pooled_wape", "pooled_bias", "worst_fold_wape"))).alias("x"))
     return flat.select("model", "horizon", F.transform("x", lambda r: F.struct(
         r["trial"].alias("trial"), r["pooled_wape"].alias("pooled_wape"), r["pooled_bias"].alias("pooled_bias"), r["worst_fold_wape"].alias("worst_fold_wape"),
-        F.create_map(F.lit("scale"), (r["trial"] + 7) / 10).alias("params"))).alias("all_trials"))
+        F.create_map(F.lit("ridge"), F.element_at(F.array(*[F.lit(v) for v in WF.LAMBDAS]), r["trial"])).alias("params"))).alias("all_trials"))
 
 
-@query("A13", "read_trials_json", "SELECT model, horizon, trial, pooled_wape, pooled_bias, worst_fold_wape, (7 + trial) / 10.0 AS scale FROM trial_rows")
+@query("A13", "read_trials_json", f"SELECT model, horizon, trial, pooled_wape, pooled_bias, worst_fold_wape, [{', '.join(f'CAST({v} AS DOUBLE)' for v in WF.LAMBDAS)}][trial] AS ridge FROM trial_rows")
 def read_trials_json(s):
     path = files.write_json_documents(trial_documents(s), "trials")
     return files.read_trials_json(s.spark, path, TRIAL_SCHEMA).select(
-        "model", "horizon", "trial", "pooled_wape", "pooled_bias", "worst_fold_wape", F.col("params")["scale"].alias("scale"))
+        "model", "horizon", "trial", "pooled_wape", "pooled_bias", "worst_fold_wape", F.col("params")["ridge"].alias("ridge"))
 
 
 @query("C06", "eav_to_map", """
-SELECT model, trial, concat('bias=', CAST(CAST(round(pooled_bias * 1000) AS BIGINT) AS VARCHAR), ';scale=', CAST(7 + trial AS VARCHAR), ';wape=', CAST(CAST(round(pooled_wape * 1000) AS BIGINT) AS VARCHAR)) AS params FROM trial_rows""")
+SELECT model, horizon, trial, concat('bias=', CAST(CAST(round(pooled_bias * 1000) AS BIGINT) AS VARCHAR), ';point=', CAST(trial AS VARCHAR), ';wape=', CAST(CAST(round(pooled_wape * 1000) AS BIGINT) AS VARCHAR)) AS params FROM trial_rows""")
 def eav_to_map(s):
     from stockloom.operators.reshape import eav_to_map as build
-    long = trials(s).select("model", "trial", F.explode(F.array(
-        F.struct(F.lit("scale").alias("k"), (F.col("trial") + 7).cast("bigint").alias("v")),
+    long = trials(s).select("model", "horizon", "trial", F.explode(F.array(
+        F.struct(F.lit("point").alias("k"), F.col("trial").cast("bigint").alias("v")),
         F.struct(F.lit("wape").alias("k"), F.round(F.col("pooled_wape") * 1000).cast("bigint").alias("v")),
-        F.struct(F.lit("bias").alias("k"), F.round(F.col("pooled_bias") * 1000).cast("bigint").alias("v")))).alias("e")).select("model", "trial", "e.k", "e.v")
-    out = build(long, ["model", "trial"], "k", "v", "params")
+        F.struct(F.lit("bias").alias("k"), F.round(F.col("pooled_bias") * 1000).cast("bigint").alias("v")))).alias("e")).select("model", "horizon", "trial", "e.k", "e.v")
+    out = build(long, ["model", "horizon", "trial"], "k", "v", "params")
     text = F.array_join(F.transform(F.map_entries("params"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ";")
-    return out.select("model", "trial", text.alias("params"))
+    return out.select("model", "horizon", "trial", text.alias("params"))

@@ -12,6 +12,7 @@ from stockloom.operators import forecasting as FC
 from stockloom.operators import marts as M
 from stockloom.operators import series as S
 from stockloom.operators.profiling import union_all
+from stockloom.plans import forecasts
 from stockloom.plans import marts as P
 from stockloom.plans.forecasts import stored_grid
 from stockloom.plans.series import FILL, KEY
@@ -135,19 +136,42 @@ def _fold_rates(df, keys):
                                   r6(F.max("wape")).alias("worst_fold_wape"), F.sum("n").alias("n"))
 
 
-@query("J12", "grid_trials")
+_RATES = """round(sum(e) / sum(y) * 100, 6) AS pooled_wape, round(sum(b) / sum(y) * 100, 6) AS pooled_bias, round(sqrt(sum(q) / sum(n)), 6) AS rmse, round(sum(e) / sum(n), 6) AS mae,
+ max(round(e / nullif(y, 0) * 100, 6)) AS worst_fold_wape, count(*) AS folds, CAST(sum(n) AS BIGINT) AS n"""
+
+
+@query("J12", "grid_trials", f"SELECT model, horizon, trial, ridge, {_RATES} FROM wf_tried GROUP BY 1, 2, 3, 4")
 def grid_trials(s):
-    rows = training(s)
-    grid = [{"numTrees": t, "maxDepth": d} for t, d in product((5, 10), (3, 5))]
-    scored = union_all([_score(rows, fold, p, 42).withColumn("trial", F.lit(i)) for i, p in enumerate(grid) for fold in FOLDS])
-    return _fold_rates(scored, ["trial", "numTrees", "maxDepth"])
+    """Every family and grid point on every fold of both centres, on the keys common to all of them."""
+    return forecasts.rates(forecasts.grid_fits(s), ["model", "horizon", "trial", "ridge"])
 
 
-@query("J13", "seed_trials")
+@query("J13", "seed_trials", f"""
+SELECT model, horizon, trial, seed, {_RATES} FROM (
+ SELECT model, horizon, trial, seed, fold, sum(abs(y_pred - y_true)) AS e, sum(y_pred - y_true) AS b, sum((y_pred - y_true) * (y_pred - y_true)) AS q, sum(y_true) AS y, count(*) AS n
+ FROM oof JOIN (SELECT model, horizon, trial FROM represent) USING (model, horizon) GROUP BY 1, 2, 3, 4, 5) GROUP BY 1, 2, 3, 4""")
 def seed_trials(s):
+    """The chosen trial of every family and horizon, refitted at three seeds."""
+    return forecasts.rates(forecasts.seed_fits(s), ["model", "horizon", "trial", "seed"])
+
+
+def _forest_grid(s):
     rows = training(s)
-    scored = union_all([_score(rows, fold, {"numTrees": 5, "maxDepth": 4}, seed) for seed in SEEDS for fold in FOLDS])
-    return _fold_rates(scored, ["seed"])
+    grid = [{"numTrees": t, "maxDepth": d} for t, d in product((5, 10), (3, 5))]
+    return grid, _fold_rates(union_all([_score(rows, fold, p, 42).withColumn("trial", F.lit(i)) for i, p in enumerate(grid) for fold in FOLDS]), ["trial", "numTrees", "maxDepth"])
+
+
+@query("J12", "grid_trials_forest")
+def grid_trials_forest(s):
+    return _forest_grid(s)[1]
+
+
+@query("J13", "seed_trials_forest")
+def seed_trials_forest(s):
+    """The chosen forest of the grid at three seeds."""
+    rows, (grid, tried) = training(s), _forest_grid(s)
+    chosen = EV.representative_trial(tried.withColumn("model", F.lit("forest")), ["model"]).select("trial").first().trial
+    return _fold_rates(union_all([_score(rows, fold, grid[chosen], seed) for seed in SEEDS for fold in FOLDS]), ["seed", "numTrees", "maxDepth"])
 
 
 @query("J15", "importance")

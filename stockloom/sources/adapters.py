@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -38,13 +39,23 @@ class Source:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(self.file(name))
 
+    def fingerprint(self) -> str:
+        """A digest of the input files' names, sizes and times, so that what was stored for older files is not taken for these."""
+        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
+        root = jvm.org.apache.hadoop.fs.Path(self.path)
+        files, found = root.getFileSystem(conf).listFiles(root, True), []
+        while files.hasNext():
+            status = files.next()
+            found.append(f"{status.getPath()}:{status.getLen()}:{status.getModificationTime()}")
+        return hashlib.md5("\n".join(sorted(found)).encode()).hexdigest()
+
     def stored(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
-        """A mart written once per application to the shared folder and read back from there.
+        """A mart written once per application and state of the input files to the shared folder and read back from there.
 
         Serving and evaluation queries read marts instead of recomputing them from transactions.
         Spark's own reader then prunes columns and pushes filters into them.
         """
-        key = (self.spark.sparkContext.applicationId, self.path, name)
+        key = (self.spark.sparkContext.applicationId, self.fingerprint(), name)
         if key not in _MARTS:
             path = new_table_path(self.spark, name)
             build().write.parquet(path)
