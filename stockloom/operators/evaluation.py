@@ -94,21 +94,40 @@ def oof_validate(df: DataFrame, keys: list[str]) -> DataFrame:
     return both.withColumn("status", F.when(F.col("violations") == 0, "PASS").otherwise("FAIL"))
 
 
-def sweep(df: DataFrame, cuts: list[float], rule, keys: list[str]) -> DataFrame:
-    """Metrics for every cut of a rule: conditional sums in one pass, no row is repeated.
+def cut_errors(df: DataFrame, keys: list[str], score: str, groups: list[str] | None = None) -> DataFrame:
+    """Error and bias for every possible cut: rows whose ``score`` reaches it keep ``y_pred``, all others count as 0.
 
-    ``rule`` maps a cut to the prediction column to score.
+    Every distinct score is a cut, also 0 for "keep all". Running sums in score order give all of them from one aggregate. With ``groups``
+    (centres) rates are taken per group and averaged, so one cut serves all of them. Predictions should be dyadic fractions: sums are then exact.
     """
-    from stockloom.operators.profiling import unpivot_counts
+    from stockloom.operators.ranking import running_sums
     y = F.col("y_true").cast("double")
-    entries = {str(c): {"wape": r6(div(F.sum(F.abs(rule(c) - y)), F.sum(y)) * 100), "bias": r6(div(F.sum(rule(c) - y), F.sum(y)) * 100)} for c in cuts}
-    return unpivot_counts(df, keys, entries, "cut").withColumn("cut", F.col("cut").cast("double"))
+    parts = {"": F.lit(True)} if groups is None else {f"_{g}": F.col("center_id") == g for g in groups}
+    sums = {}
+    for tag, own in parts.items():
+        at = lambda v, own=own: F.coalesce(F.sum(F.when(own, v)), F.lit(0.0))
+        sums |= {f"kept{tag}": at(F.abs(F.col("y_pred") - y)), f"bias{tag}": at(F.col("y_pred") - y), f"cut{tag}": at(F.abs(y)), f"y{tag}": at(y)}
+    run = running_sums(df, keys, score, sums)
+    rate = lambda tag, num: div(num, F.col(f"total_y{tag}")) * 100
+    wapes = [rate(t, F.col(f"before_cut{t}") + F.col(f"total_kept{t}") - F.col(f"before_kept{t}")) for t in parts]
+    biases = [rate(t, F.col(f"total_bias{t}") - F.col(f"before_bias{t}") - F.col(f"before_y{t}")) for t in parts]
+    mean = lambda cols: div(sum((F.coalesce(c, F.lit(0.0)) for c in cols), F.lit(0.0)), sum((c.isNotNull().cast("int") for c in cols), F.lit(0)))
+    return run.select(*keys, F.col(score).alias("cut"), r6(mean(wapes)).alias("wape"), r6(mean(biases)).alias("bias"))
 
 
 def best_cut(df: DataFrame, keys: list[str]) -> DataFrame:
-    order = F.struct("wape", F.abs("bias").alias("abs_bias"), "cut")
-    picked = (df.groupBy(*keys) if keys else df.groupBy()).agg(F.min(order).alias("b"))
-    return picked.select(*keys, "b.cut", "b.wape")
+    """Lowest WAPE, then bias in size, then cut; with the number of cuts tried."""
+    order = F.struct("wape", F.abs("bias").alias("abs_bias"), "cut", "bias")
+    picked = (df.groupBy(*keys) if keys else df.groupBy()).agg(F.min(F.when(F.col("wape").isNotNull(), order)).alias("b"), F.count(F.lit(1)).alias("cuts"))
+    return picked.select(*keys, "b.cut", F.col("b.wape").alias("val_wape"), F.col("b.bias").alias("val_bias"), "cuts")
+
+
+def apply_cut(df: DataFrame, best: DataFrame, keys: list[str], score: str) -> DataFrame:
+    """Rates of the chosen cuts on other rows, beside those they were chosen by."""
+    rows = df.join(F.broadcast(best), keys)  # a row per key
+    p, y = F.when(F.col(score) >= F.col("cut"), F.col("y_pred")).otherwise(0.0), F.col("y_true").cast("double")
+    return rows.groupBy(*keys, "cut", "val_wape", "val_bias", "cuts").agg(
+        r6(div(F.sum(F.abs(p - y)), F.sum(y)) * 100).alias("hold_wape"), r6(div(F.sum(p - y), F.sum(y)) * 100).alias("hold_bias"))
 
 
 def hurdle_combine(df: DataFrame, thresholds: dict[str, float]) -> DataFrame:
@@ -184,6 +203,20 @@ def instability(df: DataFrame, dev_max: DataFrame, factor: float = 100.0) -> Dat
         "limit": limit.cast("double"), "reason": F.when(bad, "not_finite").when(F.abs("y_pred") > limit, "above_limit")})
 
 
+def instability_by_series(marked: DataFrame) -> DataFrame:
+    """Counts of unusable forecasts per model and SKU, and what is to be replaced: the whole series once a value is not finite, else the rows."""
+    per = marked.groupBy("model", *SKU).agg(F.count(F.lit(1)).alias("n_total"), F.count_if(F.col("reason") == "not_finite").alias("n_inf"), F.count_if(F.col("reason") == "above_limit").alias("n_exceed"), F.max("limit").alias("limit"))
+    bad = F.col("n_inf") + F.col("n_exceed")
+    return per.withColumns({"pct": F.round(bad * 100.0 / F.col("n_total"), 1), "scope": F.when(F.col("n_inf") > 0, "sku").when(bad > 0, "row").otherwise("none")})
+
+
+def instability_override(marked: DataFrame, level: DataFrame) -> DataFrame:
+    """The rows that are replaced by their SKU's mean level (0 without history), with the scope that asks for it."""
+    scopes = instability_by_series(marked).where("scope <> 'none'").select("model", *SKU, "scope")
+    rows = marked.join(scopes, ["model", *SKU]).where("scope = 'sku' or reason is not null")
+    return rows.join(level, SKU, "left").select("model", *SKU, "week_st", "horizon", "scope", "reason", F.coalesce("level", F.lit(0.0)).alias("y_override"))
+
+
 def winner_share(df: DataFrame, a: str, b: str, measures: list[str], keys: list[str]) -> DataFrame:
     """Per measure: how many SKUs, and how much demand, each of two models wins; ties but for rounding errors, and SKUs without the measure."""
     pairs = [F.struct(F.lit(m).alias("metric"), F.col(f"{a}_{m}").alias("x"), F.col(f"{b}_{m}").alias("y")) for m in measures]

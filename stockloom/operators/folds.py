@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from stockloom.functions import columns as C
 from stockloom.operators.ranking import quantiles
-from stockloom.sources.storage import written
+from stockloom.sources.storage import pin, written
 
 
 @dataclass(frozen=True)
@@ -138,10 +138,21 @@ def zscore(train: DataFrame, df: DataFrame, cols: list[str], tiny: float = 1e-8)
                             for c in cols}).drop("_st")
 
 
+def dense_numbers(values: DataFrame, col: str, out: str) -> DataFrame:
+    """Distinct values numbered 1, 2, ... in their order: range partitions are numbered each by itself and offset by the sizes of those before.
+
+    Only the sizes, one per partition, come together. Ranges are pinned, because they are cut at sampled borders.
+    """
+    ranged = pin(values.repartitionByRange(col).select(col, F.spark_partition_id().alias("_p")))
+    sizes = ranged.groupBy("_p").agg(F.count(F.lit(1)).alias("_n")).agg(F.collect_list(F.struct("_p", "_n"))).scalar()
+    inside = F.row_number().over(W.partitionBy("_p").orderBy(col))
+    before = F.aggregate(F.filter("_sizes", lambda x: x["_p"] < F.col("_p")), F.lit(0).cast("bigint"), lambda t, x: t + x["_n"])
+    return ranged.withColumns({"_sizes": sizes, "_i": inside}).select(col, (F.col("_i") + before).cast("int").alias(out))
+
+
 def vocab(train: DataFrame, col: str) -> DataFrame:
     """Sorted training vocabulary numbered from 1. One row per distinct category."""
-    return train.select(col).where(F.col(col).isNotNull()).distinct().withColumn(
-        f"{col}_id", F.dense_rank().over(W.orderBy(col)).cast("int"))
+    return dense_numbers(train.select(col).where(F.col(col).isNotNull()).distinct(), col, f"{col}_id")
 
 
 def vocab_encode(train: DataFrame, df: DataFrame, col: str) -> DataFrame:

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -92,87 +92,6 @@ def widen_horizons(pred: DataFrame, horizons, value: str = "y_pred") -> DataFram
         F.max(F.when(F.col("horizon") == h, F.col("target_date"))).alias(f"h{h}_target_date"))])
 
 
-# -- per-series models -----------------------------------------------------
-def _fit(y: np.ndarray, lags: list[int], start: int) -> tuple[np.ndarray, float]:
-    """Least-squares autoregression on y[start:] and its corrected information criterion."""
-    x, t = np.column_stack([np.ones(len(y) - start)] + [y[start - k:len(y) - k] for k in lags]), y[start:]
-    n, k = x.shape
-    if n <= k + 1:
-        raise ValueError("history too short")
-    coef = np.linalg.lstsq(x, t, rcond=None)[0]
-    rss = float(np.sum((t - x @ coef) ** 2))
-    p = k + 1
-    score = n * np.log(max(rss, 1e-12) / n) + 2 * p
-    return coef, score + (2 * p * (p + 1) / (n - p - 1) if n > p + 1 else np.inf)
-
-
-def _choose(y: np.ndarray, order: int, seasons: tuple[int, ...]) -> tuple[np.ndarray, list[int], int]:
-    """Coefficients, lags and season of lowest criterion.
-
-    All candidates are scored on the rows that the longest one leaves, so that criteria can be compared; the chosen one is then fitted
-    on all rows it has. A season of a year needs two years; any other one is left out only where its lag leaves too few rows to fit.
-    """
-    base = list(range(1, order + 1))
-    open_ = {0: base} | {s: sorted({*base, s}) for s in seasons if len(y) - max(s, order) > len({*base, s}) + 2 and (s < 52 or len(y) >= 104)}
-    start = max(max(lags) for lags in open_.values())
-    best = min(open_, key=lambda s: (_fit(y, open_[s], start)[1], s)) if len(open_) > 1 else 0
-    return _fit(y, open_[best], max(open_[best]))[0], open_[best], best
-
-
-def _paths(y: np.ndarray, at: np.ndarray, coef: np.ndarray, lags: list[int], steps: int) -> np.ndarray:
-    """Forecasts 1..steps ahead from every position in ``at`` at once (rows)."""
-    out = np.zeros((len(at), steps))
-    for h in range(steps):
-        out[:, h] = coef[0] + sum(c * (y[at + h + 1 - k] if h < k else out[:, h - k]) for c, k in zip(coef[1:], lags))
-    return out
-
-
-FIT_SCHEMA = ("center_id string, sku_id string, week_st date, horizon int, target_date date, model string, status string, "
-              "season int, y_pred double, y_raw double")
-
-
-def per_series_fit(df: DataFrame, cutoff: str, horizons, seasons: tuple[int, ...] = (), order: int = 2) -> DataFrame:
-    """One autoregression per SKU on log1p, coefficients frozen at the cutoff, state moved week by week.
-
-    With ``seasons`` each period that can be fitted is tried as an extra lag and the lowest criterion wins. A series that cannot be
-    fitted falls back to its mean level and says why. ``y_raw`` is the forecast as it comes, infinite where it overflows; ``y_pred`` is
-    the delivered one: not below zero, and zero where the raw one is not finite. Groups are one SKU's weeks, bounded by the calendar.
-    """
-    cut, last = pd.Timestamp(cutoff), max(horizons)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("week_st")
-        weeks = pd.to_datetime(pdf["week_st"])
-        logs = np.log1p(pdf["qty"].to_numpy(dtype=float))
-        known = logs[(weeks < cut).to_numpy()]
-        status, season, coef, lags = "fitted", 0, None, []
-        try:
-            if len(known) and known.min() == known.max():
-                raise ValueError("constant history")
-            if len(known) <= order + 2 + order:
-                raise ValueError("history too short")
-            coef, lags, season = _choose(known, order, seasons)
-        except (ValueError, np.linalg.LinAlgError) as e:
-            status = str(e)
-        level = float(np.expm1(known).mean()) if len(known) else 0.0
-        at = np.flatnonzero((weeks >= cut).to_numpy())
-        raw = np.full((len(at), last), level)
-        if coef is not None:
-            able = at + 1 >= max(lags)
-            with np.errstate(over="ignore", invalid="ignore"):
-                raw[able] = np.expm1(_paths(logs, at[able], coef, lags, last))
-        raw = raw[:, [h - 1 for h in horizons]].ravel()
-        each = np.repeat(at, len(horizons))
-        step = np.tile(horizons, len(at))
-        week = weeks.to_numpy()[each]
-        return pd.DataFrame({
-            "center_id": pdf["center_id"].iloc[0], "sku_id": pdf["sku_id"].iloc[0], "week_st": pd.Series(week).dt.date, "horizon": step.astype("int32"),
-            "target_date": pd.Series(week + step * np.timedelta64(7, "D")).dt.date, "model": "ar_seasonal" if seasons else "ar", "status": status, "season": season,
-            "y_pred": np.where(np.isfinite(raw) & (raw > 0), raw, 0.0), "y_raw": raw})
-
-    return df.select(*SKU, "week_st", "qty").groupBy(*SKU).applyInPandas(run, FIT_SCHEMA)
-
-
 # -- pooled models ---------------------------------------------------------
 def fit_trees(train: DataFrame, cols: list[str], label: str, kind: str, seed: int = 42, weight: str | None = None, **params):
     """MLlib forest or boosting pipeline on assembled features."""
@@ -222,3 +141,25 @@ def predict_hurdle(models, df: DataFrame) -> DataFrame:
 
 def importance(model, cols: list[str]) -> list[tuple[str, float]]:
     return [(c, float(v)) for c, v in zip(cols, model.stages[-1].featureImportances.toArray())]
+
+
+SHIFT_ROWS = 10_000  # rows that exchange values among themselves
+
+
+def permutation_importance(model, rows: DataFrame, cols: list[str], label: str, keys: list[str], seeds, predict=predict_log) -> DataFrame:
+    """(feature, seed, increase): how much the mean absolute error of a fitted model grows when a feature is taken from another row.
+
+    Rows are dealt by a seeded hash of their key into groups of about ``SHIFT_ROWS``, and each takes the values of the row after it in hash
+    order, the last of a group those of the first. All features are moved in one pass: every row is scored as it is and once per feature.
+    """
+    groups = max(1, math.ceil(rows.count() / SHIFT_ROWS))
+    seeded = rows.withColumn("seed", F.explode(F.array(*[F.lit(k) for k in seeds]))).withColumn("_h", F.xxhash64("seed", *keys))
+    w = W.partitionBy("seed", F.pmod("_h", F.lit(groups))).orderBy("_h", *keys)
+    values = F.struct(*[F.col(c) for c in cols])
+    first = F.first(values).over(w.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
+    moved = seeded.withColumn("_o", F.coalesce(F.lead(values).over(w), first)).withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(len(cols)))))
+    given = moved.withColumns({c: F.when(F.col("_k") == k, F.col(f"_o.{c}")).otherwise(F.col(c)) for k, c in enumerate(cols, 1)}).drop("_o", "_h")
+    errors = predict(model, given).groupBy("seed", "_k").agg(F.avg(F.abs(F.col("y_pred") - F.col(label))).alias("e"))
+    base = errors.where("_k = 0").select("seed", F.col("e").alias("_base"))
+    name = F.element_at(F.array(*[F.lit(c) for c in cols]), F.col("_k"))
+    return errors.where("_k > 0").join(base, "seed").select(name.alias("feature"), "seed", (F.col("e") - F.col("_base")).alias("increase"))

@@ -1,20 +1,61 @@
-"""Exact ranks and quantiles that never sort a whole group in one task.
+"""Exact ranks, quantiles and running sums that never sort a whole group in one task.
 
-Values are first counted (partial aggregation removes repeats), then cut into value buckets at
-approximate quantiles. Running counts are taken inside a bucket, and over the short list of
-bucket totals. The cut points only balance the work: the result is exact for any cut points.
-They are pinned in reliable storage, because an approximate quantile may differ when recomputed.
+Values are first added up (partial aggregation removes repeats). A group of many distinct values is cut into value buckets at approximate
+quantiles, buckets are cut again until none holds more than ``BUCKET_ROWS``; running sums are taken inside the last buckets, and over the
+short lists of bucket totals on the way back. The cut points only balance the work: the result is exact for any cut points. They are pinned
+in reliable storage, because an approximate quantile may differ when recomputed.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from stockloom.sources.storage import pin
 
 BUCKETS = 64
+BUCKET_ROWS = 100_000
+
+
+def _same(keys: list[str], prefix: str) -> Column:
+    cond = F.lit(True)
+    for k in keys:
+        cond = cond & F.col(k).eqNullSafe(F.col(f"{prefix}{k}"))
+    return cond
+
+
+def _running(sums: DataFrame, keys: list[str], value: str, cols: list[str], levels: int) -> DataFrame:
+    if not levels:
+        w = W.partitionBy(*keys)
+        return sums.withColumns({f"before_{c}": F.sum(c).over(w.orderBy(value).rowsBetween(W.unboundedPreceding, 0)) - F.col(c) for c in cols} | {f"total_{c}": F.sum(c).over(w) for c in cols})
+    edges = pin(sums.groupBy(*keys).agg(F.percentile_approx(value, [i / BUCKETS for i in range(1, BUCKETS)], 1000).alias("_edges")))
+    here = f"_b{levels}"
+    placed = sums.join(edges.withColumnsRenamed({k: f"_e_{k}" for k in keys}), _same(keys, "_e_")).withColumn(
+        here, F.size(F.filter("_edges", lambda e: e < F.col(value)))).select(*keys, value, *cols, here)
+    inside = _running(placed, [*keys, here], value, cols, levels - 1)
+    group = W.partitionBy(*keys)  # at most BUCKETS rows per group
+    totals = placed.groupBy(*keys, here).agg(*[F.sum(c).alias(c) for c in cols])
+    starts = totals.select(*[F.col(k).alias(f"_s_{k}") for k in (*keys, here)], *[(F.sum(c).over(group.orderBy(here)) - F.col(c)).alias(f"_start_{c}") for c in cols],
+                           *[F.sum(c).over(group).alias(f"_total_{c}") for c in cols])
+    joined = inside.join(starts, _same([*keys, here], "_s_"))
+    return joined.select(*keys, value, *cols, *[(F.col(f"_start_{c}") + F.col(f"before_{c}")).alias(f"before_{c}") for c in cols], *[F.col(f"_total_{c}").alias(f"total_{c}") for c in cols])
+
+
+def running_sums(df: DataFrame, keys: list[str], value: str, sums: dict[str, Column]) -> DataFrame:
+    """(keys, value, and per sum: itself, before_, total_): the sums over rows of that value, of smaller values, and of the whole group.
+
+    The number of bucket levels follows from the largest number of distinct values of a group; small groups are summed in one window.
+    """
+    rows = df.where(F.col(value).isNotNull())
+    added = (rows.groupBy(*keys, value)).agg(*[e.alias(c) for c, e in sums.items()])
+    added = pin(added)
+    per = added.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")) if keys else added.agg(F.count(F.lit(1)).alias("_n"))
+    most = per.agg(F.max("_n")).first()[0] or 0
+    levels = 0 if most <= BUCKET_ROWS else max(1, math.ceil(math.log(most / BUCKET_ROWS, BUCKETS)))
+    return _running(added, keys, value, list(sums), levels)
 
 
 def running_counts(df: DataFrame, keys: list[str], value: str, weight: str | None = None) -> DataFrame:
@@ -22,28 +63,8 @@ def running_counts(df: DataFrame, keys: list[str], value: str, weight: str | Non
 
     ``weight`` names a column with the number of rows each input row stands for.
     """
-    rows = df.where(F.col(value).isNotNull())
-    counts = pin(rows.groupBy(*keys, value).agg((F.sum(weight) if weight else F.count(F.lit(1))).alias("n")))
-    cuts = [i / BUCKETS for i in range(1, BUCKETS)]
-    edges = pin(counts.groupBy(*keys).agg(F.percentile_approx(value, cuts, 1000).alias("_edges")))
-    renamed = edges.withColumnsRenamed({k: f"_e_{k}" for k in keys})
-    match = [F.col(k).eqNullSafe(F.col(f"_e_{k}")) for k in keys] or [F.lit(True)]
-    cond = match[0]
-    for m in match[1:]:
-        cond = cond & m
-    placed = (counts.join(renamed, cond) if keys else counts.withColumn("_edges", edges.select("_edges").scalar())).withColumn(
-        "_bucket", F.size(F.filter("_edges", lambda e: e < F.col(value)))).select(*keys, value, "n", "_bucket")
-    sums = placed.groupBy(*keys, "_bucket").agg(F.sum("n").alias("_bn"))
-    group = W.partitionBy(*keys)  # at most BUCKETS rows per key
-    starts = sums.select(*[F.col(k).alias(f"_s_{k}") for k in keys], F.col("_bucket").alias("_sb"),
-                         (F.sum("_bn").over(group.orderBy("_bucket")) - F.col("_bn")).alias("_start"),
-                         F.sum("_bn").over(group).alias("total"))
-    cond = F.col("_bucket") == F.col("_sb")
-    for k in keys:
-        cond = cond & F.col(k).eqNullSafe(F.col(f"_s_{k}"))
-    inside = W.partitionBy(*keys, "_bucket").orderBy(value)
-    return (placed.withColumn("_run", F.sum("n").over(inside)).join(starts, cond)
-            .select(*keys, value, "n", (F.col("_start") + F.col("_run") - F.col("n")).alias("before"), "total"))
+    out = running_sums(df, keys, value, {"n": F.sum(weight) if weight else F.count(F.lit(1))})
+    return out.withColumnsRenamed({"before_n": "before", "total_n": "total"})
 
 
 def average_rank(df: DataFrame, keys: list[str], value: str) -> DataFrame:

@@ -217,6 +217,16 @@ def daily_summary(agg: DataFrame, sparse: DataFrame, grid: DataFrame, raw: DataF
     return out.withColumn("return_rate", r6(div(F.col("return_amount"), F.col("sales_amount"))))
 
 
+def daily_head(line: DataFrame, sparse: DataFrame, grid: DataFrame, forecast: DataFrame, scope: Scope, basis: str) -> DataFrame:
+    """The basis day's figures, the latest forecast week not after it, and the quantity sold by unit (units on the grid that day, zero included)."""
+    weeks = forecast.where(F.col("week_st") <= day(basis)).agg(F.max("week_st")).scalar()
+    units = scope.filter(grid).where(F.col("grid_start") <= day(basis)).select(*SKU, "option_code")
+    sold = sparse.where(F.col("tx_date") == day(basis)).select(*SKU, "sales_qty")
+    by = units.join(sold, SKU, "left").groupBy("option_code").agg(F.coalesce(F.sum("sales_qty"), F.lit(0)).cast("bigint").alias("q"))
+    text = F.array_join(F.array_sort(F.collect_list(F.concat_ws("=", "option_code", F.col("q").cast("string")))), ";")  # a unit each
+    return line.where(F.col("tx_date") == day(basis)).withColumns({"forecast_basis_week": weeks, "sales_qty_by_unit": by.agg(text).scalar()})
+
+
 def product_activity(sparse: DataFrame, raw: DataFrame, master: DataFrame, scope: Scope, basis: str) -> DataFrame:
     rows = scoped(sparse.where(F.col("tx_date") == day(basis)), master, scope, ["product_name"])
     records = raw.where((F.col("tx_date") == day(basis)) & (F.col("qty") > 0)).groupBy(*SKU).agg(F.count(F.lit(1)).alias("_n"))

@@ -8,7 +8,7 @@ from stockloom.operators import forecasting as FC
 from stockloom.operators import marts as M
 from stockloom.operators.profiling import union_all
 from stockloom.operators.walkforward import FAMILIES
-from stockloom.plans.forecasts import MASE, METRIC, MODELS, SEEDS, history, oof, panel, preds, stored_grid, trials, wide
+from stockloom.plans.forecasts import MASE, METRIC, MODELS, SEEDS, history, oof, panel, preds, stored_grid, trials, validation, wide
 from stockloom.plans.series import KEY, _K
 from stockloom.registry import cte, query
 from stockloom.sources.adapters import HOLDOUT_START, HORIZONS, REGIME_START
@@ -164,43 +164,56 @@ def hurdle(s):
                           "conditional_qty": F.col("y_pred") * F.col("n_obs") / F.greatest(F.col("n_sold"), F.lit(1))})
 
 
-CUTS = [0.1, 0.2, 0.3, 0.4, 0.5]
-_SWEEP = lambda src, pred, keys: " UNION ALL ".join(
-    f"SELECT {keys}CAST({c} AS DOUBLE) AS cut, round(sum(abs({pred.format(c=c)} - y_true)) / nullif(sum(y_true), 0) * 100, 6) AS wape, "
-    f"round(sum({pred.format(c=c)} - y_true) / nullif(sum(y_true), 0) * 100, 6) AS bias FROM {src} GROUP BY ALL" for c in CUTS)
-_HARD = "CASE WHEN sale_probability >= {c} THEN conditional_qty ELSE 0 END"
+# Every distinct score is a possible cut. Cuts are chosen on validation rows and applied to the holdout. Quantities are whole 8192nds.
+_HURDLE = """SELECT center_id, horizon, y_true, CAST(n_sold AS DOUBLE) / n_obs AS score, floor(y_pred * n_obs / greatest(n_sold, 1) * 8192 + 0.5) / 8192 AS y_pred,
+ CASE WHEN n_sold > 0 AND CAST(n_obs AS DOUBLE) / n_sold < 1.32 THEN 'smooth' ELSE 'intermittent' END AS adi_group FROM {} WHERE model = 'level'"""
+_CUTOFF = "SELECT center_id, horizon, y_true, floor(y_pred * 8192 + 0.5) / 8192 AS score, floor(y_pred * 8192 + 0.5) / 8192 AS y_pred FROM {} WHERE model = 'category'"
 
 
-def _hard(c):
-    return F.when(F.col("sale_probability") >= c, F.col("conditional_qty")).otherwise(0.0)
+def _cut_sql(rows, key, centers=(None,)):
+    tag = lambda c: "" if c is None else f"_{c}"
+    own = lambda v, c: f"coalesce(sum({v})" + ("" if c is None else f" FILTER (WHERE center_id = '{c}')") + ", 0)"
+    sums = ", ".join(f"{own('abs(y_pred - y_true)', c)} AS k{tag(c)}, {own('y_pred - y_true', c)} AS b{tag(c)}, {own('abs(y_true)', c)} AS c{tag(c)}, {own('y_true', c)} AS y{tag(c)}" for c in centers)
+    upto = lambda x: f"(sum({x}) OVER (PARTITION BY {key} ORDER BY score) - {x})"
+    whole = lambda x: f"sum({x}) OVER (PARTITION BY {key})"
+    wape = lambda t: f"({upto('c' + t)} + {whole('k' + t)} - {upto('k' + t)}) / nullif({whole('y' + t)}, 0) * 100"
+    bias = lambda t: f"({whole('b' + t)} - {upto('b' + t)} - {upto('y' + t)}) / nullif({whole('y' + t)}, 0) * 100"
+    mean = lambda f: f"list_avg(list_filter([{', '.join(f(tag(c)) for c in centers)}], lambda v: v IS NOT NULL))"
+    return f"""WITH hold AS ({rows.format('preds')}), sums AS (SELECT {key}, score, {sums} FROM ({rows.format('dev_preds')}) GROUP BY 1, 2),
+ tried AS (SELECT {key}, score AS cut, round({mean(wape)}, 6) AS wape, round({mean(bias)}, 6) AS bias FROM sums),
+ best AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY {key}) AS cuts, row_number() OVER (PARTITION BY {key} ORDER BY wape, abs(bias), cut) AS r FROM tried) WHERE r = 1)
+SELECT {key}, cut, wape AS val_wape, bias AS val_bias, cuts, round(sum(abs(CASE WHEN score >= cut THEN y_pred ELSE 0 END - y_true)) / nullif(sum(y_true), 0) * 100, 6) AS hold_wape,
+ round(sum(CASE WHEN score >= cut THEN y_pred ELSE 0 END - y_true) / nullif(sum(y_true), 0) * 100, 6) AS hold_bias FROM hold JOIN best USING ({key}) GROUP BY 1, 2, 3, 4, 5"""
 
 
-@query("H13", "threshold_sweep", f"SELECT *, CASE WHEN row_number() OVER (PARTITION BY horizon ORDER BY wape, abs(bias), cut) = 1 THEN 1 ELSE 0 END AS best FROM ({_SWEEP('hurdle', _HARD, 'horizon, ')})")
-def threshold_sweep(s):
-    """All cuts, the best of each horizon marked."""
-    swept = EV.sweep(hurdle(s), CUTS, _hard, ["horizon"])
-    best = EV.best_cut(swept, ["horizon"]).select("horizon", F.col("cut").alias("_best"))
-    return swept.join(best, "horizon").withColumn("best", (F.col("cut") == F.col("_best")).cast("int")).drop("_best")
+def _hurdle_scores(p):
+    rows = p.where("model = 'level'")
+    return rows.select("center_id", "horizon", "y_true", (F.col("n_sold").cast("double") / F.col("n_obs")).alias("score"),
+                       F.expr("floor(y_pred * n_obs / greatest(n_sold, 1) * 8192 + 0.5) / 8192").alias("y_pred"),
+                       F.when(div(F.col("n_obs").cast("double"), F.col("n_sold")) < 1.32, "smooth").otherwise("intermittent").alias("adi_group"))
+
 
+def _chosen(found, hold, key):
+    return EV.apply_cut(hold, EV.best_cut(found, [key]), [key], "score")
 
-cte("adi_group", "SELECT center_id, sku_id, CASE WHEN count(*) * 1.0 / nullif(sum(sold), 0) < 1.32 THEN 'smooth' ELSE 'intermittent' END AS adi_group FROM gq WHERE week_st < DATE '" + HOLDOUT_START + "' GROUP BY 1, 2")
+
+@query("H13", "threshold_sweep", _cut_sql(_HURDLE, "horizon"))
+def threshold_sweep(s):
+    """The best probability threshold of each horizon among all that make a difference."""
+    return _chosen(EV.cut_errors(_hurdle_scores(validation(s)), ["horizon"], "score"), _hurdle_scores(preds(s)), "horizon")
 
 
-@query("H14", "threshold_by_group", f"""
-WITH h AS (SELECT * FROM hurdle JOIN adi_group USING (center_id, sku_id)), m AS (SELECT adi_group, cut, round(avg(wape), 6) AS wape FROM ({_SWEEP('h', _HARD, 'adi_group, center_id, ')}) GROUP BY 1, 2)
-SELECT adi_group, first(cut ORDER BY wape, cut) AS cut, min(wape) AS wape FROM m GROUP BY 1""")
+@query("H14", "threshold_by_group", _cut_sql(_HURDLE, "adi_group", ("A", "B")))
 def threshold_by_group(s):
-    groups = history(s).groupBy(*M.SKU).agg(
-        F.when(div(F.count("*"), F.sum("sold")) < 1.32, "smooth").otherwise("intermittent").alias("adi_group"))
-    swept = EV.sweep(hurdle(s).join(groups, M.SKU), CUTS, _hard, ["adi_group", "center_id"])
-    mean = swept.groupBy("adi_group", "cut").agg(r6(F.avg("wape")).alias("wape"))
-    return mean.groupBy("adi_group").agg(F.min(F.struct("wape", "cut")).alias("b")).select("adi_group", "b.cut", "b.wape")
+    """One threshold for each row's own demand interval group, by the mean of both centres' error."""
+    return _chosen(EV.cut_errors(_hurdle_scores(validation(s)), ["adi_group"], "score", ["A", "B"]), _hurdle_scores(preds(s)), "adi_group")
 
 
-@query("H15", "cutoff_sweep", _SWEEP("(SELECT * FROM preds WHERE model = 'category')", "CASE WHEN y_pred < {c} * 10 THEN 0 ELSE y_pred END", "horizon, "))
+@query("H15", "cutoff_sweep", _cut_sql(_CUTOFF, "horizon"))
 def cutoff_sweep(s):
-    rule = lambda c: F.when(F.col("y_pred") < c * 10, 0.0).otherwise(F.col("y_pred"))
-    return EV.sweep(preds(s).where("model = 'category'"), CUTS, rule, ["horizon"])
+    """The quantity below which a prediction counts as no demand."""
+    rows = lambda p: p.where("model = 'category'").withColumn("y_pred", F.expr("floor(y_pred * 8192 + 0.5) / 8192")).withColumn("score", F.col("y_pred"))
+    return _chosen(EV.cut_errors(rows(validation(s)), ["horizon"], "score"), rows(preds(s)), "horizon")
 
 
 @query("H16", "hurdle_combine", f"""
@@ -262,14 +275,28 @@ def group_metrics(s):
                       part(p, "actual", F.when(F.col("y_true") == 0, "zero").otherwise("nonzero"))])
 
 
-@query("H21", "zero_demand", """
-SELECT quartile, model, count(*) AS n, round(count(*) FILTER (WHERE y_true = 0) * 1.0 / count(*), 6) AS zero_rate, round(avg(y_pred) FILTER (WHERE y_true = 0), 6) AS mean_pred_zero,
+_ZERO = """count(*) AS n, round(count(*) FILTER (WHERE y_true = 0) * 1.0 / count(*), 6) AS zero_rate, round(avg(y_pred) FILTER (WHERE y_true = 0), 6) AS mean_pred_zero,
  round(sum(abs(y_pred - y_true)) FILTER (WHERE y_true > 0) / nullif(sum(y_true) FILTER (WHERE y_true > 0), 0) * 100, 6) AS nonzero_wape,
- round(sum(y_pred - y_true) FILTER (WHERE y_true > 0) / nullif(sum(y_true) FILTER (WHERE y_true > 0), 0) * 100, 6) AS nonzero_bias
-FROM preds JOIN quart USING (center_id, sku_id) GROUP BY 1, 2""")
+ round(sum(y_pred - y_true) FILTER (WHERE y_true > 0) / nullif(sum(y_true) FILTER (WHERE y_true > 0), 0) * 100, 6) AS nonzero_bias"""
+# How often a SKU sells: its share of selling weeks, in quarters per centre.
+cte("sku_freq", f"SELECT center_id, sku_id, CAST(sum(sold) AS DOUBLE) / count(*) AS freq FROM gq WHERE week_st < DATE '{HOLDOUT_START}' AND (center_id <> 'B' OR week_st >= DATE '{REGIME_START}') GROUP BY 1, 2")
+cte("freq_quart", """
+WITH e AS (SELECT center_id, list_sort(list_distinct(quantile_cont(freq, [0, 0.25, 0.5, 0.75, 1]))) AS e FROM sku_freq GROUP BY 1)
+SELECT center_id, sku_id, CASE WHEN len(e) > 1 THEN CAST(greatest(len([x for x in e if x < freq]), 1) AS INT) END AS quartile FROM sku_freq JOIN e USING (center_id)""")
+
+
+@query("H21", "zero_demand", f"""
+SELECT 'volume' AS grouping, quartile, model, {_ZERO} FROM preds JOIN quart USING (center_id, sku_id) GROUP BY 2, 3 UNION ALL
+SELECT 'frequency', quartile, model, {_ZERO} FROM preds JOIN freq_quart USING (center_id, sku_id) GROUP BY 2, 3""")
 def zero_demand(s):
+    """Zero weeks by quarter of volume and by quarter of selling frequency; rows are joined to both quarters at once."""
     sold = lambda c: F.when(F.col("y_true") > 0, c)
-    return preds(s).join(quartiles(s), M.SKU).groupBy("quartile", "model").agg(
+    freq = development(s).groupBy(*M.SKU).agg((F.sum("sold").cast("double") / F.count(F.lit(1))).alias("freq"))
+    by_freq = freq.join(EV.quartile_edges(freq, ["center_id"], "freq"), "center_id").select(*M.SKU, EV.cut_right(F.col("freq"), F.col("edges")).alias("_f"))
+    both = quartiles(s).select(*M.SKU, F.col("quartile").alias("_v")).join(by_freq, M.SKU)
+    each = F.array(F.struct(F.lit("volume").alias("grouping"), F.col("_v").alias("quartile")), F.struct(F.lit("frequency").alias("grouping"), F.col("_f").alias("quartile")))
+    rows = preds(s).join(both, M.SKU).withColumn("g", F.explode(each)).select("model", "y_true", "y_pred", "g.*")
+    return rows.groupBy("grouping", "quartile", "model").agg(
         F.count("*").alias("n"), r6(div(F.count_if(F.col("y_true") == 0), F.count("*"))).alias("zero_rate"),
         r6(F.avg(F.when(F.col("y_true") == 0, F.col("y_pred")))).alias("mean_pred_zero"),
         r6(div(F.sum(sold(F.abs(F.col("y_pred") - F.col("y_true")))), F.sum(sold(F.col("y_true")))) * 100).alias("nonzero_wape"),
@@ -397,13 +424,39 @@ def select_family(s):
     return EV.select_family(summary.withColumn("cost", cost), ["horizon"]).select("model", "horizon", "eliminated_at", "winner")
 
 
-@query("H31", "instability", f"""
-WITH m AS (SELECT center_id, sku_id, max(qty) AS dev_max FROM gq WHERE week_st < DATE '{HOLDOUT_START}' GROUP BY 1, 2), x AS (
- SELECT model, abs(y_pred) AS p, greatest(coalesce(dev_max, 0), 1) * 100 AS lim FROM preds LEFT JOIN m USING (center_id, sku_id))
-SELECT model, CASE WHEN p > lim THEN 'above_limit' END AS reason, count(*) AS n, CAST(max(lim) AS DOUBLE) AS highest_limit FROM x GROUP BY 1, 2""")
+cte("raw_checked", f"""
+WITH m AS (SELECT center_id, sku_id, max(qty) AS dev_max FROM gq WHERE week_st < DATE '{HOLDOUT_START}' AND (center_id <> 'B' OR week_st >= DATE '{REGIME_START}') GROUP BY 1, 2)
+SELECT f.*, CAST(greatest(coalesce(dev_max, 0), 1) * 100 AS DOUBLE) AS lim, CASE WHEN isinf(y_raw) OR isnan(y_raw) THEN 'not_finite' WHEN abs(y_raw) > greatest(coalesce(dev_max, 0), 1) * 100 THEN 'above_limit' END AS reason
+FROM (SELECT * FROM ar_plain UNION ALL SELECT * FROM ar_best) f LEFT JOIN m USING (center_id, sku_id)""")
+cte("unstable", """
+SELECT model, center_id, sku_id, count(*) AS n_total, count(*) FILTER (WHERE reason = 'not_finite') AS n_inf, count(*) FILTER (WHERE reason = 'above_limit') AS n_exceed, max(lim) AS "limit",
+ round(count(reason) * 100.0 / count(*), 1) AS pct, CASE WHEN count(*) FILTER (WHERE reason = 'not_finite') > 0 THEN 'sku' WHEN count(reason) > 0 THEN 'row' ELSE 'none' END AS scope FROM raw_checked GROUP BY 1, 2, 3""")
+
+
+def development(s):
+    """The weeks that models may learn from: all of A, B from its regime start."""
+    return history(s).where((F.col("center_id") != "B") | (F.col("week_st") >= F.lit(REGIME_START).cast("date")))
+
+
+def raw_checked(s):
+    """Per-series forecasts as they come, each with the reason that makes it unusable."""
+    from stockloom.plans.models import ar_forecasts
+    raw = ar_forecasts(s, False).unionByName(ar_forecasts(s, True)).withColumn("y_pred", F.col("y_raw"))
+    return EV.instability(raw, development(s).groupBy(*M.SKU).agg(F.max("qty").alias("dev_max")))
+
+
+@query("H31", "instability", "SELECT * FROM unstable")
 def instability(s):
-    most = history(s).groupBy(*M.SKU).agg(F.max("qty").alias("dev_max"))
-    return EV.instability(preds(s), most).groupBy("model", "reason").agg(F.count("*").alias("n"), F.max("limit").alias("highest_limit"))
+    return EV.instability_by_series(raw_checked(s))
+
+
+@query("H31", "instability_override", f"""
+WITH l AS (SELECT center_id, sku_id, avg(qty) AS mean_qty FROM gq WHERE week_st < DATE '{HOLDOUT_START}' AND (center_id <> 'B' OR week_st >= DATE '{REGIME_START}') GROUP BY 1, 2)
+SELECT model, center_id, sku_id, week_st, horizon, scope, reason, round(coalesce(mean_qty, 0), 6) AS y_override FROM raw_checked JOIN (SELECT model, center_id, sku_id, scope FROM unstable) USING (model, center_id, sku_id)
+LEFT JOIN l USING (center_id, sku_id) WHERE scope = 'sku' OR reason IS NOT NULL""")
+def instability_override(s):
+    level = development(s).groupBy(*M.SKU).agg(F.avg(F.col("qty").cast("double")).alias("level"))
+    return EV.instability_override(raw_checked(s), level).withColumn("y_override", r6(F.col("y_override")))
 
 
 @query("H32", "extreme_top_n", f"""

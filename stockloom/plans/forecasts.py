@@ -51,7 +51,7 @@ def _preds_sql(start, horizons):
 
 
 cte("preds", _preds_sql(HOLDOUT_START, HORIZONS))
-cte("dev_preds", _preds_sql("1998-12-28", (1,)))
+cte("dev_preds", f"SELECT * FROM ({_preds_sql('1998-12-28', HORIZONS)}) WHERE target_date < DATE '{HOLDOUT_START}'")
 cte("mase", f"""
 SELECT center_id, sku_id, CASE WHEN count(*) >= 2 AND avg(d) > 0 THEN avg(d) END AS mase_scale FROM (
  SELECT center_id, sku_id, abs(qty - lag(qty) OVER ({_W})) AS d FROM gq WHERE week_st < DATE '{HOLDOUT_START}') GROUP BY 1, 2""")
@@ -118,6 +118,11 @@ def preds(s):
     return s.stored("predictions", lambda: rolling(s))
 
 
+def validation(s):
+    """The same models on the origins of the year before the holdout, targets inside it: rows to choose by."""
+    return s.stored("validation_predictions", lambda: rolling(s, "1998-12-28").where(F.col("target_date") < F.lit(HOLDOUT_START).cast("date")))
+
+
 def history(s):
     return stored_grid(s).where(F.col("week_st") < F.lit(HOLDOUT_START).cast("date"))
 

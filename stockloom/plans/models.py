@@ -2,10 +2,12 @@
 
 from itertools import product
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from stockloom.functions import columns as C
 from stockloom.functions.columns import r6
+from stockloom.operators import autoregression as AR
 from stockloom.operators import evaluation as EV
 from stockloom.operators import folds as FO
 from stockloom.operators import forecasting as FC
@@ -16,7 +18,7 @@ from stockloom.plans import forecasts
 from stockloom.plans import marts as P
 from stockloom.plans.forecasts import stored_grid
 from stockloom.plans.series import FILL, KEY
-from stockloom.registry import query
+from stockloom.registry import cte, query
 from stockloom.sources.adapters import HOLDOUT_START, HORIZONS
 
 COLS = ["lag1", "lag2", "lag4_filled", "roll_mean_4_filled", "cv2_filled", "weeks_inactive", "coldstart", "iso_week", "quarter", "is_b"]
@@ -46,20 +48,52 @@ def _out(df, model):
     return df.select(*KEY, "target_date", F.lit(model).alias("model"), "y_true", r6(F.col("y_pred")).alias("y_pred"))
 
 
-@query("J05", "per_series_fit")
+def _ar_sql(horizons, seasons=()):
+    """The same stages over the check side's grid."""
+    last = max(horizons)
+    nest = lambda sql, stages: sql if not stages else nest(f"SELECT *, {', '.join(f'{e} AS {c}' for c, e in stages[0].items())} FROM ({sql})", stages[1:])
+    rows = nest("SELECT center_id, sku_id, week_st, qty FROM gq", AR.lag_stages(HOLDOUT_START, seasons, last))
+    sums = f"SELECT center_id, sku_id, {', '.join(f'{e} AS {c}' for c, e in AR.sum_stage(seasons).items())} FROM ar_lagged GROUP BY 1, 2"
+    fits = f"SELECT center_id, sku_id, status, season, mean_qty, w0, w1, w2, w3 FROM ({nest(sums, [*AR.choice_stages(seasons), *AR.fit_stages(seasons)])})"
+    ahead = nest("SELECT * FROM (SELECT * EXCLUDE (n_known, first_row) FROM ar_lagged WHERE NOT known) JOIN ar_fitted USING (center_id, sku_id)", AR.path_stages(seasons, last))
+    name = "ar_seasonal" if seasons else "ar"
+    out = " UNION ALL ".join(f"SELECT center_id, sku_id, week_st, {h} AS horizon, week_st + {7 * h} AS target_date, '{name}' AS model, status, CAST(season AS INT) AS season, raw{h} AS y_raw FROM ar_ahead" for h in horizons)
+    return f"""WITH ar_lagged AS MATERIALIZED ({rows}), ar_fitted AS MATERIALIZED ({fits}), ar_ahead AS MATERIALIZED ({ahead})
+SELECT * EXCLUDE (y_raw), CASE WHEN y_raw > 0 AND y_raw < 'infinity'::DOUBLE THEN y_raw ELSE 0 END AS y_pred, y_raw FROM ({out})"""
+
+
+SEASONS = (13, 26, 52)
+cte("ar_plain", _ar_sql(HORIZONS))
+cte("ar_best", _ar_sql(HORIZONS, SEASONS))
+_AR = "center_id, sku_id, week_st, horizon, target_date, model, status, season, round(y_pred, 6) AS y_pred, round(y_raw, 6) AS y_raw"
+
+
+def ar_forecasts(s, seasonal):
+    name = "ar_seasonal" if seasonal else "ar_plain"
+    return s.stored(name, lambda: AR.per_series_fit(stored_grid(s), HOLDOUT_START, HORIZONS, SEASONS if seasonal else ()))
+
+
+def _rounded(df):
+    return df.withColumns({"y_pred": r6(F.col("y_pred")), "y_raw": r6(F.col("y_raw"))})
+
+
+@query("J05", "per_series_fit", f"SELECT {_AR} FROM ar_plain")
 def per_series_fit(s):
-    return FC.per_series_fit(stored_grid(s), HOLDOUT_START, HORIZONS)
+    return _rounded(AR.per_series_fit(stored_grid(s), HOLDOUT_START, HORIZONS))
 
 
-@query("J06", "seasonal_fit")
+@query("J06", "seasonal_fit", f"SELECT {_AR} FROM ar_best")
 def seasonal_fit(s):
-    return FC.per_series_fit(stored_grid(s), HOLDOUT_START, HORIZONS, seasons=(13, 26, 52))
+    return _rounded(AR.per_series_fit(stored_grid(s), HOLDOUT_START, HORIZONS, SEASONS))
+
 
+cte("ar_quarter", _ar_sql((1,), (13,)))
 
-@query("J07", "fit_parallel")
+
+@query("J07", "fit_parallel", "SELECT center_id, status, season, count(DISTINCT sku_id) AS series, count(*) AS forecasts FROM ar_quarter GROUP BY 1, 2, 3")
 def fit_parallel(s):
     """Fit outcome per series: one failing series never stops the others."""
-    fits = FC.per_series_fit(stored_grid(s), HOLDOUT_START, (1,), seasons=(13,))
+    fits = AR.per_series_fit(stored_grid(s), HOLDOUT_START, (1,), seasons=(13,))
     return fits.groupBy("center_id", "status", "season").agg(F.count_distinct("sku_id").alias("series"), F.count("*").alias("forecasts"))
 
 
@@ -176,6 +210,11 @@ def seed_trials_forest(s):
 
 @query("J15", "importance")
 def importance(s):
-    train, _ = split(s)
-    ranked = sorted(FC.importance(FC.fit_trees(train, COLS, "y_log", "boosted", maxIter=5, **TREE), COLS), key=lambda x: (-x[1], x[0]))
-    return s.rows([(n, v, i + 1) for i, (n, v) in enumerate(ranked)], "feature string, importance double, rank int")
+    """Error that the boosted model adds on the holdout when a feature is taken from another row, at two seeds; the model's own split gain beside it."""
+    train, hold = split(s)
+    model = FC.fit_trees(train, COLS, "y_log", "boosted", maxIter=5, **TREE)
+    moved = FC.permutation_importance(model, hold, COLS, "y_true", KEY, SEEDS[:2])
+    ranked = moved.groupBy("feature").agg(F.avg("increase").alias("importance"), (F.max("increase") - F.min("increase")).alias("seed_spread"))
+    gain = s.rows(FC.importance(model, COLS), "feature string, split_gain double")
+    order = F.row_number().over(W.orderBy(F.desc("importance"), "feature"))  # one row per feature
+    return ranked.join(F.broadcast(gain), "feature").withColumn("rank", order)

@@ -194,11 +194,28 @@ def q_daily_summary(s):
 _IN_ECON = "center_id = 'A' AND cat_l = 'ECONOMY'"
 
 
+def _head_sql(lines, grid):
+    return f"""SELECT l.*, (SELECT max(week_st) FROM wide WHERE week_st <= {_BD}) AS forecast_basis_week,
+ (SELECT string_agg(option_code || '=' || CAST(q AS VARCHAR), ';' ORDER BY option_code || '=' || CAST(q AS VARCHAR)) FROM (
+  SELECT option_code, CAST(coalesce(sum(sales_qty), 0) AS BIGINT) AS q FROM day_sku_grid g LEFT JOIN (SELECT * FROM day_sparse WHERE tx_date = {_BD}) s USING (center_id, sku_id) WHERE grid_start <= {_BD} AND {grid} GROUP BY 1)) AS sales_qty_by_unit
+FROM ({lines}) l WHERE tx_date = {_BD}"""
+
+
+@query("K13", "q_daily_summary_head", _head_sql(_daily_sql("day_summary", "TRUE"), "TRUE"))
+def q_daily_summary_head(s):
+    return V.daily_head(_daily(s, Scope()), sparse(s), sku_grid(s), wide(s), Scope(), BASIS_DATE)
+
+
 @query("K13", "q_daily_summary_category", _daily_sql(f"(SELECT * FROM day_summary WHERE {_IN_ECON})", _IN_ECON, _IN_ECON))
 def q_daily_summary_category(s):
     return _daily(s, ECON)
 
 
+@query("K13", "q_daily_summary_head_category", _head_sql(_daily_sql(f"(SELECT * FROM day_summary WHERE {_IN_ECON})", _IN_ECON, _IN_ECON), "g.center_id = 'A' AND g.cat_l = 'ECONOMY'"))
+def q_daily_summary_head_category(s):
+    return V.daily_head(_daily(s, ECON), sparse(s), sku_grid(s), wide(s), ECON, BASIS_DATE)
+
+
 @query("K13", "q_daily_summary_sku", _daily_sql(f"(SELECT *, sales_amount - return_amount AS net_sales_amount FROM day_sparse WHERE {_ONE})", _ONE, _ONE, "count(*) FILTER (WHERE sales_qty > 0)"))
 def q_daily_summary_sku(s):
     return _daily(s, ONE)

@@ -4,11 +4,12 @@ import datetime as dt
 
 import numpy as np
 import pandas as pd
+import plain_models
 import pytest
 from pyspark.sql import functions as F
 
 from stockloom.functions import columns as C
-from stockloom.operators import cleaning, evaluation, folds, forecasting, joins, keys, marts, ranking, series, serving
+from stockloom.operators import autoregression, cleaning, evaluation, folds, forecasting, joins, keys, marts, ranking, series, serving
 
 MONDAY = dt.date(2020, 1, 6)
 
@@ -224,7 +225,7 @@ def test_series_models_learn_a_planted_season(spark):
     t = np.arange(170)
     wave = np.round(50 + 40 * np.sin(2 * np.pi * t / 13)).astype(int).tolist()
     df = weekly(spark, wave).unionByName(weekly(spark, [7] * 170, sku="flat")).unionByName(weekly(spark, [1, 2], sku="tiny"))
-    out = forecasting.per_series_fit(df, str(week(130)), (1, 4), seasons=(13, 26)).toPandas()
+    out = autoregression.per_series_fit(df, str(week(130)), (1, 4), seasons=(13, 26)).toPandas()
     actual = {week(i): v for i, v in enumerate(wave)}
     s = out[(out.sku_id == "s") & out.target_date.isin(list(actual))]
     err = abs(s.y_pred - s.target_date.map(actual)).sum() / s.target_date.map(actual).sum()
@@ -254,17 +255,17 @@ def test_season_does_not_depend_on_the_unit():
     r = np.random.default_rng(8)
     for _ in range(40):
         y = r.normal(size=150)
-        assert len({forecasting._choose(y * scale, 2, (13, 26, 52))[2] for scale in (0.3, 1.0, 2.0, 50.0)}) == 1
+        assert len({plain_models._choose(y * scale, 2, (13, 26, 52))[2] for scale in (0.3, 1.0, 2.0, 50.0)}) == 1
 
 
 def test_short_series_still_try_a_season(spark):
     y = np.tile([0.0, 0.0, 5.0, 0.0, 1.0, 0.0, 0.0, 3.0, 0.0, 0.0, 0.0, 2.0, 0.0], 2)[:20]
-    assert forecasting._choose(y, 2, (13,))[1] == [1, 2, 13]
+    assert plain_models._choose(y, 2, (13,))[1] == [1, 2, 13]
 
 
 def test_unstable_forecasts_stay_visible(spark):
     grown = np.round(1.6 ** np.arange(30)).astype(int).tolist()
-    out = forecasting.per_series_fit(weekly(spark, grown), str(week(24)), (1, 4))
+    out = autoregression.per_series_fit(weekly(spark, grown), str(week(24)), (1, 4))
     top = out.groupBy("center_id", "sku_id").agg(F.lit(10).alias("dev_max"))
     seen = evaluation.instability(out.withColumn("y_pred", F.col("y_raw")), top)
     assert seen.where("reason is not null").count() > 0
