@@ -1,16 +1,17 @@
-"""Main text of web pages by element names, and by counts over the pages of a host.
-
-Tag, role, class and id names (fixed lists) say page by page which elements may be the article and which can never be (menus, forms, adverts,
-comments and so on). Over the pages of one host, elements and texts found on at least half of the pages are its template: the element of the
-best name rank that occurs once a page is the article's slot, and texts outside main elements are constant boilerplate. Equivalence classes of
-occurrence vectors are not used: nothing is nested, and constant texts inside an article or other main element stay.
+"""Main text of web pages by equivalence classes of template tokens.
+
+Over the different pages of one host, every element path and every text at its path is a token with an occurrence vector: how often it stands
+on each page. Tokens of equal vectors form a class. A class is valid if it has at least ``CLASS_TOKENS`` tokens on ``CLASS_PAGES`` pages and
+its tokens stand in one order on all of them. The class on most pages that stands once on each is the root of the host's template; another
+valid class is nested where all its tokens stand in one and the same gap of the root on every page. The tokens of the root and of nested
+classes are the template: texts among them are boilerplate, and of the gaps that remain, the slots, names of elements only choose the one
+that holds the article. A host with too few pages has no classes; names alone decide there, as they do inside a page.
 """
 
 from __future__ import annotations
 
 import html
 import re
-from collections import Counter
 
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -43,6 +44,8 @@ WRAP_WORDS = frozenset("page site wrap wrapper container layout root app".split(
 OTHERS_WORDS = frozenset("comment comments commentlist reply replies respond disqus related recommended recommendations".split())  # what holds other articles
 SKIPPED = frozenset("noscript template svg iframe textarea select button title object canvas".split())  # no text of theirs counts
 _SKIPPED_TAG = re.compile(f"<(?:{'|'.join(sorted(SKIPPED))})" + r"(?=[\s/>])", re.I)
+CLASS_TOKENS, CLASS_PAGES = 2, 3
+HOLDER_WORDS = frozenset("list lists links link buttons button icons bar block area wrap wrapper container section posts post articles stories items item form inner slot unit banner".split())  # kinds of holders, no subject
 FREE, LAYOUT, FIRM, HIDDEN = range(4)  # closed not at all, by names or as a form, by tag, role or names of what holds other articles, hidden
 
 
@@ -61,12 +64,19 @@ def _ended(page: str) -> set[int]:
 
 
 class _Element:
-    __slots__ = ("above", "tag", "path", "closing", "outer", "rank", "only", "wraps", "named", "title", "size", "closed", "main")
+    __slots__ = ("above", "tag", "path", "closing", "outer", "rank", "only", "wraps", "named", "title", "size", "closed", "main", "doubt")
 
     def __init__(self, above: _Element | None, tag: str, path: str, closing: int, outer: bool, rank: int, only: bool, wraps: bool, named: bool):
         self.above, self.tag, self.path, self.closing, self.outer, self.rank, self.only = above, tag, path, closing, outer, rank, only
         self.wraps, self.named = wraps, named
         self.title, self.size, self.closed, self.main = tag == "h1", 0, False, ("body", 1)
+        self.doubt = above is not None and above.doubt  # inside an article, with a closing word beside a subject of its own
+
+
+def _says_only_closed(words: list[str]) -> bool:
+    """A name of closing words and kinds of holders only, as 'related-posts' is and 'related-work' is not."""
+    closing = [w for w in words if w in CLOSED_WORDS]
+    return bool(closing) and all(w in CLOSED_WORDS or w in HOLDER_WORDS or w in STATE_WORDS or w.isdigit() for w in words)
 
 
 def _line(e: _Element | None):
@@ -146,16 +156,17 @@ def _open(elements: list[_Element], blocks: list[tuple[_Element | None, str]]) -
         _settle(elements)
 
 
-def parse(page: str) -> tuple[list[tuple[str, int, str, str]], Counter]:
-    """(blocks, element paths). A block is (path of its main element or body, rank of that, its own path, text) in page order.
+def parse(page: str) -> tuple[list[tuple[str, int, str, str, bool]], dict[str, list[int]]]:
+    """(blocks, element paths with [count, first place]). A block is (path of its main element or body, rank of that, its own path, text, doubt), in page order.
 
     Ranks: 3 for article and main, 2 for elements named so by class, id or role, 1 for the body. Closed elements give no blocks, but none that is
     or contains the article stays closed. An element of rank 2 or 3 also gives a block without text, so that an empty article is known to be
-    there. A skipped element (button, svg and so on) that is written as empty ends at once; one without an end tag ends at the next block.
+    there. Inside an article an element closes by its name only if the name has no subject of its own ('share-buttons'); others are in doubt
+    ('share-price') and go only if the host's template holds their text. A skipped element (button, svg and so on) that is written as empty ends at once; one without an end tag ends at the next block.
     """
     found: list[tuple[_Element | None, str]] = []
     elements: list[_Element] = []
-    paths: Counter = Counter()
+    paths: dict[str, list[int]] = {}
     stack: list[_Element] = []
     text: list[str] = []
     skip: list[str] = []  # tags from a skipped element on
@@ -249,7 +260,7 @@ def parse(page: str) -> tuple[list[tuple[str, int, str, str]], Counter]:
                     hidden = True
         label = tag + "".join("." + n for n in sorted(set(names)) if not n.isdigit())
         path = f"{above.path}>{label}" if above is not None else label
-        paths[path] += 1
+        paths.setdefault(path, [0, len(elements)])[0] += 1
         page_level = tag in ("html", "body")
         closing, outer = FREE, False
         if hidden:
@@ -265,7 +276,12 @@ def parse(page: str) -> tuple[list[tuple[str, int, str, str]], Counter]:
         wraps, named = not WRAP_WORDS.isdisjoint(names), False
         if closing == LAYOUT and (wraps or rank == 2):  # a name of its own says article or wrapper, or one says both
             named = (wraps and rank == 2) or any(not (MAIN_WORDS | WRAP_WORDS).isdisjoint(w) and CLOSED_WORDS.isdisjoint(w) for w in parts)
+        doubt = False
+        if (closing == LAYOUT and tag != "form" or closing == FIRM and tag not in CLOSED_TAGS and role not in CLOSED_ROLES) and any(x.rank == 3 for x in _line(above)):
+            doubt = not any(_says_only_closed(w) for w in parts)
+            closing = FREE if doubt else closing
         e = _Element(above, tag, path, closing, outer, rank, only, wraps, named)
+        e.doubt = e.doubt or doubt
         elements.append(e)
         if rank > 1:
             flush()
@@ -273,12 +289,12 @@ def parse(page: str) -> tuple[list[tuple[str, int, str, str]], Counter]:
         stack.append(e)
     flush()
     _open(elements, found)
-    blocks: list[tuple[str, int, str, str]] = []
+    blocks: list[tuple[str, int, str, str, bool]] = []
     for e, value in found:
         if e is None:
-            blocks.append(("body", 1, "body", value))
+            blocks.append(("body", 1, "body", value, False))
         elif not e.closed and (value or e.main[0] == e.path):
-            blocks.append((*e.main, e.path, value))
+            blocks.append((*e.main, e.path, value, e.doubt))
     return blocks, paths
 
 
@@ -290,33 +306,48 @@ def _number(text: str) -> int:
     return xxhash.xxh3_64_intdigest(text) - 2**63
 
 
-def templates(pages: DataFrame) -> DataFrame:
-    """Per host its template: ``slot`` (the path of the article's element) and ``constants`` (hashes of constant texts outside it).
+def _tokens(page: str, blocks: list, paths: dict) -> list[dict]:
+    """The page's template tokens: element paths, and texts outside articles or in doubt; with count, place, and the path of main elements."""
+    ranks = {b[0]: b[1] for b in blocks if not b[3]}
+    out = [{"token": _number(p), "n": n, "at": at, "path": p if p in ranks else None, "rank": ranks.get(p, 0)} for p, (n, at) in paths.items()]
+    texts: dict[str, list[int]] = {}
+    for k, (_, rank, path, value, doubt) in enumerate(blocks):
+        if value and (rank == 1 or doubt):
+            texts.setdefault(f"{path}\0{value}", [0, k])[0] += 1
+    return out + [{"token": _number(t), "n": n, "at": len(paths) + at, "path": None, "rank": -1} for t, (n, at) in texts.items()]
 
-    ``pages`` has host and html. Equal pages of a host count once. Only counts are kept per token, so a host with a third of all pages needs no
-    more room; every grouping first sums within tasks.
-    """
 
-    def tokens(columns):
-        out = [[], [], [], [], [], []]
-        for host, page in zip(*columns, strict=True):
-            blocks, paths = parse(page)
-            ranks = {b[0]: b[1] for b in blocks if not b[3]}
-            fixed = Counter(f"{path}\0{value}" for _, rank, path, value in blocks if rank == 1 and value)
-            print_ = xxhash.xxh3_64_intdigest(page) % 2**31
-            for what, n, path, rank, constant in [("", 1, None, 0, False), *((p, n, p if p in ranks else None, ranks.get(p, 0), False) for p, n in paths.items()), *((t, n, None, 0, True) for t, n in fixed.items())]:
-                for column, v in zip(out, (host, print_, _number(what), n, path, rank if not constant else -1), strict=True):
-                    column.append(v)
-        return out
-
-    seen = map_rows(pages.select("host", "html"), "host string, print bigint, token bigint, n int, path string, rank int", tokens)
-    once = seen.groupBy("host", "token", "print").agg(F.max("n").alias("n"), F.max("path").alias("path"), F.max("rank").alias("rank"))
-    counts = once.groupBy("host", "token").agg(F.count("*").alias("pages"), F.max("n").alias("most"), F.max("path").alias("path"), F.max("rank").alias("rank"))
-    total = counts.filter(F.col("token") == _number("")).select("host", F.col("pages").alias("total"))
-    frequent = counts.join(total, "host").filter(F.col("pages") * 2 >= F.col("total"))
+def templates(parsed: DataFrame) -> DataFrame:
+    """Per host its template: ``slot`` (the path of the article's element) and ``constants`` (tokens of boilerplate texts).
+
+    ``parsed`` has host, print (a hash of the page) and tokens. Equal pages of a host count once. A vector is compared by an order-free hash of
+    (page, count) pairs, so no group holds more than counts, and every grouping first sums within tasks; only tokens that can be in a class go on
+    to the tests of order and nesting, which look at one page's tokens at a time.
+    """
+    seen = parsed.select("host", "print", F.explode("tokens").alias("t")).select("host", "print", "t.*")
+    once = seen.groupBy("host", "token", "print").agg(F.max("n").alias("n"), F.max("at").alias("at"), F.max("path").alias("path"), F.max("rank").alias("rank"))
+    vector = F.sum(F.xxhash64("print", "n").cast("decimal(38,0)"))
+    vectors = once.groupBy("host", "token").agg(vector.alias("class"), F.count("*").alias("pages"), F.max("n").alias("most"), F.max("path").alias("path"), F.max("rank").alias("rank")).filter(F.col("pages") >= CLASS_PAGES)
+    sizes = vectors.groupBy("host", "class").agg(F.count("*").alias("size")).filter(F.col("size") >= CLASS_TOKENS)
+    classes = stored(vectors.join(sizes, ["host", "class"]), "token-classes")
+
+    # one order on every page, by a hash of the page's tokens in order
+    placed = once.select("host", "print", "token", "at").join(classes.select("host", "token", "class", "pages", "most"), ["host", "token"])
+    order = F.hash(F.transform(F.array_sort(F.collect_list(F.struct("at", "token"))), lambda x: x["token"]))  # tokens of one page
+    by_page = stored(placed.groupBy("host", "class", "print").agg(order.alias("order"), F.min("at").alias("low"), F.max("at").alias("high"), F.max("most").alias("most"), F.max("pages").alias("pages")), "class-pages")
+    valid = by_page.groupBy("host", "class").agg(F.min("order").alias("a"), F.max("order").alias("b"), F.max("most").alias("most"), F.max("pages").alias("pages")).filter("a = b")
+    root = valid.filter("most = 1").groupBy("host").agg(F.max(F.struct("pages", "class")).getField("class").alias("root"))
+
+    # the gap of the root in which a class stands: the same on all its pages, and one for all its tokens
+    inside = placed.join(root, "host").filter(F.col("class") == F.col("root"))
+    frame = inside.groupBy("host", "print").agg(F.array_sort(F.collect_list("at")).alias("frame"))
+    gaps = by_page.join(valid.select("host", "class"), ["host", "class"]).join(root, "host").filter(F.col("class") != F.col("root")).join(frame, ["host", "print"])
+    gap = lambda c: F.size(F.filter("frame", lambda x: x < F.col(c)))
+    nested = gaps.groupBy("host", "class").agg(F.min(gap("low")).alias("a"), F.max(gap("low")).alias("b"), F.min(gap("high")).alias("c"), F.max(gap("high")).alias("d")).filter("a = b AND c = d AND a = c")
+    template = root.select("host", F.col("root").alias("class")).union(nested.select("host", "class"))
+    held = classes.join(template, ["host", "class"])
     slot = F.max(F.when(F.col("path").isNotNull() & (F.col("most") == 1), F.struct("rank", "pages", (-F.length("path")).alias("short"), "path")))
-    constants = F.collect_list(F.when((F.col("rank") == -1) & (F.col("pages") >= 3), F.col("token")))
-    return frequent.groupBy("host").agg(slot.getField("path").alias("slot"), constants.alias("constants"))
+    return held.groupBy("host").agg(slot.getField("path").alias("slot"), F.collect_list(F.when(F.col("rank") == -1, F.col("token"))).alias("constants"))
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -331,16 +362,19 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     rows = rows.withColumn("host", split_url(F.col("url"))[0])
 
     def blocks(columns):
-        out = []
+        out, tokens, prints = [], [], []
         for page in columns[3]:
-            out.append([{"main": main, "rank": rank, "token": _number(f"{path}\0{value}") if rank == 1 else None, "text": value} for main, rank, path, value in parse(page)[0]])
-        return [*columns[:3], out]
+            found, paths = parse(page)
+            out.append([{"main": main, "rank": rank, "token": _number(f"{path}\0{value}") if rank == 1 or doubt else None, "text": value} for main, rank, path, value, doubt in found])
+            tokens.append(_tokens(page, found, paths))
+            prints.append(xxhash.xxh3_64_intdigest(page) - 2**63)
+        return [*columns[:3], out, tokens, prints]
 
     kind = pages.schema[id_col].dataType.simpleString()
-    schema = f"id {kind}, url string, host string, blocks array<struct<main:string,rank:int,token:bigint,text:string>>"
-    parsed = map_rows(rows.select("id", "url", "host", "html"), schema, blocks)
+    schema = f"id {kind}, url string, host string, blocks array<struct<main:string,rank:int,token:bigint,text:string>>, tokens array<struct<token:bigint,n:int,at:int,path:string,rank:int>>, print bigint"
+    parsed = stored(map_rows(rows.select("id", "url", "host", "html"), schema, blocks), "parsed-pages")  # parsed once, read for the templates and for the texts
     # stored, so that its size is known and neither side of the join hangs on an aggregate: a host with most pages can be split
-    joined = parsed.join(stored(templates(rows), "templates"), "host", "left")
+    joined = parsed.drop("tokens", "print").join(stored(templates(parsed), "templates"), "host", "left")
     # the slot and its siblings of the same rank on this page; articles repeated under one path are other articles
     slots = F.filter("blocks", lambda b: F.coalesce((b["text"] == "") & (_parent(b["main"]) == _parent(F.col("slot"))), F.lit(False)))
     rank = F.array_max(F.transform(F.filter("blocks", lambda b: F.coalesce(b["main"] == F.col("slot"), F.lit(False))), lambda b: b["rank"]))

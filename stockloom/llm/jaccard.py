@@ -207,7 +207,9 @@ def _verify(threshold: float):
 
 
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """Per row: id, ``text_hash``, ``class_id`` (smallest id that links reach) and ``n_links`` (other rows at ``threshold`` or more).
+    """Per row: id, ``text_hash``, ``class_id`` (smallest id that links reach), ``n_links`` (other rows at ``threshold`` or more), ``is_first``.
+
+    ``is_first`` marks the class's representative: the smallest id, null last, then the smallest text hash; rows equal in both are all marked.
 
     Words are runs of letters and digits in lower case. Texts without words have no shingles; exact copies of one, stripped, are one class
     and link to each other only. Null and blank texts have no links and are a class each (their own id). Texts of one to four words are one shingle. Copies (equal shingle sets) are counted, not paired. Repeated rows and rows with
@@ -255,17 +257,24 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     joined = components(verified.filter("a <> b")).withColumnRenamed("node", "fp")
     links = verified.groupBy(F.col("a").alias("fp")).agg(F.sum("links").alias("links"))
-    known = classes.select("fp", "cnt", F.col("rep.id").alias("rep_id")).join(links, "fp", "left").join(joined, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    first = known.groupBy("component").agg(F.min("rep_id").alias("class_id"))
-    result = known.join(first, "component").select("fp", "class_id", (F.col("cnt") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    known = classes.select("fp", "cnt", "rep").join(links, "fp", "left").join(joined, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    first = known.groupBy("component").agg(F.min("rep").alias("first"))
+    result = known.join(first, "component").select("fp", "first", (F.col("cnt") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
     out = described.select("id", "th", "fp").join(result, "fp", "left")
-    return out.select(F.col("id").alias(id_col), F.col("th").alias("text_hash"), F.when(F.col("fp").isNull(), F.col("id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"))
+    alone, own = F.col("fp").isNull(), F.col("id").eqNullSafe(F.col("first.id")) & (F.col("th") == F.col("first.th"))
+    return out.select(
+        F.col("id").alias(id_col), F.col("th").alias("text_hash"), F.when(alone, F.col("id")).otherwise(F.col("first.id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"),
+        (alone | own).alias("is_first"),
+    )
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` whose id is that of their class: one of each group, with all its columns. Of wholly repeated rows one stays."""
+    """One row of each class of ``docs``, its representative, with all its columns, also where members share an id or have none.
+
+    Of rows equal in id and text one stays.
+    """
     found = jaccard_join(docs, id_col, text_col, threshold)
-    stay = found.filter(F.col(id_col).eqNullSafe(F.col("class_id"))).select(F.col(id_col).alias("stay_id"), F.col("text_hash").alias("stay_hash")).distinct()
+    stay = found.filter("is_first").select(F.col(id_col).alias("stay_id"), F.col("text_hash").alias("stay_hash")).distinct()
     whole = docs.select(F.struct([F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
     rows = whole.withColumn("own_id", F.col(f"doc.`{id_col}`")).withColumn("own_hash", F.xxhash64(F.coalesce(F.col(f"doc.`{text_col}`"), F.lit(""))))
     joined = rows.join(stay, F.expr("own_id <=> stay_id AND own_hash = stay_hash"), "left_semi")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stockloom.llm.common import stored
@@ -45,15 +45,19 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     source. Repeated rows tie in the order; each is decided as a row, so a rerun gives the same rows. Empty tables give empty results.
     Only id, source and size are shuffled. Order ranges are summed first, so a source with most rows is cut into ``BINS`` windows.
     """
-    draw = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
     rows = docs.select(
-        F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("bigint").alias("size"), draw.alias("draw"),
+        F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("bigint").alias("size"), _draw(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")), seed).alias("draw"),
     )
     decided = _decide(stored(_binned(rows), "sizes"), "id", weights, epochs)
     taken = (F.col("times") * F.col("size")).cast("bigint").alias("taken")
     return decided.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", taken, "times")
 
 
+def _draw(key: Column, text: Column, seed: int) -> Column:
+    """A seeded place in the order from id and text, so that rows with equal or null ids are spread over the bins."""
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(key.cast("string"), F.lit("")), F.lit(":"), F.md5(text)))
+
+
 def _binned(rows: DataFrame) -> DataFrame:
     return rows.withColumn("bin", F.conv(F.substring("draw", 1, 3), 16, 10).cast("int"))
 
@@ -77,12 +81,11 @@ def _decide(rows: DataFrame, key: str, weights: tuple[int, ...], epochs: int) ->
 def take(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (5, 2, 1), epochs: int = 3, seed: int = 7) -> DataFrame:
     """The mixed corpus: each row of ``docs`` as often as the mix takes it, with all its columns.
 
-    As ``mix``, but the order is drawn from id and text, and every row is decided and copied by itself: rows with equal or null ids are spread
-    over the bins and do not add to each other. Rows are numbered when stored, once, so that decisions find their row again.
+    As ``mix``, and every row is decided and copied by itself: rows with equal or null ids do not add to each other. Rows are numbered when stored, once, so that decisions find their row again.
     """
     whole = docs.select(F.struct([F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
     text = F.coalesce(F.col(f"doc.`{text_col}`"), F.lit(""))
-    draw = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(f"doc.`{id_col}`").cast("string"), F.lit("")), F.lit(":"), F.md5(text)))
+    draw = _draw(F.col(f"doc.`{id_col}`"), text, seed)
     size = F.regexp_count(text, F.lit(WORD)).cast("bigint")
     rows = stored(_binned(whole.select("doc", F.monotonically_increasing_id().alias("row"), F.col(f"doc.`{source_col}`").alias("source"), size.alias("size"), draw.alias("draw"))), "mix-rows")
     times = _decide(rows.drop("doc"), "row", weights, epochs).filter("times > 0").select("row", "times")
@@ -90,17 +93,9 @@ def take(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     return taken.select("doc", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).select("doc.*")
 
 
-def repeat(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """``docs`` with unique ids as often as a given mix takes them. Rows that share an id are taken alike; ``take`` decides each by itself."""
-    times = mixed.groupBy(F.col(id_col).alias("of")).agg(F.max("times").alias("times"))
-    whole = docs.select(F.struct([F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
-    taken = whole.join(times, F.col(f"doc.`{id_col}`").eqNullSafe(F.col("of"))).filter("times > 0")
-    return taken.select("doc", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).select("doc.*")
-
-
 MIX_SQL = """
 WITH d AS (
- SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size, md5('7:' || coalesce(doc_id::VARCHAR, '')) AS draw
+ SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size, md5('7:' || coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, ''))) AS draw
  FROM {docs}),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 w AS (SELECT *, [5, 2, 1][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT]::BIGINT AS weight, source_size * 3 AS cap FROM s),

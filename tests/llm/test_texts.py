@@ -207,12 +207,3 @@ def test_rows_of_one_id_are_mixed_each_by_itself(frame):
     want = brute.fill({s: size(s) for s in "abc"})
     assert all(abs(sum(n * len(t.split()) for (_, t, x), n in got.items() if x == s) - want[s]) <= 40 for s in "abc")
     assert mixing.take(frame([])).count() == 0
-
-
-def test_repeat_gives_whole_copies(frame, hard_docs):
-    docs = frame([d for d in hard_docs[:9]])
-    mixed = mixing.mix(docs)
-    times = {r.doc_id: r.times for r in mixed.collect()}
-    out = mixing.repeat(docs, mixed)
-    assert out.columns == docs.columns
-    assert Counter(r.doc_id for r in out.collect()) == Counter({k: n for k, n in times.items() if n})
