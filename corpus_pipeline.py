@@ -17,11 +17,12 @@ from stockloom.llm.queries import WORD_TOKENIZER, tokenizer_spec
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier does not reject (score 0.3 or more)."""
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
-    return quality.score_quality(docs, model).filter("predicted = 1").select(docs.columns)
+    rows = docs.select(F.struct([F.col(f"`{c}`") for c in docs.columns]).alias("doc"), "text")  # the corpus keeps columns named as the scores are
+    return quality.score_quality(rows, model).filter("predicted = 1").select("doc.*")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each group that links of similarity 0.8 connect."""
+    """One document, that of the smallest id (null last), of each group that links of similarity 0.8 connect."""
     return jaccard.drop_near_copies(docs)
 
 
