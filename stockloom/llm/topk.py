@@ -17,10 +17,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stockloom.llm.common import stored
-from stockloom.llm.vectors import in_blocks, matrix, valid
+from stockloom.llm.vectors import box_tree, descend, in_blocks, matrix, valid
 
 PIVOTS, POOL = 32, 512  # pivots come from a pool of the rows with the smallest hashes; they steer speed, never results
-ROWS, QUERIES, CHUNK = 4096, 256, 256
+ROWS, QUERIES, CHUNK, FAN = 4096, 256, 256, 16
 
 
 def _pivots(pool: np.ndarray) -> np.ndarray:
@@ -126,13 +126,14 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256, id_
     asks = in_blocks(q_sorted, pack_queries, "q_ids binary, q_nodes binary, qs binary, q_tables binary, leasts binary, q_low array<double>, q_high array<double>, q_square double, q_least double", QUERIES, "query-blocks")
     asks = asks.withColumnRenamed("block", "ask")
 
-    # block by block: a pair stays if the bound of its boxes can reach the lowest score that a query of the block still needs
-    total = blocks.count()
-    candidates = asks.select("ask", "q_low", "q_high", "q_square", "q_least", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(total - 1).cast("bigint"))).alias("block"))
-    candidates = candidates.join(blocks.select("block", "low", "high"), "block")
-    apart = F.zip_with(F.zip_with("q_low", "high", lambda a, b: a - b), F.zip_with("low", "q_high", lambda a, b: a - b), lambda a, b: F.greatest(a, b, F.lit(0.0)))
-    reach = (F.col("q_square") + F.lit(square) - F.pow(F.array_max(apart), 2)) / 2 + 1 + F.lit(1e-6 * square)
-    pairs = stored(candidates.filter(reach >= F.col("q_least")).select("ask", "block"), "block-pairs")
+    # from a tree over the row blocks: a box stays if its bound can reach the lowest score that a query of the block still needs
+    tree = box_tree(blocks, blocks.count(), FAN)
+
+    def reaches():
+        apart = F.zip_with(F.zip_with("q_low", "high", lambda a, b: a - b), F.zip_with("low", "q_high", lambda a, b: a - b), lambda a, b: F.greatest(a, b, F.lit(0.0)))
+        return (F.col("q_square") + F.lit(square) - F.pow(F.array_max(apart), 2)) / 2 + 1 + F.lit(1e-6 * square) >= F.col("q_least")
+
+    pairs = stored(descend(asks.select("ask", "q_low", "q_high", "q_square", "q_least"), tree, FAN, reaches).select("ask", "block"), "block-pairs")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

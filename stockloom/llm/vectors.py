@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -66,3 +67,23 @@ def in_blocks(sorted_rows: DataFrame, pack, schema: str, block: int, label: str)
     counts = blocks.groupBy("part").agg(F.count("*").alias("n"))
     before = counts.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("at"))
     return blocks.join(before, "part").select((F.col("at") + F.col("seq")).alias("block"), *names)
+
+
+def box_tree(blocks: DataFrame, total: int, fan: int) -> list[DataFrame]:
+    """Boxes (at, low, high) of the numbered blocks, then of ``fan`` consecutive boxes each, up to one root."""
+    levels = [blocks.select(F.col("block").alias("at"), "low", "high")]
+    for _ in range(max(1, math.ceil(math.log(max(total, 2), fan)))):
+        up = F.floor(F.col("at") / fan).cast("bigint")
+        sides = levels[-1].select(up.alias("at"), F.posexplode(F.arrays_zip("low", "high")).alias("d", "side")).groupBy("at", "d").agg(F.min("side.low").alias("low"), F.max("side.high").alias("high"))
+        whole = sides.groupBy("at").agg(F.array_sort(F.collect_list(F.struct("d", "low", "high"))).alias("s"))  # a row per dimension
+        levels.append(stored(whole.select("at", F.transform("s", lambda x: x["low"]).alias("low"), F.transform("s", lambda x: x["high"]).alias("high")), "box-tree"))
+    return levels
+
+
+def descend(asks: DataFrame, tree: list[DataFrame], fan: int, keep) -> DataFrame:
+    """``asks`` with the number (``block``) of every block whose boxes ``keep`` (a condition on low and high) lets through from the root down."""
+    found = asks.withColumn("at", F.lit(0).cast("bigint"))
+    for level in reversed(tree[:-1]):
+        child = level.select(F.col("at").alias("child"), F.floor(F.col("at") / fan).cast("bigint").alias("at"), "low", "high")
+        found = found.join(child, "at").filter(keep()).select(*asks.columns, F.col("child").alias("at"))
+    return found.withColumnRenamed("at", "block")

@@ -96,8 +96,39 @@ def test_url_rules_match_brute_force(spark, frame):
     assert urls.judge_urls(frame([], "page_id bigint, url string"), queries.URL_RULES).count() == 0
 
 
+def plain_url_score(weights, url):
+    """Sum of the weights of all distinct n-grams, hashed one character at a time."""
+    host, path = urls.parts(url)
+    found, mask = set(), 2**64 - 1
+    for mark, text in ((17, f"^{host}$"), (71, f"^{path}$")):
+        for n in urls.GRAMS:
+            for k in range(len(text) - n + 1):
+                h = mark * 31 + n
+                for c in text[k : k + n]:
+                    h = (h ^ ord(c)) * 0x9E3779B97F4A7C15 & mask
+                    h ^= h >> 29
+                found.add(h >> (64 - urls.BITS))
+    return 1 / (1 + math.exp(-(sum(weights[f] for f in found) / math.sqrt(len(found)) + weights[-1])))
+
+
+def test_url_scores_match_a_plain_sum(frame):
+    given = ["https://casino-royal.example.net/x", "http://bücher.de/straße", "https://a/", "no url", None, "http://x.com/" + "long/" * 300]
+    w = urls.train(urls.spread(urls.labelled_urls()))
+    rows = urls.judge_urls(frame([(k, u, "") for k, u in enumerate(given)], "page_id bigint, url string, html string"), []).collect()
+    for r in rows:
+        url = given[r.page_id]
+        want = plain_url_score(w, url) if url and "://" in url else 0.0
+        assert abs(r.score - want) < 1e-9 and r.verdict == ("block" if want >= 0.5 else "allow")
+
+
+def test_url_table_is_learnt_beyond_its_rows():
+    right, total = urls.held_out_accuracy(urls.labelled_urls())
+    assert right / total > 0.7
+
+
 def test_url_model_tells_unseen_hosts():
-    w = urls.train(urls.labelled_urls())
+    rows = urls.labelled_urls()
+    w = urls.train(urls.spread(rows))
 
     def score(url):
         f = urls.features(*urls.parts(url))
