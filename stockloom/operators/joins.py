@@ -8,12 +8,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from stockloom.operators.profiling import union_all
+from stockloom.operators.skew import split_join
+from stockloom.sources.storage import written
 
 
 def resolve_region(df: DataFrame, postal: DataFrame, zip_col: str = "zip5") -> DataFrame:
-    """Unknown zips keep their rows with an unknown region."""
-    return df.join(postal, zip_col, "left")
+    """Unknown zips keep their rows with an unknown region. Zips that hold a large share of the rows are split."""
+    return split_join(df, postal, [zip_col])
 
 
 def weather_or_join(df: DataFrame, weather: DataFrame, date: str = "tx_date") -> DataFrame:
@@ -39,27 +40,38 @@ def weather_key_resolve(regions: DataFrame, weather: DataFrame) -> DataFrame:
                     .when(F.col("_wide").isNotNull(), F.lit(None)).otherwise(F.col("_near")).alias("weather_key")))
 
 
-def weather_nullsafe_join(df: DataFrame, keys: DataFrame, weather: DataFrame, date: str = "tx_date") -> DataFrame:
-    """Join on the resolved key with NULL matching NULL: one weather row per transaction."""
+def place_days(keys: DataFrame, first: Column, last: Column, date: str = "tx_date") -> DataFrame:
+    """A row per place (with its resolved weather key) and day: bounded by the map and the calendar, not by the facts."""
+    return keys.select("sido", "city", "weather_key", F.explode(F.sequence(first, last, F.expr("interval 1 day"))).alias(date))
+
+
+def place_weather(days: DataFrame, weather: DataFrame, date: str = "tx_date") -> DataFrame:
+    """The weather of every place and day by the resolved key, NULL matching NULL."""
     w = weather.select(F.col("sido").alias("_s"), F.col("sigungu").alias("_g"), F.col("date").alias("_d"), "temp", "rain")
-    return (df.join(keys, ["sido", "city"], "left")
-            .join(w, (F.col("sido") == F.col("_s")) & F.col("weather_key").eqNullSafe(F.col("_g"))
-                  & (F.col(date) == F.col("_d")), "left").drop("_s", "_g", "_d", "weather_key"))
+    same = (F.col("sido") == F.col("_s")) & F.col("weather_key").eqNullSafe(F.col("_g")) & (F.col(date) == F.col("_d"))
+    return days.join(w, same, "left").drop("_s", "_g", "_d", "weather_key")
+
+
+def weather_nullsafe_join(df: DataFrame, keys: DataFrame, weather: DataFrame, first: Column, last: Column, date: str = "tx_date") -> DataFrame:
+    """One weather row per transaction; the facts meet the composed (place, day) table once."""
+    return df.join(written(place_weather(place_days(keys, first, last, date), weather, date), "place-weather"), ["sido", "city", date], "left")
 
 
 def star_enrich(df: DataFrame, keys: DataFrame, weather: DataFrame, holidays: DataFrame, covid: DataFrame,
-                cpi: DataFrame, retail: DataFrame, date: str = "tx_date") -> DataFrame:
-    """Left joins at day, month and province-month grain; the fact rows are never lost.
+                cpi: DataFrame, retail: DataFrame, first: Column, last: Column, date: str = "tx_date") -> DataFrame:
+    """Left joins at day, month and province-month grain; the fact rows are never lost and are joined once.
 
-    No join is forced to broadcast: the optimiser does so where a dimension is measured small.
+    Day, month and province tables are first composed to one (place, day) table from ``first`` to ``last``, which is stored: its size is known,
+    so the optimiser broadcasts it where it is small and shuffles the facts once where it is not. ``keys`` has every place of the facts.
     """
     day = {"date": date}
-    return (weather_nullsafe_join(df, keys, weather, date)
-            .join(holidays.withColumnsRenamed(day), date, "left")
-            .join(covid.withColumnsRenamed(day), date, "left")
-            .withColumns({"y": F.year(date), "m": F.month(date)})
-            .join(cpi, ["y", "m"], "left")
-            .join(retail, ["sido", "y", "m"], "left"))
+    table = (place_weather(place_days(keys, first, last, date), weather, date)
+             .join(holidays.withColumnsRenamed(day), date, "left")
+             .join(covid.withColumnsRenamed(day), date, "left")
+             .withColumns({"y": F.year(date), "m": F.month(date)})
+             .join(cpi, ["y", "m"], "left")
+             .join(retail, ["sido", "y", "m"], "left"))
+    return df.join(written(table, "place-days"), ["sido", "city", date], "left")
 
 
 def enrich_finalize(df: DataFrame) -> DataFrame:
@@ -109,11 +121,13 @@ def self_join_future(df: DataFrame, keys: list[str], time: str, value: str, days
 
 
 def match_report(df: DataFrame, dim: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows before, after a left join, and without a partner."""
-    total = df.agg(F.count(F.lit(1)).alias("n")).select(F.lit("rows").alias("check"), "n")
-    joined = df.select(*keys).join(dim.select(*keys), keys, "left").agg(F.count(F.lit(1)).alias("n")).select(F.lit("joined").alias("check"), "n")
-    alone = df.select(*keys).join(dim.select(*keys), keys, "left_anti").agg(F.count(F.lit(1)).alias("n")).select(F.lit("left_only").alias("check"), "n")
-    return union_all([total, joined, alone])
+    """Rows before, after a left join, and without a partner. Both sides are counted by key first, so only counts are joined."""
+    from stockloom.operators.profiling import unpivot_counts
+    own = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    other = dim.groupBy(*keys).agg(F.count(F.lit(1)).alias("_k"))
+    both = own.join(other, keys, "left")
+    total = lambda c: {"n": F.coalesce(F.sum(c), F.lit(0).cast("bigint"))}
+    return unpivot_counts(both, [], {"rows": total(F.col("_n")), "joined": total(F.col("_n") * F.coalesce("_k", F.lit(1))), "left_only": total(F.when(F.col("_k").isNull(), F.col("_n")))}, "check")
 
 
 def asof_backward(left: DataFrame, right: DataFrame, keys: list[str], time: str, cols: list[str]) -> DataFrame:

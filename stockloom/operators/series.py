@@ -242,13 +242,14 @@ def context_tail(df: DataFrame, cols: list[str], length: int, target: str, start
 
 
 def monthly_lags(df: DataFrame, monthly: DataFrame, value: str, offsets: dict[str, int], date: str = "week_st") -> DataFrame:
-    """Monthly indicator at month offsets from the month of each row."""
+    """Monthly indicator at month offsets from the month of each row.
+
+    Every offset is a column of one table with a row per month, so the rows meet the months once.
+    """
     by_month = monthly.select(C.month_index(F.col("y"), F.col("m")).alias("_mi"), F.col(value).alias("_v"))
-    out = df.withColumn("_mi0", C.month_index(F.year(date), F.month(date)))
-    for name, off in offsets.items():
-        shifted = by_month.select((F.col("_mi") - off).alias("_mi0"), F.col("_v").alias(name))
-        out = out.join(shifted, "_mi0", "left")
-    return out.drop("_mi0")
+    moved = by_month.select(F.explode(F.array(*[F.struct((F.col("_mi") - off).alias("_mi0"), F.lit(name).alias("_o")) for name, off in offsets.items()])).alias("_e"), "_v").select("_e.*", "_v")
+    table = moved.groupBy("_mi0").agg(*[F.max(F.when(F.col("_o") == name, F.col("_v"))).alias(name) for name in offsets])
+    return df.withColumn("_mi0", C.month_index(F.year(date), F.month(date))).join(F.broadcast(table), "_mi0", "left").drop("_mi0")  # a row per month
 
 
 def yoy_pct(df: DataFrame, group: str, value: str) -> DataFrame:

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from stockloom.functions.columns import div, r6
 from stockloom.operators.marts import SKU
-from stockloom.operators.ranking import average_rank
+from stockloom.operators.ranking import average_rank, running_counts
+from stockloom.sources.storage import pin
 
 
 def history_summary(grid: DataFrame) -> DataFrame:
@@ -116,16 +117,26 @@ def top_peaks(df: DataFrame, keys: list[str], value: str, ties: list[str], k: in
 
 
 def spearman(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
-    """Rank correlation with average ranks, and the number of pairs."""
-    pairs = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
+    """Rank correlation with average ranks, and the number of pairs.
+
+    Equal pairs are counted first, so a value that most rows have (zero) is ranked and joined once per partner value.
+    """
+    pairs = pin(df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(*keys, x, y).agg(F.count(F.lit(1)).alias("_w")))
     out = pairs
     for col, name in ((x, "_rx"), (y, "_ry")):
-        ranks = average_rank(pairs, keys, col).select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col(col).alias("_v"), F.col("rank").alias(name))
+        counts = running_counts(pairs, keys, col, "_w")
+        ranks = counts.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col(col).alias("_v"), (F.col("before") + (F.col("n") + 1) / 2).alias(name))
         cond = F.col(col) == F.col("_v")
         for k in keys:
             cond = cond & (F.col(k) == F.col(f"_k_{k}"))
         out = out.join(ranks, cond).drop("_v", *[f"_k_{k}" for k in keys])
-    return out.groupBy(*keys).agg(r6(F.corr("_rx", "_ry")).alias("rho"), F.count(F.lit(1)).alias("n"))
+    n = F.sum("_w")
+    mean = lambda c: F.sum(F.col("_w") * F.col(c)) / n
+    m = out.groupBy(*keys).agg(n.alias("n"), mean("_rx").alias("_mx"), mean("_ry").alias("_my"))
+    d = out.join(F.broadcast(m), keys)  # a row per slice
+    dx, dy, w = F.col("_rx") - F.col("_mx"), F.col("_ry") - F.col("_my"), F.col("_w")
+    rho = F.sum(w * dx * dy) / F.sqrt(F.sum(w * dx * dx) * F.sum(w * dy * dy))
+    return d.groupBy(*keys).agg(r6(F.when(F.sum(w * dx * dx) * F.sum(w * dy * dy) > 0, rho)).alias("rho"), F.max("n").alias("n"))
 
 
 def pairwise_corr(df: DataFrame, keys: list[str], cols: list[str]) -> DataFrame:

@@ -6,7 +6,7 @@ from stockloom.functions.columns import r6
 from stockloom.operators import folds as FO
 from stockloom.operators import marts as M
 from stockloom.plans import marts as P
-from stockloom.plans.series import KEY, _K, features, grid, targets
+from stockloom.plans.series import KEY, _K, features, grid, stored_features, targets
 from stockloom.registry import query
 from stockloom.sources.adapters import HOLDOUT_START, HORIZONS, REGIME_START, VALIDATION_YEARS
 
@@ -96,7 +96,7 @@ SELECT {_K}, round(coalesce(adi, m3.m, m2.m, m1.m, g.m), 6) AS adi_imputed, CASE
  WHEN m2.m IS NOT NULL THEN 'cat_m' WHEN m1.m IS NOT NULL THEN 'cat_l' ELSE 'global' END AS adi_source
 FROM feat LEFT JOIN m3 USING (cat_s) LEFT JOIN m2 USING (cat_m) LEFT JOIN m1 USING (cat_l), g""")
 def hier_median_fit_apply(s):
-    f = features(s).select(*KEY, *P.LEVELS, "adi")
+    f = stored_features(s).select(*KEY, *P.LEVELS, "adi")
     out = FO.hier_median(f.where(F.col("week_st") < F.lit(_BORDER).cast("date")), f, ["cat_s", "cat_m", "cat_l"], "adi")
     return out.select(*KEY, r6(F.col("adi_imputed")).alias("adi_imputed"), "adi_source")
 

@@ -10,7 +10,7 @@ from stockloom.operators import folds as FO
 from stockloom.operators import marts as M
 from stockloom.operators import walkforward as WF
 from stockloom.plans import marts as P
-from stockloom.plans.series import KEY, _K, grid
+from stockloom.plans.series import KEY, _K, grid, stored_grid
 from stockloom.registry import cte, query
 from stockloom.sources import files
 from stockloom.sources.adapters import HOLDOUT_START, HORIZONS, REGIME_START, VALIDATION_YEARS
@@ -105,10 +105,6 @@ LEFT JOIN mase m ON m.center_id = r.center_id AND m.sku_id = r.sku_id WHERE c.se
 
 
 # -- Spark side ------------------------------------------------------------
-def stored_grid(s):
-    return s.stored("weekly_grid", lambda: grid(s))
-
-
 def rolling(s, start=HOLDOUT_START, horizons=HORIZONS):
     return FC.rolling_origin(stored_grid(s), start, horizons, P.last_week(s), CATS)
 
@@ -203,7 +199,7 @@ def baseline_forecast(s):
 
 @query("J03", "coldstart_means", f"SELECT {_K}, round(m_cat_s, 6) AS m_cat_s, round(m_cat_m, 6) AS m_cat_m, round(m_cat_l, 6) AS m_cat_l FROM levels")
 def coldstart_means(s):
-    return FC.coldstart_means(grid(s), CATS).select(*KEY, *[r6(F.col(f"m_{c}")).alias(f"m_{c}") for c in CATS])
+    return FC.coldstart_means(stored_grid(s), CATS).select(*KEY, *[r6(F.col(f"m_{c}")).alias(f"m_{c}") for c in CATS])
 
 
 @query("J04", "rolling_origin_eval", """

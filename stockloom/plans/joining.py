@@ -77,7 +77,7 @@ SELECT {_TX}, t.kind, t.amount, t.sido, t.city, temp, rain FROM tx_city t LEFT J
 
 @query("D05", "weather_nullsafe_join", f"SELECT {_TX}, city, temp, rain FROM tx_weather")
 def weather_nullsafe_join(s):
-    return J.weather_nullsafe_join(tx_city(s), J.weather_key_resolve(places(s), s.weather()), s.weather()).select(*TX, "city", "temp", "rain")
+    return J.weather_nullsafe_join(tx_city(s), J.weather_key_resolve(places(s), s.weather()), s.weather(), *span(s)).select(*TX, "city", "temp", "rain")
 
 
 cte("enriched", f"""
@@ -95,8 +95,14 @@ def places(s):
     return named.select("sido", F.explode(F.array("sigungu", F.concat_ws(" ", "sigungu", "priority"))).alias("city"))
 
 
+def span(s):
+    """First and last day of the transactions, from a scan of one column."""
+    days = s.lines()
+    return days.agg(F.min("tx_date")).scalar(), days.agg(F.max("tx_date")).scalar()
+
+
 def enriched(s):
-    return J.star_enrich(tx_city(s), J.weather_key_resolve(places(s), s.weather()), s.weather(), s.holidays(), s.covid(), s.cpi(), s.retail())
+    return J.star_enrich(tx_city(s), J.weather_key_resolve(places(s), s.weather()), s.weather(), s.holidays(), s.covid(), s.cpi(), s.retail(), *span(s))
 
 
 @query("D06", "star_enrich", "SELECT * FROM enriched")

@@ -137,8 +137,10 @@ FROM c JOIN o USING (center_id, sku_id) LEFT JOIN b USING (center_id, sku_id)"""
 @query("D23", "resolve_cluster", """
 SELECT rule, center_id, count(*) AS n, CAST(sum(resolved_cluster) AS BIGINT) AS cluster_sum FROM purch_resolved GROUP BY 1, 2""")
 def resolve_cluster(s):
-    found = M.resolve_cluster(s.purchases(), M.cluster_profile(s.sales(), PKEY), PKEY)
-    return found.groupBy("rule", "center_id").agg(F.count("*").alias("n"), F.sum("resolved_cluster").alias("cluster_sum"))
+    """Purchases are counted by what the rules read, so a product that holds most of them is looked up once per name, specification and week."""
+    kinds = s.purchases().groupBy(*PKEY, "product_name", "spec", "cluster_no", "week_st").agg(F.count("*").alias("rows"))
+    found = M.resolve_cluster(kinds, M.cluster_profile(s.sales(), PKEY), PKEY)
+    return found.groupBy("rule", "center_id").agg(F.sum("rows").alias("n"), F.sum(F.col("resolved_cluster") * F.col("rows")).alias("cluster_sum"))
 
 
 @query("D12", "in_out_full_outer", "SELECT * FROM wk_purch")

@@ -52,10 +52,19 @@ SELECT center_id, sku_id, week_st, cat_l, cat_m, cat_s, qty, sold, qty_log1p, la
 FROM a""")
 
 
+def stored_grid(s):
+    return s.stored("weekly_grid", lambda: grid(s))
+
+
 def features(s):
     return S.features(grid(s))
 
 
+def stored_features(s):
+    """The feature table for all that reads its rows more than once: computed once, with their groups and their return join on what is stored."""
+    return s.stored("series_features", lambda: S.features(stored_grid(s)))
+
+
 def flagship(s):
     cols = ["lag1", "lag2", "lag4", "roll_mean_4", "roll_std_4", "weeks_since_active", "is_warmup", "coldstart", "adi", "cv2"]
     return features(s).select(*KEY, *P.LEVELS, "qty", *cols, "iso_week", "month", "quarter")
@@ -147,7 +156,7 @@ SELECT {_K}, coalesce(v, m3, m2, m1, m0, nearv, run) AS filled, CASE WHEN v IS N
 
 
 def filled(s):
-    return S.category_fallback(features(s), FILL)
+    return S.category_fallback(stored_features(s), FILL)
 
 
 def _fill_join(make):

@@ -8,7 +8,7 @@ import plain_models
 import pytest
 from pyspark.sql import functions as F
 
-from stockloom.operators import autoregression, evaluation, folds, forecasting, ranking, walkforward
+from stockloom.operators import autoregression, evaluation, folds, forecasting, joins, ranking, skew, walkforward
 from test_rules import week, weekly
 
 
@@ -136,3 +136,33 @@ def test_unusable_forecasts_are_replaced_by_scope(spark):
     assert scopes == {"s1": ("sku", 2, 1, 0, 50.0), "s2": ("row", 2, 0, 1, 50.0), "s3": ("none", 1, 0, 0, 0.0)}
     got = {(r.sku_id, r.horizon): r.y_override for r in evaluation.instability_override(marked, dev.select("center_id", "sku_id", "level")).collect()}
     assert got == {("s1", 1): 2.0, ("s1", 2): 2.0, ("s2", 1): 1.0}
+
+
+def test_heavy_keys_are_split(spark):
+    """Half of the rows on one key: no part of the join holds more than twice the median, and the rows are those of a plain join."""
+    df = spark.range(64_000).select((F.when(F.col("id") % 2 == 0, 0).otherwise(F.col("id") % 800)).cast("int").alias("k"), F.col("id").alias("v"))
+    df = df.unionByName(spark.createDataFrame([(None, -1), (9999, -2)], "k int, v bigint"))
+    dim = spark.range(800).select(F.col("id").cast("int").alias("k"), (F.col("id") * 2).alias("d"))
+    got, want = skew.split_join(df, dim, ["k"]), df.join(dim, "k", "left")
+    assert got.columns == want.columns and got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
+    sizes = {}
+    plain = skew.F.pmod
+    parts = []
+    skew.F.pmod = lambda *a: parts.append(plain(*a)) or parts[-1]
+    try:
+        skew.split_join(df, dim, ["k"])
+    finally:
+        skew.F.pmod = plain
+    dealt = df.withColumn("p", F.when(F.col("k") == 0, parts[0]).otherwise(0)).groupBy("k", "p").count().collect()
+    sizes = sorted(r["count"] for r in dealt if r.k == 0)
+    assert len(sizes) == skew.SPREAD and sizes[-1] <= 2 * sizes[len(sizes) // 2]
+
+
+def test_place_days_keep_every_fact(spark):
+    facts = spark.createDataFrame([("S", "c1", week(0), 1), ("S", "c1", week(0), 2), ("S", "c2", week(1), 3), (None, None, week(0), 4)], "sido string, city string, tx_date date, v int")
+    keys = spark.createDataFrame([("S", "c1", "c1"), ("S", "c2", None)], "sido string, city string, weather_key string")
+    weather = spark.createDataFrame([("S", "c1", week(0), 1.0, 2), ("S", None, week(1), 3.0, 4)], "sido string, sigungu string, date date, temp double, rain int")
+    none = lambda schema: spark.createDataFrame([], schema)
+    out = joins.star_enrich(facts, keys, weather, none("date date, holiday string"), none("date date, covid int"), none("y int, m int, cpi double"),
+                            none("sido string, y int, m int, retail_current double, retail_constant int"), F.lit(week(0)), F.lit(week(2)))
+    assert sorted((r.v, r.temp, r.rain) for r in out.collect() if r.v < 4) == [(1, 1.0, 2), (2, 1.0, 2), (3, 3.0, 4)] and out.count() == 4
