@@ -156,8 +156,8 @@ def _open(elements: list[_Element], blocks: list[tuple[_Element | None, str]]) -
         _settle(elements)
 
 
-def parse(page: str) -> tuple[list[tuple[str, int, str, str, bool]], dict[str, list[int]]]:
-    """(blocks, element paths with [count, first place]). A block is (path of its main element or body, rank of that, its own path, text, doubt), in page order.
+def parse(page: str) -> tuple[list[tuple[str, int, str, str, bool, int]], dict[str, list[int]]]:
+    """(blocks, element paths with [count, first place]). A block is (path of its main element or body, rank of that, its own path, text, doubt, place), in page order.
 
     Ranks: 3 for article and main, 2 for elements named so by class, id or role, 1 for the body. Closed elements give no blocks, but none that is
     or contains the article stays closed. An element of rank 2 or 3 also gives a block without text, so that an empty article is known to be
@@ -165,6 +165,8 @@ def parse(page: str) -> tuple[list[tuple[str, int, str, str, bool]], dict[str, l
     ('share-price') and go only if the host's template holds their text. A skipped element (button, svg and so on) that is written as empty ends at once; one without an end tag ends at the next block.
     """
     found: list[tuple[_Element | None, str]] = []
+    where: list[int] = []  # of each entry of found, in page order with the elements: twice the place of the tag that ends it
+    place = 0
     elements: list[_Element] = []
     paths: dict[str, list[int]] = {}
     stack: list[_Element] = []
@@ -178,6 +180,7 @@ def parse(page: str) -> tuple[list[tuple[str, int, str, str, bool]], dict[str, l
             text.clear()
             if value:
                 found.append((stack[-1] if stack else None, value))
+                where.append(2 * place)
 
     def pop(tags: tuple[str, ...], stop: tuple[str, ...]) -> None:
         for k in range(len(stack) - 1, -1, -1):
@@ -188,6 +191,7 @@ def parse(page: str) -> tuple[list[tuple[str, int, str, str, bool]], dict[str, l
                 return
 
     for m in _TOKEN.finditer(page):
+        place = m.start()
         if m[5] is not None:
             if not skip:
                 text.append(html.unescape(m[5]))
@@ -260,7 +264,7 @@ def parse(page: str) -> tuple[list[tuple[str, int, str, str, bool]], dict[str, l
                     hidden = True
         label = tag + "".join("." + n for n in sorted(set(names)) if not n.isdigit())
         path = f"{above.path}>{label}" if above is not None else label
-        paths.setdefault(path, [0, len(elements)])[0] += 1
+        paths.setdefault(path, [0, 2 * place + 1])[0] += 1
         page_level = tag in ("html", "body")
         closing, outer = FREE, False
         if hidden:
@@ -286,15 +290,17 @@ def parse(page: str) -> tuple[list[tuple[str, int, str, str, bool]], dict[str, l
         if rank > 1:
             flush()
             found.append((e, ""))
+            where.append(2 * place + 1)
         stack.append(e)
+    place = len(page)
     flush()
     _open(elements, found)
-    blocks: list[tuple[str, int, str, str, bool]] = []
-    for e, value in found:
+    blocks: list[tuple[str, int, str, str, bool, int]] = []
+    for (e, value), at in zip(found, where, strict=True):
         if e is None:
-            blocks.append(("body", 1, "body", value, False))
+            blocks.append(("body", 1, "body", value, False, at))
         elif not e.closed and (value or e.main[0] == e.path):
-            blocks.append((*e.main, e.path, value, e.doubt))
+            blocks.append((*e.main, e.path, value, e.doubt, at))
     return blocks, paths
 
 
@@ -311,10 +317,10 @@ def _tokens(page: str, blocks: list, paths: dict) -> list[dict]:
     ranks = {b[0]: b[1] for b in blocks if not b[3]}
     out = [{"token": _number(p), "n": n, "at": at, "path": p if p in ranks else None, "rank": ranks.get(p, 0)} for p, (n, at) in paths.items()]
     texts: dict[str, list[int]] = {}
-    for k, (_, rank, path, value, doubt) in enumerate(blocks):
+    for _, rank, path, value, doubt, at in blocks:
         if value and (rank == 1 or doubt):
-            texts.setdefault(f"{path}\0{value}", [0, k])[0] += 1
-    return out + [{"token": _number(t), "n": n, "at": len(paths) + at, "path": None, "rank": -1} for t, (n, at) in texts.items()]
+            texts.setdefault(f"{path}\0{value}", [0, at])[0] += 1
+    return out + [{"token": _number(t), "n": n, "at": at, "path": None, "rank": -1} for t, (n, at) in texts.items()]
 
 
 def templates(parsed: DataFrame) -> DataFrame:
@@ -365,7 +371,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
         out, tokens, prints = [], [], []
         for page in columns[3]:
             found, paths = parse(page)
-            out.append([{"main": main, "rank": rank, "token": _number(f"{path}\0{value}") if rank == 1 or doubt else None, "text": value} for main, rank, path, value, doubt in found])
+            out.append([{"main": main, "rank": rank, "token": _number(f"{path}\0{value}") if rank == 1 or doubt else None, "text": value} for main, rank, path, value, doubt, _ in found])
             tokens.append(_tokens(page, found, paths))
             prints.append(xxhash.xxh3_64_intdigest(page) - 2**63)
         return [*columns[:3], out, tokens, prints]
