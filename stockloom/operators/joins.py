@@ -40,6 +40,11 @@ def weather_key_resolve(regions: DataFrame, weather: DataFrame) -> DataFrame:
                     .when(F.col("_wide").isNotNull(), F.lit(None)).otherwise(F.col("_near")).alias("weather_key")))
 
 
+def _span(df: DataFrame, first: Column | None, last: Column | None, date: str) -> tuple[Column, Column]:
+    """The days to cover; read from the facts' own dates where the caller does not know them."""
+    return (df.agg(F.min(date)).scalar() if first is None else first), (df.agg(F.max(date)).scalar() if last is None else last)
+
+
 def place_days(keys: DataFrame, first: Column, last: Column, date: str = "tx_date") -> DataFrame:
     """A row per place (with its resolved weather key) and day: bounded by the map and the calendar, not by the facts."""
     return keys.select("sido", "city", "weather_key", F.explode(F.sequence(first, last, F.expr("interval 1 day"))).alias(date))
@@ -52,20 +57,20 @@ def place_weather(days: DataFrame, weather: DataFrame, date: str = "tx_date") ->
     return days.join(w, same, "left").drop("_s", "_g", "_d", "weather_key")
 
 
-def weather_nullsafe_join(df: DataFrame, keys: DataFrame, weather: DataFrame, first: Column, last: Column, date: str = "tx_date") -> DataFrame:
+def weather_nullsafe_join(df: DataFrame, keys: DataFrame, weather: DataFrame, first: Column | None = None, last: Column | None = None, date: str = "tx_date") -> DataFrame:
     """One weather row per transaction; the facts meet the composed (place, day) table once."""
-    return df.join(written(place_weather(place_days(keys, first, last, date), weather, date), "place-weather"), ["sido", "city", date], "left")
+    return df.join(written(place_weather(place_days(keys, *_span(df, first, last, date), date), weather, date), "place-weather"), ["sido", "city", date], "left")
 
 
 def star_enrich(df: DataFrame, keys: DataFrame, weather: DataFrame, holidays: DataFrame, covid: DataFrame,
-                cpi: DataFrame, retail: DataFrame, first: Column, last: Column, date: str = "tx_date") -> DataFrame:
+                cpi: DataFrame, retail: DataFrame, first: Column | None = None, last: Column | None = None, date: str = "tx_date") -> DataFrame:
     """Left joins at day, month and province-month grain; the fact rows are never lost and are joined once.
 
     Day, month and province tables are first composed to one (place, day) table from ``first`` to ``last``, which is stored: its size is known,
     so the optimiser broadcasts it where it is small and shuffles the facts once where it is not. ``keys`` has every place of the facts.
     """
     day = {"date": date}
-    table = (place_weather(place_days(keys, first, last, date), weather, date)
+    table = (place_weather(place_days(keys, *_span(df, first, last, date), date), weather, date)
              .join(holidays.withColumnsRenamed(day), date, "left")
              .join(covid.withColumnsRenamed(day), date, "left")
              .withColumns({"y": F.year(date), "m": F.month(date)})
