@@ -12,6 +12,8 @@ from __future__ import annotations
 
 import html
 import re
+from array import array
+from bisect import bisect_left
 
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -323,33 +325,65 @@ def _tokens(page: str, blocks: list, paths: dict) -> list[dict]:
     return out + [{"token": _number(t), "n": n, "at": at, "path": None, "rank": -1} for t, (n, at) in texts.items()]
 
 
+def _page_orders(columns: list[list]) -> list[list]:
+    """(host, class, hash of the class's tokens in page order) of each class of each page."""
+    hosts, classes, orders = [], [], []
+    for host, held in zip(*columns, strict=True):
+        by: dict[int, list[int]] = {}
+        for x in sorted(held, key=lambda x: (x["at"], x["token"])):
+            by.setdefault(x["class"], []).append(x["token"])
+        for name, tokens in by.items():
+            hosts.append(host)
+            classes.append(name)
+            orders.append(xxhash.xxh3_64_intdigest(array("q", tokens).tobytes()) - 2**63)
+    return [hosts, classes, orders]
+
+
+def _page_gaps(columns: list[list]) -> list[list]:
+    """(host, class, first and last gap of the root in which its tokens stand) of each class but the root, of each page that holds the root."""
+    out: list[list] = [[], [], [], []]
+    for host, held, root in zip(*columns, strict=True):
+        frame = sorted(x["at"] for x in held if x["class"] == root)
+        spans: dict[int, tuple[int, int]] = {}
+        for x in held:
+            if frame and x["class"] != root:
+                low, high = spans.get(x["class"], (x["at"], x["at"]))
+                spans[x["class"]] = min(low, x["at"]), max(high, x["at"])
+        for name, (low, high) in spans.items():
+            for column, value in zip(out, (host, name, bisect_left(frame, low), bisect_left(frame, high)), strict=True):
+                column.append(value)
+    return out
+
+
 def templates(parsed: DataFrame) -> DataFrame:
     """Per host its template: ``slot`` (the path of the article's element) and ``constants`` (tokens of boilerplate texts).
 
-    ``parsed`` has host, print (a hash of the page) and tokens. Equal pages of a host count once. A vector is compared by an order-free hash of
-    (page, count) pairs, so no group holds more than counts, and every grouping first sums within tasks; only tokens that can be in a class go on
-    to the tests of order and nesting, which look at one page's tokens at a time.
+    ``parsed`` has uid, host, print (a hash of the page) and tokens. Equal pages of a host count once. A vector is compared by an order-free hash
+    of (page, count) pairs, summed within tasks before it is shuffled, so no group holds more than counts. Only tokens that can be in a class are
+    gathered again, a page at a time: a row holds one page's tokens, and the tests of order and nesting read it without further shuffles of tokens.
     """
-    seen = parsed.select("host", "print", F.explode("tokens").alias("t")).select("host", "print", "t.*")
-    once = seen.groupBy("host", "token", "print").agg(F.max("n").alias("n"), F.max("at").alias("at"), F.max("path").alias("path"), F.max("rank").alias("rank"))
-    vector = F.sum(F.xxhash64("print", "n").cast("decimal(38,0)"))
+    copies = parsed.groupBy("host", "print").agg(F.min("uid").alias("first"), F.count("*").alias("rows")).filter("rows > 1").drop("rows")
+    once = parsed.join(copies, ["host", "print"], "left").filter("first IS NULL OR uid = first").select("host", "print", F.explode("tokens").alias("t")).select("host", "print", "t.*")
+    vector = F.xxhash64(F.sum(F.xxhash64("print", "n").cast("decimal(38,0)")))
     vectors = once.groupBy("host", "token").agg(vector.alias("class"), F.count("*").alias("pages"), F.max("n").alias("most"), F.max("path").alias("path"), F.max("rank").alias("rank")).filter(F.col("pages") >= CLASS_PAGES)
     sizes = vectors.groupBy("host", "class").agg(F.count("*").alias("size")).filter(F.col("size") >= CLASS_TOKENS)
     classes = stored(vectors.join(sizes, ["host", "class"]), "token-classes")
 
-    # one order on every page, by a hash of the page's tokens in order
-    placed = once.select("host", "print", "token", "at").join(classes.select("host", "token", "class", "pages", "most"), ["host", "token"])
-    order = F.hash(F.transform(F.array_sort(F.collect_list(F.struct("at", "token"))), lambda x: x["token"]))  # tokens of one page
-    by_page = stored(placed.groupBy("host", "class", "print").agg(order.alias("order"), F.min("at").alias("low"), F.max("at").alias("high"), F.max("most").alias("most"), F.max("pages").alias("pages")), "class-pages")
-    valid = by_page.groupBy("host", "class").agg(F.min("order").alias("a"), F.max("order").alias("b"), F.max("most").alias("most"), F.max("pages").alias("pages")).filter("a = b")
+    # the tokens of classes of each page
+    placed = once.select("host", "print", "token", "at").join(classes.select("host", "token", "class"), ["host", "token"])
+    by_page = stored(placed.groupBy("host", "print").agg(F.collect_list(F.struct("class", "at", "token")).alias("held")), "page-classes")
+
+    # valid: one order on every page
+    orders = map_rows(by_page.select("host", "held"), "host string, class bigint, order bigint", _page_orders, 1_000_000)
+    one_order = orders.groupBy("host", "class").agg(F.min("order").alias("a"), F.max("order").alias("b")).filter("a = b").select("host", "class")
+    counts = classes.groupBy("host", "class").agg(F.max("most").alias("most"), F.max("pages").alias("pages"))
+    valid = stored(counts.join(one_order, ["host", "class"]), "valid-classes")
     root = valid.filter("most = 1").groupBy("host").agg(F.max(F.struct("pages", "class")).getField("class").alias("root"))
 
-    # the gap of the root in which a class stands: the same on all its pages, and one for all its tokens
-    inside = placed.join(root, "host").filter(F.col("class") == F.col("root"))
-    frame = inside.groupBy("host", "print").agg(F.array_sort(F.collect_list("at")).alias("frame"))
-    gaps = by_page.join(valid.select("host", "class"), ["host", "class"]).join(root, "host").filter(F.col("class") != F.col("root")).join(frame, ["host", "print"])
-    gap = lambda c: F.size(F.filter("frame", lambda x: x < F.col(c)))
-    nested = gaps.groupBy("host", "class").agg(F.min(gap("low")).alias("a"), F.max(gap("low")).alias("b"), F.min(gap("high")).alias("c"), F.max(gap("high")).alias("d")).filter("a = b AND c = d AND a = c")
+    # nested: one gap of the root for all tokens on all pages
+    gaps = map_rows(by_page.select("host", "held").join(root, "host"), "host string, class bigint, low int, high int", _page_gaps, 1_000_000)
+    spans = gaps.groupBy("host", "class").agg(F.min("low").alias("a"), F.max("low").alias("b"), F.min("high").alias("c"), F.max("high").alias("d"))
+    nested = spans.filter("a = b AND c = d AND a = c").join(valid.select("host", "class"), ["host", "class"])
     template = root.select("host", F.col("root").alias("class")).union(nested.select("host", "class"))
     held = classes.join(template, ["host", "class"])
     slot = F.max(F.when(F.col("path").isNotNull() & (F.col("most") == 1), F.struct("rank", "pages", (-F.length("path")).alias("short"), "path")))
@@ -378,9 +412,9 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
 
     kind = pages.schema[id_col].dataType.simpleString()
     schema = f"id {kind}, url string, host string, blocks array<struct<main:string,rank:int,token:bigint,text:string>>, tokens array<struct<token:bigint,n:int,at:int,path:string,rank:int>>, print bigint"
-    parsed = stored(map_rows(rows.select("id", "url", "host", "html"), schema, blocks), "parsed-pages")  # parsed once, read for the templates and for the texts
+    parsed = stored(map_rows(rows.select("id", "url", "host", "html"), schema, blocks, 1_000_000).withColumn("uid", F.monotonically_increasing_id()), "parsed-pages")  # parsed once, read for the templates and for the texts
     # stored, so that its size is known and neither side of the join hangs on an aggregate: a host with most pages can be split
-    joined = parsed.drop("tokens", "print").join(stored(templates(parsed), "templates"), "host", "left")
+    joined = parsed.drop("tokens", "print", "uid").join(stored(templates(parsed), "templates"), "host", "left")
     # the slot and its siblings of the same rank on this page; articles repeated under one path are other articles
     slots = F.filter("blocks", lambda b: F.coalesce((b["text"] == "") & (_parent(b["main"]) == _parent(F.col("slot"))), F.lit(False)))
     rank = F.array_max(F.transform(F.filter("blocks", lambda b: F.coalesce(b["main"] == F.col("slot"), F.lit(False))), lambda b: b["rank"]))
