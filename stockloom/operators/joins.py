@@ -17,11 +17,21 @@ def resolve_region(df: DataFrame, postal: DataFrame, zip_col: str = "zip5") -> D
     return split_join(df, postal, [zip_col])
 
 
-def weather_or_join(df: DataFrame, weather: DataFrame, date: str = "tx_date") -> DataFrame:
-    """Match province and day, and city exactly, by province-wide rows, or by city prefix. May fan out."""
-    w = weather.select(F.col("sido").alias("_s"), F.col("sigungu").alias("_g"), F.col("date").alias("_d"), "temp", "rain")
+def weather_or_join(df: DataFrame, weather: DataFrame, places: DataFrame | None = None, date: str = "tx_date") -> DataFrame:
+    """Match province and day, and city exactly, by province-wide rows, or by city prefix. May fan out.
+
+    The alternative is decided between places and weather stations, both bounded by the map. The facts then meet the stored (place, day) rows on
+    equality alone, so a row reads only the weather that it gets. An unknown city gets the province-wide rows. ``places`` has every (province,
+    city) of the facts; where it is not given they are read from the facts.
+    """
+    towns = (df if places is None else places).select("sido", "city").distinct()
+    stations = weather.select(F.col("sido").alias("_s"), F.col("sigungu").alias("_g")).distinct()
     city = (F.col("_g") == F.col("city")) | F.col("_g").isNull() | F.col("city").startswith(F.concat("_g", F.lit(" ")))
-    return df.join(w, (F.col("sido") == F.col("_s")) & (F.col(date) == F.col("_d")) & city, "left").drop("_s", "_g", "_d")
+    hits = towns.join(stations, (F.col("sido") == F.col("_s")) & city).select("_s", "_g", F.col("city").alias("_c"))
+    w = weather.select(F.col("sido").alias("_p"), F.col("sigungu").alias("_w"), F.col("date").alias("_d"), "temp", "rain")
+    rows = hits.join(w, (F.col("_s") == F.col("_p")) & F.col("_g").eqNullSafe(F.col("_w"))).select("_s", "_c", "_d", "temp", "rain")
+    same = (F.col("sido") == F.col("_s")) & F.col("city").eqNullSafe(F.col("_c")) & (F.col(date) == F.col("_d"))
+    return df.join(written(rows, "place-stations"), same, "left").drop("_s", "_c", "_d")
 
 
 def weather_key_resolve(regions: DataFrame, weather: DataFrame) -> DataFrame:

@@ -19,6 +19,8 @@ FINE_MONEY = "decimal(18,4)"
 _TYPES = {c: "bigint" for c in (*SALES, *PURCHASES) if c.endswith("qty")}
 _TYPES |= {c: MONEY for c in (*SALES, *PURCHASES) if c.endswith("amount")}
 _TYPES |= {c: FINE_MONEY for c in PURCHASES if "vat" in c or "total" in c}
+INBOUND_ROWS = "inbound_rows"  # optional: purchases counted beside their sums, as an inbound SKU may sum to zero
+_TYPES[INBOUND_ROWS] = "bigint"
 
 
 def zero(col: str) -> Column:
@@ -38,8 +40,8 @@ def sales_facts(sales: DataFrame, time: str) -> DataFrame:
     return sign_split(sales).groupBy(*SKU, time).agg(*[total(c) for c in SALES])
 
 
-def purchase_facts(purchases: DataFrame, time: str) -> DataFrame:
-    """Inbound and outbound per SKU and period in one aggregate; signs are kept."""
+def purchase_facts(purchases: DataFrame, time: str, counted: bool = False) -> DataFrame:
+    """Inbound and outbound per SKU and period in one aggregate; signs are kept. ``counted`` adds the number of inbound rows."""
     inbound = F.col("work_type") == "inbound"
     raw = {"qty": "qty", "amount": "amount", "vat": "vat"}
     aggs = []
@@ -47,6 +49,8 @@ def purchase_facts(purchases: DataFrame, time: str) -> DataFrame:
         for name, col in raw.items():
             out = f"{side}_{name}"
             aggs.append(F.coalesce(F.sum(F.when(rule, F.col(col))).cast(_TYPES[out]), zero(out)).alias(out))
+    if counted:
+        aggs.append(F.count_if(inbound).alias(INBOUND_ROWS))
     facts = purchases.groupBy(*SKU, time).agg(*aggs)
     for side in ("inbound", "outbound"):
         out = f"{side}_total_amount"
@@ -132,7 +136,11 @@ def merge_facts(sales: DataFrame, purchases: DataFrame, time: str) -> DataFrame:
     """Both fact sets on one key, zeros where a side is missing, with a single shuffle."""
     both = sales.unionByName(purchases, allowMissingColumns=True)
     return both.groupBy(*SKU, time).agg(*[
-        F.coalesce(F.sum(c).cast(_TYPES[c]), zero(c)).alias(c) for c in (*PURCHASES, *SALES)])
+        F.coalesce(F.sum(c).cast(_TYPES[c]), zero(c)).alias(c) for c in _measures(both)])
+
+
+def _measures(facts: DataFrame) -> list[str]:
+    return [*PURCHASES, *SALES, *([INBOUND_ROWS] if INBOUND_ROWS in facts.columns else [])]
 
 
 def densify(df: DataFrame, keys: list[str], time: str, days: int, end: Column, fill: dict[str, Column],
@@ -159,7 +167,7 @@ def last_period(df: DataFrame, time: str) -> Column:
 
 
 def dense_mart(facts: DataFrame, time: str, days: int, end: Column) -> DataFrame:
-    return densify(facts, SKU, time, days, end, {c: zero(c) for c in (*PURCHASES, *SALES)})
+    return densify(facts, SKU, time, days, end, {c: zero(c) for c in _measures(facts)})
 
 
 def demand_mart(mart: DataFrame, time: str, regime_center: str, regime_start: str) -> DataFrame:
@@ -176,17 +184,23 @@ def transaction_mart(mart: DataFrame, master: DataFrame, time: str) -> DataFrame
         *SKU, time, "option_code", *PURCHASES, *SALES)
 
 
-def inventory(mart: DataFrame, inbound_skus: DataFrame, time: str) -> DataFrame:
-    """Estimated stock: an opening level that keeps the running balance from going below zero."""
+def inventory(mart: DataFrame, inbound_skus: DataFrame | None, time: str) -> DataFrame:
+    """Estimated stock: an opening level that keeps the running balance from going below zero.
+
+    Unknown for SKUs never bought: by the mart's own count of inbound rows, in the window that the balance needs anyway, or else by ``inbound_skus``.
+    """
     series = W.partitionBy(*SKU)
     running = series.orderBy(time).rowsBetween(W.unboundedPreceding, W.currentRow)
-    flag = inbound_skus.select(*SKU).distinct().withColumn("_in", F.lit(1))
     delta = F.col("inbound_qty") + F.col("outbound_qty") - F.col("sales_qty")
-    out = (mart.join(flag, SKU, "left")
-           .withColumn("_cum", F.sum(delta).over(running))
+    if inbound_skus is None:
+        known = mart.withColumn("_in", F.max(INBOUND_ROWS).over(series) > 0)
+    else:
+        flag = inbound_skus.select(*SKU).distinct().withColumn("_in", F.lit(True))
+        known = mart.join(flag, SKU, "left")
+    out = (known.withColumn("_cum", F.sum(delta).over(running))
            .withColumn("_ret", F.sum("return_qty").over(running))
            .withColumn("_open", F.greatest(-F.min("_cum").over(series), F.lit(0).cast("bigint"))))
-    has = F.col("_in").isNotNull()
+    has = F.coalesce("_in", F.lit(False))
     return out.select(
         *SKU, time, F.when(has, F.col("_open")).alias("opening_inventory"),
         F.when(has, F.col("_open") + F.col("_cum")).alias("inventory_return_excluded"),

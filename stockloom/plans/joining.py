@@ -54,7 +54,7 @@ def tx_city(s):
 SELECT {_TX}, t.city, temp, rain FROM tx_city t LEFT JOIN weather w ON w.sido = t.sido AND w.date = t.tx_date
  AND (w.sigungu = t.city OR w.sigungu IS NULL OR t.city LIKE concat(w.sigungu, ' %'))""")
 def weather_or_join(s):
-    return J.weather_or_join(tx_city(s), s.weather()).select(*TX, "city", "temp", "rain")
+    return J.weather_or_join(tx_city(s), s.weather(), places(s)).select(*TX, "city", "temp", "rain")
 
 
 cte("weather_keys", """

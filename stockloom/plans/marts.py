@@ -61,10 +61,8 @@ def sales_only(s, grain="wk"):
 
 def inventory(s, grain="wk"):
     time, days = TIMES[grain]
-    bought = purchases(s, grain)
-    both = M.merge_facts(sales_facts(s, grain), M.purchase_facts(bought, time), time)
-    dense = M.dense_mart(both, time, days, grid_end(s, grain))
-    return M.inventory(dense, bought.where("work_type = 'inbound'"), time)
+    both = M.merge_facts(sales_facts(s, grain), M.purchase_facts(purchases(s, grain), time, counted=True), time)
+    return M.inventory(M.dense_mart(both, time, days, grid_end(s, grain)), None, time)
 
 
 # -- check side ------------------------------------------------------------

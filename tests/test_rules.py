@@ -279,3 +279,42 @@ def test_scopes_are_binding(spark):
     assert serving.Scope("A", cat_l="none such").filter(sales, master).isEmpty()
     with pytest.raises(ValueError, match="cat_l"):
         serving.Scope("A", cat_l="L1").filter(sales)
+
+
+def test_weather_by_alternatives_equals_a_plain_match(spark):
+    day = [dt.date(2020, 1, d) for d in (1, 2)]
+    weather = [("p", "a", day[0], 1.0, 0.0), ("p", None, day[0], 2.0, 0.0), ("p", "a b", day[0], 3.0, 0.0), ("p", "a", day[1], 4.0, 0.0),
+               ("q", "a", day[0], 5.0, 0.0), (None, "a", day[0], 6.0, 0.0), ("p", "a", day[0], 7.0, 0.0), ("p", "c", None, 8.0, 0.0)]
+    facts = [(n, s, c, d) for n, (s, c, d) in enumerate((s, c, d) for s in ("p", "q", None) for c in ("a", "a b c", "ab", "c", None) for d in (*day, None))]
+    df = spark.createDataFrame(facts + facts[:3], "n int, sido string, city string, tx_date date")
+    w = spark.createDataFrame(weather, "sido string, sigungu string, date date, temp double, rain double")
+
+    def plain(sido, city, date):
+        hits = [t for s, g, d, t, _ in weather if None not in (s, d) and (s, d) == (sido, date)
+                and (g is None or (city is not None and (g == city or city.startswith(g + " "))))]
+        return hits or [None]
+
+    want = sorted((n, t or 0) for n, s, c, d in facts + facts[:3] for t in plain(s, c, d))
+    for places in (None, df.select("sido", "city").distinct()):
+        out = joins.weather_or_join(df, w, places)
+        assert out.columns == [*df.columns, "temp", "rain"]
+        assert sorted((r.n, r.temp or 0) for r in out.collect()) == want
+    assert joins.weather_or_join(df, w.limit(0)).where("temp is null").count() == len(facts) + 3
+    plan = joins.weather_or_join(df, w)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1 and "StartsWith" not in plan  # the facts meet no alternative
+
+
+def test_inventory_knows_bought_skus_by_count(spark):
+    bought = [("A", "zero", week(0), "inbound", 5), ("A", "zero", week(0), "inbound", -5), ("A", "out", week(0), "outbound", -2), ("A", "in", week(1), "inbound", 3)]
+    purchases = spark.createDataFrame(bought, "center_id string, sku_id string, week_st date, work_type string, qty bigint").withColumns(
+        {c: F.lit(0).cast("decimal(18,4)") for c in ("amount", "vat")})
+    sold = [("A", sku, week(i), 2, 1) for sku in ("zero", "out", "in", "never") for i in (0, 2)]
+    sales = spark.createDataFrame(sold, "center_id string, sku_id string, week_st date, sales_qty bigint, return_qty bigint").withColumns(
+        {c: F.lit(0).cast("decimal(18,2)") for c in ("sales_amount", "return_amount")})
+    dense = lambda counted: marts.dense_mart(marts.merge_facts(sales, marts.purchase_facts(purchases, "week_st", counted), "week_st"), "week_st", 7, F.lit(week(2)))
+    one = marts.inventory(dense(True), None, "week_st")
+    two = marts.inventory(dense(False), purchases.where("work_type = 'inbound'"), "week_st")
+    assert one.columns == two.columns and sorted(one.collect(), key=str) == sorted(two.collect(), key=str)
+    known = {r.sku_id: r for r in one.where(F.col("week_st") == F.lit(week(2))).collect()}
+    assert {k: v.inventory_available for k, v in known.items()} == {"zero": 1, "in": 1, "out": 0, "never": 0}
+    assert known["in"][3:6] == (2, 1, 3) and known["zero"][3:6] == (4, 0, 2) and known["never"][3:6] == (None, None, None)
