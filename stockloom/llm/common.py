@@ -57,8 +57,14 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
     """Connected components of an edge table: (node, component), the component being its smallest node. Nodes without edges do not appear.
 
     Alternating large-star and small-star steps; each round's edges are stored once, so a lost executor repeats one round at most.
-    Joins are on the node; a hub's rows are split by adaptive execution. Edges never reach the driver, only their count and checksum do.
+    Minima are taken within tasks before they are shuffled. The join that brings them to the edges is on the node and its hash: the minima,
+    dealt by the node alone, then get an exchange of their own, and only a join directly above two exchanges is one whose hot partitions
+    adaptive execution splits. Edges never reach the driver, only their count and checksum do.
     """
+
+    def with_least(rows: DataFrame, least: DataFrame) -> DataFrame:
+        return rows.withColumn("h", F.hash("u")).join(least.withColumn("h", F.hash("u")), ["u", "h"]).select("u", "v", "m")
+
     edge = stored(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct(), "edges")
 
     def mark(df: DataFrame) -> tuple:
@@ -69,10 +75,10 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
         for _ in range(most_rounds):
             both = edge.union(edge.select(F.col("v").alias("u"), F.col("u").alias("v")))
             least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-            large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+            large = with_least(both.filter("v > u"), least).select(F.col("v").alias("u"), F.col("m").alias("v"))
             large = large.filter("u <> v").distinct()  # used three times below, its exchange is made once
             least = large.groupBy("u").agg(F.min("v").alias("m"))
-            small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
+            small = with_least(large, least).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
             edge = stored(small.union(least).distinct(), "small-star")
             after = mark(edge)
             if after == before:
