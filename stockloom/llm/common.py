@@ -57,7 +57,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
     """Connected components of an edge table: (node, component), the component being its smallest node. Nodes without edges do not appear.
 
     Alternating large-star and small-star steps; each round's edges are stored once, so a lost executor repeats one round at most.
-    Joins are on the node; a hub's rows are split by adaptive execution. Edges never reach the driver, only their count and checksum do.
+    Joins are on the node; a hub's rows meet in one task, as the minima share the join's exchange. Edges never reach the driver, only their count and checksum do.
     """
     edge = stored(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct(), "edges")
 
