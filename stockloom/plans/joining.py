@@ -25,8 +25,7 @@ def unify_tx(s):
              f"center_id = 'B' and kind = 'sales' and not {late}", f"center_id = 'B' and kind = 'sales' and {late}"]
     from stockloom.operators.profiling import union_all
     stacked = union_all([s.lines().where(r) for r in rules])
-    zips = s.orders().selectExpr("order_no", "lpad(cast(o_custkey % 1000 as string), 5, '0') as zip5")
-    return (stacked.join(s.products(), "part_no").join(zips, "order_no")
+    return (s.described(stacked.join(s.zips().hint("shuffle_hash"), "order_no"))
             .selectExpr(*[c for c in UNIFIED if c not in "ymd"], "year(tx_date) as y", "month(tx_date) as m", "day(tx_date) as d"))
 
 
@@ -91,7 +90,7 @@ MEASURES = ["temp", "rain", "holiday", "covid", "cpi", "retail_current", "retail
 
 def places(s):
     """Every (province, city) spelling, taken from orders and customers without touching the transactions."""
-    named = s.orders().join(s.customers(), F.expr("o_custkey = c_custkey")).select("sido", "sigungu", "priority").distinct()
+    named = s.orders().join(s.customers().hint("shuffle_hash"), F.expr("o_custkey = c_custkey")).select("sido", "sigungu", "priority").distinct()
     return named.select("sido", F.explode(F.array("sigungu", F.concat_ws(" ", "sigungu", "priority"))).alias("city"))
 
 
