@@ -53,7 +53,7 @@ FROM a""")
 
 
 def stored_grid(s):
-    return s.stored("weekly_grid", lambda: grid(s.kept()))
+    return s.stored("weekly_grid", lambda: grid(s.by_week()))
 
 
 def features(s):
