@@ -1,4 +1,4 @@
-"""Weekly marts on hand-made tables: they are made from weekly sums and sold products, with the rows that single transactions give."""
+"""Marts on hand-made tables: they are made from weekly or daily sums and sold products, with the rows that single transactions give."""
 
 import datetime as dt
 import random
@@ -37,7 +37,7 @@ def rows(df):
 
 
 def test_sold_products_stand_for_sales(source):
-    for made in (source, source.kept(), source.by_week()):
+    for made in (source, source.kept(), source.by_week(), source.by_day()):
         assert rows(P.master(made)) == rows(M.product_master(source.sales(), "week_st", P.ATTRIBUTES))
         assert rows(M.cluster_profile(made.sold(), P.PKEY)) == rows(M.cluster_profile(source.sales(), P.PKEY))
 
@@ -54,8 +54,15 @@ def test_weekly_sums_stand_for_transactions(source):
     assert any(r.inventory_available for r in serving.stock(source).collect())
 
 
-def test_weekly_marts_read_no_single_transactions(source, monkeypatch):
-    """All weekly marts move the transactions once, none writes them; those with regions and the master not even that."""
+def test_daily_sums_stand_for_transactions(source):
+    assert source.by_day().tx().dtypes == source.kept().tx().dtypes
+    assert rows(serving.daily(source)) == rows(M.merge_facts(P.sales_facts(source, "day"), P.purchase_facts(source, "day"), "tx_date"))
+    assert rows(serving.summary(source)) == rows(P.day_summary(source))
+    assert rows(serving.records(source)) == rows(serving.raw(source))
+
+
+def test_marts_read_no_single_transactions(source, monkeypatch):
+    """All weekly marts move the transactions once, all daily ones once, none writes them; the master does not even that."""
     moved = []
     joined = adapters._Kept.joined
     monkeypatch.setattr(adapters, "_MARTS", {})
@@ -64,4 +71,7 @@ def test_weekly_marts_read_no_single_transactions(source, monkeypatch):
     assert not moved
     for mart in (serving.demand, serving.moves, serving.stock, series.stored_grid):
         mart(source)
-    assert len(moved) == 1 and "transactions" not in {name for _, _, name in adapters._MARTS}
+    assert len(moved) == 1
+    for mart in (serving.sparse, serving.summary, serving.sku_grid, serving.records):
+        mart(source)
+    assert len(moved) == 2 and "transactions" not in {name for _, _, name in adapters._MARTS}
