@@ -276,7 +276,7 @@ def test_check_sql_of_native_operators(spark):
     import duckdb
 
     con = duckdb.connect()
-    for name in ("documents", "conversations", "benchmark"):
+    for name in ("documents", "conversations", "benchmark", "embeddings"):
         con.execute(f"CREATE VIEW {name} AS SELECT * FROM '/root/testdata/sf0.001/{name}.parquet'")
     for name, sql in queries.ORACLE_SQL.items():
         df = queries.QUERIES[name](spark, "/root/testdata/sf0.001")
