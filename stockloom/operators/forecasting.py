@@ -35,7 +35,8 @@ def with_levels(grid: DataFrame) -> DataFrame:
 def coldstart_means(grid: DataFrame, levels: list[str]) -> DataFrame:
     """Mean demand of each category up to each week, narrowest known level first, then the centre.
 
-    All means are joined to one row per centre, week and categories; the grid is joined once.
+    All means are joined to one row per centre, week and categories; the grid is joined once. Categories grow with the products and the
+    file of a grid hides its size, so their means are dealt over the executors and not sent to the driver.
     """
     keys = ["center_id", "week_st", *levels]
     base = grid.groupBy(*keys).agg(F.sum("qty").alias("s"), F.count("qty").alias("n"))
@@ -46,10 +47,10 @@ def coldstart_means(grid: DataFrame, levels: list[str]) -> DataFrame:
         sums = base.where(F.col(level).isNotNull()) if level else base
         table = sums.groupBy(*of, "week_st").agg(F.sum("s").alias("s"), F.sum("n").alias("n")).select(
             *of, "week_st", F.sum("s").over(w).alias("ss"), F.sum("n").over(w).alias("nn")).select(*of, "week_st", C.mean6("ss", "nn").alias(f"m_{level or 'center'}"))
-        groups = groups.join(table, [*of, "week_st"], "left")
+        groups = groups.join(table.hint("merge") if level else table, [*of, "week_st"], "left")  # a centre has one row per week
     groups = written(groups, "coldstart-means")
     same = [F.col(f"d.{k}").eqNullSafe(F.col(f"g.{k}")) for k in keys]
-    return grid.alias("d").join(groups.alias("g"), same, "left").select("d.*", *[f"g.{c}" for c in groups.columns if c not in keys])
+    return grid.alias("d").join(groups.alias("g").hint("merge"), same, "left").select("d.*", *[f"g.{c}" for c in groups.columns if c not in keys])
 
 
 def rolling_origin(grid: DataFrame, start: str, horizons, end, levels: list[str]) -> DataFrame:

@@ -5,6 +5,7 @@ import random
 
 import pytest
 
+from stockloom.operators import forecasting as FC
 from stockloom.operators import marts as M
 from stockloom.plans import marts as P
 from stockloom.plans import series, serving
@@ -75,3 +76,22 @@ def test_marts_read_no_single_transactions(source, monkeypatch):
     for mart in (serving.sparse, serving.summary, serving.sku_grid, serving.records):
         mart(source)
     assert len(moved) == 2 and "transactions" not in {name for _, _, name in adapters._MARTS}
+
+
+def test_category_means_are_not_sent_to_the_driver(spark, tmp_path, monkeypatch):
+    """A small file may hold many categories and weeks: only the means of a centre, one row per week, may be broadcast."""
+    weeks = [dt.date(2000, 1, 3) + dt.timedelta(days=7 * w) for w in range(3)]
+    grid = [("A", f"s{k}", None if k == 0 else f"c{k}", f"m{k % 2}", "l", w, 10 * k + i) for k in range(4) for i, w in enumerate(weeks)]
+    path = str(tmp_path / "grid")
+    spark.createDataFrame(grid, "center_id string, sku_id string, cat_s string, cat_m string, cat_l string, week_st date, qty long").write.parquet(path)
+    made = []
+    monkeypatch.setattr(FC, "written", lambda df, label: made.append(df) or df)
+    means = FC.coldstart_means(spark.read.parquet(path), ["cat_s", "cat_m", "cat_l"])
+    out = {(r.sku_id, r.week_st): r for r in means.collect()}
+    assert len(out) == len(grid)
+    last = out["s3", weeks[2]]
+    assert (last.m_cat_s, last.m_cat_m, last.m_cat_l, last.m_center) == (31.0, 21.0, 16.0, 16.0)
+    assert out["s0", weeks[2]].m_cat_s is None and out["s0", weeks[2]].m_cat_m == 11.0
+    for df, joins in ((made[0], 3), (means, 4)):
+        plan = df._jdf.queryExecution().sparkPlan().toString()
+        assert plan.count("SortMergeJoin") == joins and plan.count("BroadcastHashJoin") <= 1
