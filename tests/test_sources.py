@@ -103,3 +103,24 @@ def test_daily_marts_share_their_facts(source):
     assert rows(serving.regional(source)) == rows(serving.P.day_region(source))
     assert facts.count() == serving.daily(source).count()
     assert rows(serving.raw(source).groupBy("sku_id").agg(F.count("*"))) == rows(source.sales().groupBy("sku_id").agg(F.count("*")))
+
+
+def test_regional_rows_are_dealt_by_their_number(spark, source, tmp_path, monkeypatch):
+    """A task's groups follow the share of lines that is set, not the shuffle partitions; nothing is aggregated before rows are dealt."""
+    copies = F.explode(F.sequence(F.lit(0), F.lit(59))).alias("k")
+    for name in ("region", "nation", "customer", "part", "orders"):
+        source.table(name).write.parquet(f"{tmp_path}/{name}.parquet")
+    lines = source.table("lineitem")
+    many = lines.select("*", copies).withColumn("l_shipdate", F.expr("l_shipdate - make_dt_interval(k)")).select(lines.columns)
+    many.write.parquet(f"{tmp_path}/lineitem.parquet")
+    grown = Source(spark, str(tmp_path))
+    plain = rows(serving.P.day_region(grown))
+    assert sum(r.sales_amount for r in plain) == 60 * sum(r.sales_amount for r in serving.P.day_region(source).collect()) > 0
+    monkeypatch.setattr(adapters, "LINES", 20)
+    df = serving.P.day_region(grown)
+    held = df.groupBy(F.spark_partition_id()).count().collect()
+    assert len(held) > 8 and max(r["count"] for r in held) <= 30
+    assert rows(df) == plain and grown.shares() == 21
+    plan = df._jdf.queryExecution().sparkPlan().toString().splitlines()
+    sums = [i for i, line in enumerate(plan) if "HashAggregate" in line and "sum(amount" in line]
+    assert max(sums) < next(i for i, line in enumerate(plan) if "REPARTITION_BY_NUM" in line)
