@@ -57,6 +57,12 @@ def test_growing_tables_stay_off_the_driver(source, build):
     assert not any(c in sent for c in ("p_partkey", "c_custkey", "o_orderkey"))
 
 
+@pytest.mark.parametrize("build", [lambda s: s.by_week().summed(), lambda s: s.by_day().summed(), Source.sold], ids=["weeks", "days", "sold"])
+def test_sums_and_sold_products_stay_off_the_driver(source, build):
+    assert "p_partkey" in build(source)._jdf.queryExecution().executedPlan().toString()
+    assert not any(c in broadcast_parts(build(source)) for c in ("p_partkey", "l_partkey"))
+
+
 def test_rows_of_joined_transactions(source):
     columns = source.lines().drop("part_no").columns + source.products().drop("part_no").columns
     assert source.tx().columns == columns
