@@ -281,6 +281,26 @@ def test_scopes_are_binding(spark):
         serving.Scope("A", cat_l="L1").filter(sales)
 
 
+def test_summary_holds_units_and_recent_weeks(spark):
+    """Of one scope: units as maps and the last twelve weeks with rows, of which the last is the basis; one week is missing, one comes after."""
+    weeks = [i for i in range(17) if i != 9]
+    sales = [(c, sku, week(i), q * (i + 1), i, 10 * q * (i + 1), i) for c, sku, q in (("A", "s1", 1), ("A", "s2", 2), ("A", "s3", 4), ("A", "unknown", 8), ("B", "s1", 16)) for i in weeks]
+    demand = spark.createDataFrame(sales, "center_id string, sku_id string, week_st date, sales_qty bigint, return_qty bigint, s int, r int").selectExpr(
+        "center_id", "sku_id", "week_st", "sales_qty", "return_qty", "cast(s as decimal(18,2)) as sales_amount", "cast(r as decimal(18,2)) as return_amount", "cast(s - r as decimal(18,2)) as net_sales_amount")
+    master = spark.createDataFrame([("A", "s1", "ea", "x"), ("A", "s2", "bx", "x"), ("A", "s3", None, "y"), ("B", "s1", "ea", "x")], "center_id string, sku_id string, option_code string, cat_l string")
+    one = serving.summary(demand, master, serving.Scope("A"), str(week(15))).collect()
+    assert len(one) == 1 and one[0].active_sku_count == 3
+    assert one[0].sales_qty_by_unit == {"ea": 16, "bx": 32} and one[0].return_qty_by_unit == {"ea": 15, "bx": 15}
+    assert [tuple(p) for p in one[0].sparkline] == [(week(i), 70 * (i + 1), 3 * i, 70 * (i + 1) - 3 * i) for i in weeks[:-1][-12:]]
+    assert tuple(one[0].sparkline[-1])[1:] == (one[0].total_sales_amount, one[0].return_amount, one[0].net_sales_amount)
+    some = serving.summary(demand, master, serving.Scope("A", cat_l="y"), str(week(3)), n=2).collect()[0]
+    assert some.sales_qty_by_unit == {} and [(p.week_st, p.sales_amount) for p in some.sparkline] == [(week(2), 120), (week(3), 160)]
+    none = serving.summary(demand, master, serving.Scope("A", cat_l="none such"), str(week(3))).collect()[0]
+    assert (none.total_sales_amount, none.sales_qty_by_unit, none.sparkline) == (0, {}, [])
+    with pytest.raises(ValueError, match="Monday"):
+        serving.summary(demand, master, serving.Scope("A"), str(week(3) + dt.timedelta(days=1)))
+
+
 def test_weather_by_alternatives_equals_a_plain_match(spark):
     day = [dt.date(2020, 1, d) for d in (1, 2)]
     weather = [("p", "a", day[0], 1.0, 0.0), ("p", None, day[0], 2.0, 0.0), ("p", "a b", day[0], 3.0, 0.0), ("p", "a", day[1], 4.0, 0.0),
